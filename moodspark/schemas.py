@@ -19,3 +19,8 @@ PREDICTIONS = (
     "article_id string, source string, comment string, clean_comment string, sentiment string"
 )
 PAGES = "page_id bigint, url string, html string"
+
+
+def keyed_by(schema: str, key_type: str) -> str:
+    """The same columns with keys (id, article_id) of another type."""
+    return schema.replace("id bigint", f"id {key_type}")
