@@ -24,11 +24,17 @@ def _keys(keys: str | Sequence[str]) -> list[str]:
 
 
 def count_labels(
-    df: DataFrame, keys: str | Sequence[str], label: str = "sentiment"
+    df: DataFrame,
+    keys: str | Sequence[str],
+    label: str = "sentiment",
+    also: Sequence[Column] = (),
 ) -> DataFrame:
-    """Comments per key and label, one column per label, 0 where there are none."""
+    """Comments per key and label, one column per label, 0 where there are none.
+
+    ``also``: further aggregates to take in the same pass.
+    """
     return df.groupBy(*_keys(keys)).agg(
-        *[F.count_if(F.col(label) == name).alias(name) for name in LABELS]
+        *[F.count_if(F.col(label) == name).alias(name) for name in LABELS], *also
     )
 
 
@@ -131,11 +137,15 @@ def fill_mood(articles: DataFrame) -> DataFrame:
 
 
 def majority_label(
-    df: DataFrame, keys: str | Sequence[str] = "post_url", label: str = "sentiment"
+    df: DataFrame,
+    keys: str | Sequence[str] = "post_url",
+    label: str = "sentiment",
+    also: Sequence[Column] = (),
 ) -> DataFrame:
     """Most frequent label per key; a tie goes to the first in alphabetical order.
 
     Rows without a key are left out.  A key whose labels are all null has no majority.
+    ``also``: further aggregates to take in the same pass.
     """
     keys = _keys(keys)
     known = df
@@ -146,10 +156,10 @@ def majority_label(
     for name in sorted(LABELS):
         pick = pick.when(F.col(name) == top, F.lit(name))
     return (
-        count_labels(known, keys, label)
+        count_labels(known, keys, label, also)
         .withColumn("average_sentiment", pick)
         .where(F.col("average_sentiment").isNotNull())
-        .select(*keys, "average_sentiment")
+        .drop(*LABELS)
     )
 
 

@@ -98,15 +98,8 @@ def label_posts(posts: DataFrame, label: Label = score_lexicon) -> DataFrame:
 
 def post_reactions(labelled: DataFrame, key: str = "post_url") -> DataFrame:
     """Majority label per post with its caption; ``key='post_caption'`` groups by caption."""
-    majority = majority_label(labelled, key)
-    if key == "post_caption":
-        return majority
-    captions = (
-        labelled.where(F.col("post_url").isNotNull())
-        .groupBy("post_url")
-        .agg(F.min_by("post_caption", "id").alias("post_caption"))
-    )
-    return captions.join(majority, "post_url")
+    caption = F.min_by("post_caption", "id").alias("post_caption")
+    return majority_label(labelled, key, also=[] if key == "post_caption" else [caption])
 
 
 def post_moods(labelled: DataFrame) -> DataFrame:

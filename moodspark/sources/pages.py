@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodspark import fixed_values as fv
-from moodspark.functions.text import SPACE_CHARS, digits_or_zero, is_blank, strip
+from moodspark.functions.text import bind, digits_or_zero, is_blank, squeeze, strip
 from moodspark.functions.urls import resolve_url
 
 
@@ -109,6 +109,10 @@ def visible_html(html: Column) -> Column:
     )
 
 
+def _visible(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("_html", visible_html(F.col("html")))
+
+
 def _decode_numbers(text: Column) -> Column:
     """Decimal character references, each distinct one replaced in turn."""
     codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,7});"), F.lit(1)))
@@ -124,28 +128,34 @@ def _decode_numbers(text: Column) -> Column:
     return F.aggregate(codes, text, put)
 
 
-def inner_text(fragment: Column) -> Column:
-    """Text of an HTML fragment: line breaks kept, tags dropped, character references decoded."""
-    text = F.regexp_replace(fragment, rf"[{SPACE_CHARS}]+", " ")
-    text = F.regexp_replace(text, r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6])\s*>", "\n")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
+def _decode(text: Column) -> Column:
     for reference, char in NAMED_REFERENCES.items():
         text = F.replace(text, F.lit(reference), F.lit(char))
-    text = F.when(text.contains("&#"), _decode_numbers(text)).otherwise(text)
-    text = F.replace(text, F.lit("&amp;"), F.lit("&"))
+    text = bind(text, lambda t: F.when(t.contains("&#"), _decode_numbers(t)).otherwise(t))
+    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+
+
+def inner_text(fragment: Column) -> Column:
+    """Text of an HTML fragment: line breaks kept, tags dropped, character references decoded."""
+
+    def without_tags(t: Column) -> Column:
+        lines = F.regexp_replace(t, r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6])\s*>", "\n")
+        return F.when(t.contains("<"), F.regexp_replace(lines, r"<[^>]*>", "")).otherwise(t)
+
+    text = bind(squeeze(fragment), without_tags)
+    text = bind(text, lambda t: F.when(t.contains("&"), _decode(t)).otherwise(t))
     return strip(F.regexp_replace(text, r" *\n[ \n]*", "\n"))
 
 
 def _first_inner(html: Column, element: Element, end: str | None = None) -> Column:
     """Content of the first such element; null when there is none."""
-    pattern = rf"(?s){element.opening()}(.*?)(?:{end or element.closing()}|\z)"
-    return F.when(html.rlike(element.opening()), F.regexp_extract(html, pattern, 1))
+    whole = rf"(?s){element.opening()}(.*?)(?:{end or element.closing()}|\z)"
+    return F.regexp_extract(F.regexp_substr(html, F.lit(whole)), whole, 1)
 
 
 def _pieces(html: Column, element: Element) -> Column:
     """What follows each opening tag, up to the next one of the same kind."""
-    parts = F.split(html, element.opening())
-    return F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    return F.filter(F.split(html, element.opening()), lambda piece, i: i > 0)
 
 
 def _up_to(piece: Column, end: str) -> Column:
@@ -163,7 +173,7 @@ def extract_links(
 
     A link in every page's menu is reduced on the map side by the distinct.
     """
-    html = visible_html(F.col("html"))
+    html = F.col("_html")
     anchor = r"(?i)<a\s(?:[^>]*\s)?href\s*=\s*[\"']([^\"']*)[\"']"
     hrefs = F.filter(
         F.regexp_extract_all(html, F.lit(anchor), F.lit(1)), lambda h: h.rlike(href_pattern)
@@ -173,7 +183,7 @@ def extract_links(
             _pieces(html, inside), lambda p: F.regexp_extract(_up_to(p, inside.closing()), anchor, 1)
         )
         hrefs = F.concat(hrefs, within)
-    found = pages.select("url", F.explode(hrefs).alias("href")).where(F.col("href") != "")
+    found = _visible(pages).select("url", F.explode(hrefs).alias("href")).where(F.col("href") != "")
     origin = F.lit(base) if base else F.col("url")
     links = found.select(
         resolve_url(origin, F.replace(F.col("href"), F.lit("&amp;"), F.lit("&"))).alias("link")
@@ -183,7 +193,7 @@ def extract_links(
 
 def extract_articles(pages: DataFrame, rule: ArticleRule = VOTED_ARTICLE) -> DataFrame:
     """page_id, url, title, content; a missing title or body is ''."""
-    html = visible_html(F.col("html"))
+    html = F.col("_html")
     title = F.coalesce(inner_text(_first_inner(html, rule.title)), F.lit(""))
     if rule.paragraph is not None:
         ends = rf"{rule.paragraph.closing()}|(?i:<{rule.paragraph.tag}[\s>])"
@@ -195,7 +205,7 @@ def extract_articles(pages: DataFrame, rule: ArticleRule = VOTED_ARTICLE) -> Dat
         content = F.coalesce(inner_text(_first_inner(html, rule.body, rule.body_end)), F.lit(""))
     else:
         content = F.lit("")
-    return pages.select(
+    return _visible(pages).select(
         "page_id", "url", title.alias("title"), F.coalesce(content, F.lit("")).alias("content")
     )
 
@@ -207,9 +217,10 @@ def extract_comments(pages: DataFrame, rule: CommentRule, text_only: bool = Fals
     record stays.  With ``text_only`` every text element of a block is a comment of its own
     and blank ones are dropped.
     """
-    html = visible_html(F.col("html"))
-    blocks = pages.select(
-        "page_id", "url", F.posexplode(_pieces(html, rule.block)).alias("position", "_block")
+    blocks = _visible(pages).select(
+        "page_id",
+        "url",
+        F.posexplode(_pieces(F.col("_html"), rule.block)).alias("position", "_block"),
     )
     block = F.col("_block")
     if text_only:
@@ -221,43 +232,43 @@ def extract_comments(pages: DataFrame, rule: CommentRule, text_only: bool = Fals
             blocks.select("page_id", "url", "position", F.posexplode(texts).alias("part", "comment"))
             .where(~is_blank("comment"))
         )
+    # complete records are told by their opening tags, before any text is taken out
+    needed = [*([rule.text] if rule.text else []), *rule.numbers.values(), *rule.required]
+    for element in needed:
+        blocks = blocks.where(block.rlike(element.opening()))
     if rule.text is None:
         text = inner_text(_up_to(block, rule.block.closing()))
     else:
         text = inner_text(_first_inner(block, rule.text))
-    numbers = {n: inner_text(_first_inner(block, e)) for n, e in rule.numbers.items()}
-    complete = text.isNotNull()
-    for n in numbers.values():
-        complete = complete & n.isNotNull()
-    for e in rule.required:
-        complete = complete & block.rlike(e.opening())
-    return blocks.where(complete).select(
+    return blocks.select(
         "page_id",
         "url",
         "position",
         text.alias("comment"),
-        *[n.try_cast("int").alias(name) for name, n in numbers.items()],
+        *[
+            inner_text(_first_inner(block, element)).try_cast("int").alias(name)
+            for name, element in rule.numbers.items()
+        ],
     )
 
 
 def extract_reactions(pages: DataFrame, rule: ReactionRule = REACTIONS) -> DataFrame:
     """page_id, url, position, emotion, count; a count that is not all digits is 0."""
-    html = visible_html(F.col("html"))
-    # keep the opening tag with its block: the name is one of its attributes
-    marked = F.regexp_replace(html, rf"({rule.block.opening()})", "\u0001$1")
-    parts = F.split(marked, "\u0001")
-    blocks = pages.select(
-        "page_id",
-        "url",
-        F.posexplode(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).alias(
-            "position", "_block"
-        ),
+    opening = rule.block.opening()
+    # cut in front of each opening tag, as the name is one of its attributes
+    records = F.filter(
+        F.split(F.col("_html"), rf"(?={opening})"), lambda piece: piece.rlike(rf"\A{opening}")
+    )
+    blocks = _visible(pages).select(
+        "page_id", "url", F.posexplode(records).alias("position", "_block")
     )
     block = F.col("_block")
-    tag = F.regexp_extract(block, r"\A([^>]*>)", 1)
-    attribute = rf"(?i)\s{rule.name_attribute}\s*=\s*[\"']([^\"']*)[\"']"
-    name = F.when(tag.rlike(attribute), inner_text(F.regexp_extract(tag, attribute, 1)))
-    count = inner_text(_first_inner(block, rule.count))
-    return blocks.where(name.isNotNull() & count.isNotNull()).select(
-        "page_id", "url", "position", name.alias("emotion"), digits_or_zero(count).alias("count")
+    attribute = rf"(?i)\A[^>]*\s{rule.name_attribute}\s*=\s*[\"']([^\"']*)[\"']"
+    complete = block.rlike(attribute) & block.rlike(rule.count.opening())
+    return blocks.where(complete).select(
+        "page_id",
+        "url",
+        "position",
+        inner_text(F.regexp_extract(block, attribute, 1)).alias("emotion"),
+        digits_or_zero(inner_text(_first_inner(block, rule.count))).alias("count"),
     )
