@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from moodspark.functions.text import REMOVED_PARTS, SPACE_CHARS, WORD_CHARS
 from moodspark.operators.scoring import score_lexicon
+from moodspark.operators.skew import balanced_join
 from moodspark.sources.tables import read_table
 
 # words of the synthetic texts, as the real lexicon's words do not occur in them
@@ -61,16 +62,14 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
         F.col("source").alias("account_name"),
         F.col("text").alias("post_caption"),
     )
-    return (
-        table(spark, sf, "events")
-        .join(captions, "user_id")
-        .select(
-            F.col("event_id").alias("id"),
-            "account_name",
-            F.concat(F.lit("post/"), F.col("user_id").cast("string")).alias("post_url"),
-            "post_caption",
-            F.concat_ws(" ", "event_type", "props").alias("comment"),
-        )
+    said = table(spark, sf, "events").select("event_id", "user_id", "event_type", "props")
+    both = balanced_join(said, captions, ["user_id"], "inner", spread_by=["event_id"])
+    return both.select(
+        F.col("event_id").alias("id"),
+        "account_name",
+        F.concat(F.lit("post/"), F.col("user_id").cast("string")).alias("post_url"),
+        "post_caption",
+        F.concat_ws(" ", "event_type", "props").alias("comment"),
     )
 
 

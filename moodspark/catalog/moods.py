@@ -8,6 +8,7 @@ from moodspark.catalog import query
 from moodspark.functions.text import clean_text
 from moodspark.operators import frames, mood, prompts
 from moodspark.operators.scoring import score_lexicon, score_text
+from moodspark.operators.skew import balanced_join
 from moodspark.plans import analyse, summarise
 
 
@@ -264,7 +265,10 @@ def _summary_inputs(spark, sf):
         F.col("text").alias("content"),
     )
     sources = docs.select("article_id", "source")
-    return docs, i.comments(spark, sf).join(sources, "article_id")
+    said = balanced_join(
+        i.comments(spark, sf), sources, ["article_id"], "inner", spread_by=["id"]
+    )
+    return docs, said
 
 
 @query(f"SELECT doc_id AS article_id, source, {_sql_lead('text')} AS summary FROM ({_SQL_COMMENTED})")

@@ -4,7 +4,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.ml import Transformer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodspark.fixed_values import DEFAULT_LABEL, LABELS
@@ -32,6 +32,11 @@ def score_lexicon(
     return df.withColumn(label, lexicon_label(F.col(column), lexicon))
 
 
+def _text_key(text: Column) -> Column:
+    # never null, and known to be so: joins add no null check that hashes once more
+    return F.coalesce(F.sha2(text, 256), F.lit(""))
+
+
 def distinct_texts(df: DataFrame, column: str) -> DataFrame:
     """Every non-blank text once, with a key and the number of rows that hold it.
 
@@ -42,7 +47,7 @@ def distinct_texts(df: DataFrame, column: str) -> DataFrame:
         df.where(~is_blank(column))
         .groupBy(F.col(column).alias("text"))
         .agg(F.count(F.lit(1)).alias("n_rows"))
-        .select(F.sha2("text", 256).alias("text_key"), "text", "n_rows")
+        .select(_text_key(F.col("text")).alias("text_key"), "text", "n_rows")
     )
 
 
@@ -75,11 +80,11 @@ def _join_labels(
 ) -> DataFrame:
     # blank rows get no key: they match nothing and are spread, then take the default label
     keyed = df.withColumn(
-        "text_key", F.when(~is_blank(column), F.sha2(F.col(column), 256))
+        "text_key", F.when(~is_blank(column), _text_key(F.col(column)))
     )
     joined = balanced_join(
         keyed,
-        scored.select("text_key", F.col("label").alias(label)),
+        scored.select("text_key", "n_rows", F.col("label").alias(label)),
         ["text_key"],
         "left",
         spread_by=spread_by,
@@ -132,6 +137,6 @@ def score_with_model(
     texts = distinct_texts(df, column)
     named = texts.withColumn(text_input, F.col("text"))
     scored = model.transform(named).select(
-        "text_key", label_at(F.col(prediction).cast("int"), labels).alias("label")
+        "text_key", "n_rows", label_at(F.col(prediction).cast("int"), labels).alias("label")
     )
     return _join_labels(df, column, scored, texts, spread_by, label, rows_per_split)

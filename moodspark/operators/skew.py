@@ -30,7 +30,7 @@ def hot_keys(
     return (
         known.orderBy(F.col("n_rows").desc(), *keys)
         .limit(max_keys)
-        .select(*keys, F.ceil(F.col("n_rows") / rows_per_split).cast("int").alias("_splits"))
+        .select(*keys, _splits(rows_per_split).alias("_splits"))
     )
 
 
@@ -51,6 +51,8 @@ def balanced_join(
     repeated once per part.  All other keys are joined as they are.  The parts depend on
     row values alone, so a task that is run again makes the same ones.
 
+    ``counts`` (keys, n_rows): rows per key if they are known already.  A ``lookup`` with an
+    ``n_rows`` column of its own tells its repeats by itself.
     ``how``: left, inner, left_semi or left_anti.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
@@ -69,11 +71,19 @@ def balanced_join(
         .cast("int")
     )
     left = rows.join(hot, keys, "left").withColumn("_part", part).drop("_splits")
+    if "n_rows" in lookup.columns:
+        sized = lookup.withColumn("_splits", _splits(rows_per_split)).drop("n_rows")
+    else:
+        sized = lookup.join(hot, keys, "left")
     parts = F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1)
-    right = lookup.join(hot, keys, "left").withColumn("_part", F.explode(parts)).drop("_splits")
+    right = sized.withColumn("_part", F.explode(parts)).drop("_splits")
     return left.join(right, [*keys, "_part"], how).drop("_part")
 
 
+def _splits(rows_per_split: int) -> Column:
+    return F.ceil(F.col("n_rows") / rows_per_split).cast("int")
+
+
 def _any_null(keys: Sequence[str]) -> Column:
     found = F.lit(False)
     for k in keys:

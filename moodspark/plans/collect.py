@@ -17,9 +17,12 @@ from moodspark.sources.pages import (
     ArticleRule,
     CommentRule,
     ReactionRule,
+    article_title,
+    comment_records,
     extract_articles,
-    extract_comments,
-    extract_reactions,
+    reaction_records,
+    text_records,
+    visible,
 )
 
 
@@ -30,12 +33,13 @@ class OutletTables:
     reactions: DataFrame | None = None
 
 
-def _child_keys(children: DataFrame) -> DataFrame:
-    parts = ["url", "position"] + (["part"] if "part" in children.columns else [])
-    keyed = with_key(children, "url", "article_id")
+def _children(latest: DataFrame, records: str, parts: list[str]) -> DataFrame:
+    exploded = latest.select("url", F.inline(records))
     # a child is known by its place on the page, so a second run gives the same ids
-    return keyed.withColumn("id", F.md5(F.concat_ws("#", *parts))).drop(
-        "page_id", "url", "position", "part"
+    return (
+        with_key(exploded, "url", "article_id")
+        .withColumn("id", F.md5(F.concat_ws("#", "url", *parts)))
+        .drop("url", *parts)
     )
 
 
@@ -47,13 +51,29 @@ def collect_outlet(
     text_only: bool = False,
 ) -> OutletTables:
     """Tables of one outlet.  Of several pages with one url the first (by page_id) counts
-    for the article; children come from the last one, as a later visit replaces them."""
+    for the article; children come from the last one, as a later visit replaces them.
+
+    Every page is reduced to what is wanted of it before pages of one url are compared, so
+    no HTML is shuffled.
+    """
+    html = F.col("_html")
+    seen = visible(pages)
     found = first_per_key(extract_articles(pages, articles), ["url"], ["page_id"])
-    latest = last_per_key(pages, ["url"], ["page_id"])
+    records = (text_records if text_only else comment_records)(html, comments)
+    said = last_per_key(
+        seen.select("url", "page_id", records.alias("records")), ["url"], ["page_id"]
+    )
+    reacted = None
+    if reactions is not None:
+        reacted = last_per_key(
+            seen.select("url", "page_id", reaction_records(html, reactions).alias("records")),
+            ["url"],
+            ["page_id"],
+        )
     return OutletTables(
         articles=with_key(found, "url").select("id", "url", "title", "content"),
-        comments=_child_keys(extract_comments(latest, comments, text_only)),
-        reactions=_child_keys(extract_reactions(latest, reactions)) if reactions else None,
+        comments=_children(said, "records", ["position", "part"] if text_only else ["position"]),
+        reactions=None if reacted is None else _children(reacted, "records", ["position"]),
     )
 
 
@@ -61,12 +81,18 @@ def collect_posts(
     pages: DataFrame, article: ArticleRule, comments: CommentRule, account: str
 ) -> DataFrame:
     """Post comments with the caption on every row, noise dropped."""
-    captions = extract_articles(pages, article).select("page_id", F.col("title").alias("post_caption"))
-    said = drop_noise(extract_comments(pages, comments), "comment")
-    return said.join(captions, "page_id").select(
-        F.md5(F.concat_ws("#", "url", "page_id", "position")).alias("id"),
-        F.lit(account).alias("account_name"),
+    html = F.col("_html")
+    # caption and comments leave the page together; nothing has to be joined back
+    said = visible(pages).select(
+        "page_id",
         F.col("url").alias("post_url"),
+        article_title(html, article).alias("post_caption"),
+        F.inline(comment_records(html, comments)),
+    )
+    return drop_noise(said, "comment").select(
+        F.md5(F.concat_ws("#", "post_url", "page_id", "position")).alias("id"),
+        F.lit(account).alias("account_name"),
+        "post_url",
         "post_caption",
         "comment",
     )

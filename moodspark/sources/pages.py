@@ -109,7 +109,7 @@ def visible_html(html: Column) -> Column:
     )
 
 
-def _visible(pages: DataFrame) -> DataFrame:
+def visible(pages: DataFrame) -> DataFrame:
     return pages.withColumn("_html", visible_html(F.col("html")))
 
 
@@ -162,113 +162,145 @@ def _up_to(piece: Column, end: str) -> Column:
     return F.regexp_extract(piece, rf"(?s)\A(.*?)(?:{end}|\z)", 1)
 
 
-def extract_links(
-    pages: DataFrame,
-    href_pattern: str = "",
-    base: str | None = None,
-    inside: Element | None = None,
-    dedupe: bool = True,
-) -> DataFrame:
-    """Absolute links whose href matches; ``inside`` also accepts any link within an element.
-
-    A link in every page's menu is reduced on the map side by the distinct.
-    """
-    html = F.col("_html")
+def links(html: Column, href_pattern: str = "", inside: Element | None = None) -> Column:
+    """Array of the hrefs that match; ``inside`` also accepts the first link of an element."""
     anchor = r"(?i)<a\s(?:[^>]*\s)?href\s*=\s*[\"']([^\"']*)[\"']"
-    hrefs = F.filter(
+    found = F.filter(
         F.regexp_extract_all(html, F.lit(anchor), F.lit(1)), lambda h: h.rlike(href_pattern)
     )
     if inside is not None:
         within = F.transform(
             _pieces(html, inside), lambda p: F.regexp_extract(_up_to(p, inside.closing()), anchor, 1)
         )
-        hrefs = F.concat(hrefs, within)
-    found = _visible(pages).select("url", F.explode(hrefs).alias("href")).where(F.col("href") != "")
-    origin = F.lit(base) if base else F.col("url")
-    links = found.select(
-        resolve_url(origin, F.replace(F.col("href"), F.lit("&amp;"), F.lit("&"))).alias("link")
-    )
-    return links.distinct() if dedupe else links
+        found = F.concat(found, within)
+    return F.filter(found, lambda h: h != "")
 
 
-def extract_articles(pages: DataFrame, rule: ArticleRule = VOTED_ARTICLE) -> DataFrame:
-    """page_id, url, title, content; a missing title or body is ''."""
-    html = F.col("_html")
-    title = F.coalesce(inner_text(_first_inner(html, rule.title)), F.lit(""))
+def article_title(html: Column, rule: ArticleRule) -> Column:
+    return F.coalesce(inner_text(_first_inner(html, rule.title)), F.lit(""))
+
+
+def article_body(html: Column, rule: ArticleRule) -> Column:
     if rule.paragraph is not None:
         ends = rf"{rule.paragraph.closing()}|(?i:<{rule.paragraph.tag}[\s>])"
-        texts = F.transform(
-            _pieces(html, rule.paragraph), lambda p: inner_text(_up_to(p, ends))
-        )
-        content = F.array_join(F.filter(texts, lambda t: ~is_blank(t)), "\n")
-    elif rule.body is not None:
-        content = F.coalesce(inner_text(_first_inner(html, rule.body, rule.body_end)), F.lit(""))
-    else:
-        content = F.lit("")
-    return _visible(pages).select(
-        "page_id", "url", title.alias("title"), F.coalesce(content, F.lit("")).alias("content")
-    )
+        texts = F.transform(_pieces(html, rule.paragraph), lambda p: inner_text(_up_to(p, ends)))
+        return F.coalesce(F.array_join(F.filter(texts, lambda t: ~is_blank(t)), "\n"), F.lit(""))
+    if rule.body is not None:
+        return F.coalesce(inner_text(_first_inner(html, rule.body, rule.body_end)), F.lit(""))
+    return F.lit("")
 
 
-def extract_comments(pages: DataFrame, rule: CommentRule, text_only: bool = False) -> DataFrame:
-    """page_id, url, position, comment and the rule's numbers.
+def comment_records(html: Column, rule: CommentRule) -> Column:
+    """Array of (position, comment, the rule's numbers).
 
     A record that lacks a field is skipped.  A number that is no number becomes null and the
-    record stays.  With ``text_only`` every text element of a block is a comment of its own
-    and blank ones are dropped.
+    record stays.
     """
-    blocks = _visible(pages).select(
-        "page_id",
-        "url",
-        F.posexplode(_pieces(F.col("_html"), rule.block)).alias("position", "_block"),
-    )
-    block = F.col("_block")
-    if text_only:
-        texts = F.transform(
-            _pieces(_up_to(block, rule.block.closing()), rule.text),
-            lambda p: inner_text(_up_to(p, rule.text.closing())),
+    needed = [*([rule.text] if rule.text else []), *rule.numbers.values(), *rule.required]
+
+    def complete(record: Column) -> Column:
+        ok = F.lit(True)
+        for element in needed:
+            ok = ok & record["block"].rlike(element.opening())
+        return ok
+
+    def fields(record: Column) -> Column:
+        block = record["block"]
+        content = (
+            _up_to(block, rule.block.closing())
+            if rule.text is None
+            else _first_inner(block, rule.text)
         )
-        return (
-            blocks.select("page_id", "url", "position", F.posexplode(texts).alias("part", "comment"))
-            .where(~is_blank("comment"))
+        return F.struct(
+            record["position"].alias("position"),
+            inner_text(content).alias("comment"),
+            *[
+                inner_text(_first_inner(block, element)).try_cast("int").alias(name)
+                for name, element in rule.numbers.items()
+            ],
         )
-    # complete records are told by their opening tags, before any text is taken out
-    needed = [*([rule.text] if rule.text else []), *rule.numbers.values(), *rule.required]
-    for element in needed:
-        blocks = blocks.where(block.rlike(element.opening()))
-    if rule.text is None:
-        text = inner_text(_up_to(block, rule.block.closing()))
-    else:
-        text = inner_text(_first_inner(block, rule.text))
-    return blocks.select(
-        "page_id",
-        "url",
-        "position",
-        text.alias("comment"),
-        *[
-            inner_text(_first_inner(block, element)).try_cast("int").alias(name)
-            for name, element in rule.numbers.items()
-        ],
-    )
 
+    return F.transform(F.filter(_numbered(_pieces(html, rule.block)), complete), fields)
 
-def extract_reactions(pages: DataFrame, rule: ReactionRule = REACTIONS) -> DataFrame:
-    """page_id, url, position, emotion, count; a count that is not all digits is 0."""
+
+def text_records(html: Column, rule: CommentRule) -> Column:
+    """Array of (position, part, comment): each text element of a block; blank ones dropped."""
+
+    def texts(block: Column, position: Column) -> Column:
+        inside = _up_to(block, rule.block.closing())
+        return F.transform(
+            _pieces(inside, rule.text),
+            lambda piece, part: F.struct(
+                position.alias("position"),
+                part.alias("part"),
+                inner_text(_up_to(piece, rule.text.closing())).alias("comment"),
+            ),
+        )
+
+    found = F.flatten(F.transform(_pieces(html, rule.block), texts))
+    return F.filter(found, lambda r: ~is_blank(r["comment"]))
+
+
+def reaction_records(html: Column, rule: ReactionRule = REACTIONS) -> Column:
+    """Array of (position, emotion, count); a count that is not all digits is 0."""
     opening = rule.block.opening()
+    attribute = rf"(?i)\A[^>]*\s{rule.name_attribute}\s*=\s*[\"']([^\"']*)[\"']"
     # cut in front of each opening tag, as the name is one of its attributes
-    records = F.filter(
-        F.split(F.col("_html"), rf"(?={opening})"), lambda piece: piece.rlike(rf"\A{opening}")
+    blocks = F.filter(
+        F.split(html, rf"(?={opening})"), lambda piece: piece.rlike(rf"\A{opening}")
     )
-    blocks = _visible(pages).select(
-        "page_id", "url", F.posexplode(records).alias("position", "_block")
+    complete = F.filter(
+        _numbered(blocks),
+        lambda r: r["block"].rlike(attribute) & r["block"].rlike(rule.count.opening()),
     )
-    block = F.col("_block")
-    attribute = rf"(?i)\A[^>]*\s{rule.name_attribute}\s*=\s*[\"']([^\"']*)[\"']"
-    complete = block.rlike(attribute) & block.rlike(rule.count.opening())
-    return blocks.where(complete).select(
+    return F.transform(
+        complete,
+        lambda r: F.struct(
+            r["position"].alias("position"),
+            inner_text(F.regexp_extract(r["block"], attribute, 1)).alias("emotion"),
+            digits_or_zero(inner_text(_first_inner(r["block"], rule.count))).alias("count"),
+        ),
+    )
+
+
+def _numbered(blocks: Column) -> Column:
+    return F.transform(blocks, lambda b, i: F.struct(i.alias("position"), b.alias("block")))
+
+
+def extract_links(
+    pages: DataFrame,
+    href_pattern: str = "",
+    base: str | None = None,
+    inside: Element | None = None,
+    dedupe: bool = True,
+) -> DataFrame:
+    """Absolute links.  A link in every page's menu is reduced on the map side by the distinct."""
+    found = visible(pages).select(
+        "url", F.explode(links(F.col("_html"), href_pattern, inside)).alias("_href")
+    )
+    href = F.replace(F.col("_href"), F.lit("&amp;"), F.lit("&"))
+    origin = F.lit(base) if base else F.col("url")
+    resolved = found.select(bind(href, lambda h: resolve_url(origin, h)).alias("link"))
+    return resolved.distinct() if dedupe else resolved
+
+
+def extract_articles(pages: DataFrame, rule: ArticleRule = VOTED_ARTICLE) -> DataFrame:
+    """page_id, url, title, content; a missing title or body is ''."""
+    html = F.col("_html")
+    return visible(pages).select(
         "page_id",
         "url",
-        "position",
-        inner_text(F.regexp_extract(block, attribute, 1)).alias("emotion"),
-        digits_or_zero(inner_text(_first_inner(block, rule.count))).alias("count"),
+        article_title(html, rule).alias("title"),
+        article_body(html, rule).alias("content"),
     )
+
+
+def extract_comments(pages: DataFrame, rule: CommentRule, text_only: bool = False) -> DataFrame:
+    """page_id, url and the records of comment_records or, with ``text_only``, text_records."""
+    records = text_records if text_only else comment_records
+    return visible(pages).select("page_id", "url", F.inline(records(F.col("_html"), rule)))
+
+
+def extract_reactions(pages: DataFrame, rule: ReactionRule = REACTIONS) -> DataFrame:
+    """page_id, url and the records of reaction_records."""
+    return visible(pages).select("page_id", "url", F.inline(reaction_records(F.col("_html"), rule)))
