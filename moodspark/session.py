@@ -3,9 +3,11 @@
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", app: str = "moodspark", memory: str = "8g") -> SparkSession:
+def local_session(
+    cores: int | str = "*", app: str = "moodspark", memory: str = "8g", stages: str | None = None
+) -> SparkSession:
     partitions = "8" if cores == "*" else str(cores)
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.driver.memory", memory)
@@ -13,7 +15,9 @@ def local_session(cores: int | str = "*", app: str = "moodspark", memory: str =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    if stages:
+        builder = builder.config("spark.checkpoint.dir", stages)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

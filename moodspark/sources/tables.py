@@ -4,6 +4,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -81,12 +82,21 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named."""
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Only a local session, which is its own cluster, may do without and gets a temporary one.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="moodspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_root()
+
+
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="moodspark-")
 
 
 def save_stage(df: DataFrame, name: str) -> DataFrame:
