@@ -75,6 +75,7 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
         multiLine=True,
         quote='"',
         escape='"',
+        nullValue="\0",  # any text that does not occur: keeps a quoted "" apart from nothing
         enforceSchema=False,
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
