@@ -16,7 +16,6 @@ SOURCE_VOTED = "gazeta"
 SOURCE_REACTIONS = "podrobno"
 SOURCE_POSTS = "instagram"
 POST_KEY_PREFIX = "insta_"
-UNKNOWN_AUTHOR = "(unknown)"
 
 # --- fixed values: limits ---------------------------------------------------
 SHORT_TEXT_CHARS = 12

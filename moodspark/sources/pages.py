@@ -163,16 +163,18 @@ def _up_to(piece: Column, end: str) -> Column:
 
 
 def links(html: Column, href_pattern: str = "", inside: Element | None = None) -> Column:
-    """Array of the hrefs that match; ``inside`` also accepts the first link of an element."""
-    anchor = r"(?i)<a\s(?:[^>]*\s)?href\s*=\s*[\"']([^\"']*)[\"']"
-    found = F.filter(
-        F.regexp_extract_all(html, F.lit(anchor), F.lit(1)), lambda h: h.rlike(href_pattern)
-    )
+    """Array of the hrefs that match; ``inside`` also accepts any link within an element."""
+
+    def hrefs(part: Column) -> Column:
+        anchor = r"(?i)<a\s(?:[^>]*\s)?href\s*=\s*[\"']([^\"']*)[\"']"
+        return F.regexp_extract_all(part, F.lit(anchor), F.lit(1))
+
+    found = F.filter(hrefs(html), lambda h: h.rlike(href_pattern)) if href_pattern else hrefs(html)
     if inside is not None:
         within = F.transform(
-            _pieces(html, inside), lambda p: F.regexp_extract(_up_to(p, inside.closing()), anchor, 1)
+            _pieces(html, inside), lambda p: hrefs(_up_to(p, inside.closing()))
         )
-        found = F.concat(found, within)
+        found = F.concat(found, F.flatten(within))
     return F.filter(found, lambda h: h != "")
 
 
