@@ -1 +1,9 @@
 """Public-mood analytics on PySpark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package that run in Python workers are sent along with the job, so the
+# workers need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

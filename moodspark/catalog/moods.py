@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from moodspark import fixed_values as fv
 from moodspark.catalog import inputs as i
 from moodspark.catalog import query
+from moodspark.catalog.inputs import TEST_LEXICON
 from moodspark.functions.text import clean_text
 from moodspark.operators import frames, mood, prompts
 from moodspark.operators.scoring import score_lexicon, score_text
@@ -157,7 +158,7 @@ def _batch_scorer():
     import regex
 
     word = regex.compile(r"[\p{L}\p{N}_]+")
-    weight = i.TEST_LEXICON.get
+    weight = TEST_LEXICON.get
 
     def score(batch):
         totals = (sum(weight(t, 0) for t in word.findall(text.lower())) for text in batch)

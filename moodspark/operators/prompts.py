@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moodspark import fixed_values as fv
+from moodspark.fixed_values import ARTICLE_ERROR_HEAD
 from moodspark.functions.text import bulleted_block, clean_text, numbered_list, strip
 from moodspark.operators.mood import mood_distribution, top_labels
 from moodspark.operators.sampling import (
@@ -272,7 +273,7 @@ def generate(
     make: Callable[[], TextFunction],
     prompt: str = "prompt",
     output: str = "summary",
-    error: Callable[[str], str] = lambda reason: fv.ARTICLE_ERROR_HEAD + reason,
+    error: Callable[[str], str] = lambda reason: ARTICLE_ERROR_HEAD + reason,
     parallel_calls: int | None = None,
     key: str | None = None,
 ) -> DataFrame:

@@ -21,7 +21,13 @@ from moodspark.operators.mood import (
 )
 from moodspark.operators.prompts import report_lines
 from moodspark.operators.scoring import score_lexicon
-from moodspark.sources.tables import read_table, save_stage
+from moodspark.sources.tables import (
+    overwrite,
+    read_table,
+    save_stage,
+    table_exists,
+    write_report_input,
+)
 
 Label = Callable[[DataFrame, str], DataFrame]  # adds ``sentiment`` for the named column
 
@@ -86,6 +92,21 @@ def load_frames(
     )
 
 
+def stored_summaries(
+    spark: SparkSession, root: str
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """Summaries of posts and of articles, None for a table that is not there."""
+
+    def table(name: str, schema: str) -> DataFrame | None:
+        path = os.path.join(root, name)
+        return read_table(spark, path, schema) if table_exists(spark, path) else None
+
+    return (
+        table("post_summaries", schemas.POST_SUMMARIES),
+        table("article_summaries", schemas.keyed_by(schemas.ARTICLE_SUMMARIES, "string")),
+    )
+
+
 def label_comments(comments: DataFrame, label: Label = score_lexicon) -> DataFrame:
     """Adds clean_comment and its sentiment."""
     return label(comments.withColumn("clean_comment", clean_text("comment")), "clean_comment")
@@ -153,3 +174,10 @@ def analyse(
             articles, dominant, quoted, shown, post_summaries, article_summaries
         ),
     }
+
+
+def write_results(results: Mapping[str, DataFrame], root: str) -> None:
+    """Replace the tables of the last run, and the report input beside them."""
+    for name in ("articles", "comments", "reactions", "posts"):
+        overwrite(results[name], os.path.join(root, name))
+    write_report_input(results["report"], os.path.join(root, "report"))

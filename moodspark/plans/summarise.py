@@ -1,11 +1,15 @@
-"""Summaries of articles and posts."""
+"""Summaries of articles and posts.
+
+The instructions that go with the prompts are ARTICLE_SYSTEM_TEXT and POST_SYSTEM_TEXT in
+fixed_values; the caller's function passes them on if its model takes any.
+"""
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodspark import fixed_values as fv
+from moodspark.fixed_values import POST_ERROR_TEXT
 from moodspark.functions.text import first_sentences
 from moodspark.operators.frames import normalise_article, where_text
 from moodspark.operators.prompts import (
@@ -57,7 +61,7 @@ def summarise_posts(
     return generate(
         post_prompts(groups, redact),
         lambda: _trimmed(make()),
-        error=lambda reason: fv.POST_ERROR_TEXT,
+        error=lambda reason: POST_ERROR_TEXT,
         parallel_calls=parallel_calls,
         key="post_url",
     ).select(columns)

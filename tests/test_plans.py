@@ -53,6 +53,19 @@ def test_analyse(spark, tmp_path):
     assert rows(lazy["report"]) == rows(out["report"])
 
 
+def test_write_and_read_back(spark, tmp_path):
+    outlets(spark, tmp_path)
+    results = analyse.analyse(analyse.load_frames(spark, str(tmp_path), key_type="bigint"))
+    for _ in range(2):  # the second run replaces the first
+        analyse.write_results(results, str(tmp_path / "out"))
+    assert tables.read_table(spark, str(tmp_path / "out/articles")).count() == 5
+    assert any((tmp_path / "out/report").glob("part-*.txt"))
+    assert analyse.stored_summaries(spark, str(tmp_path / "out")) == (None, None)
+    save(spark, tmp_path, "out/post_summaries", [("u1", "New tax", 3, "short")], schemas.POST_SUMMARIES)
+    posts, articles = analyse.stored_summaries(spark, str(tmp_path / "out"))
+    assert articles is None and rows(posts) == [("u1", "New tax", 3, "short")]
+
+
 def test_absent_posts(spark, tmp_path):
     outlets(spark, tmp_path, posts=False)
     out = analyse.analyse(analyse.load_frames(spark, str(tmp_path), key_type="bigint"))
