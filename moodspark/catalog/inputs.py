@@ -22,8 +22,18 @@ TEST_KEYWORDS = ["Tion", "eau", "ung ", "ción", "Über"]
 TEST_WORDS = ["the", "für", "está", "été"]
 
 
+# the columns used; with a schema at hand no file is opened before the query runs
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "events": "event_id bigint, user_id bigint, event_type string, value double, props string",
+    "pages": "page_id bigint, url string, html string",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf}/{name}.parquet")
+    return read_table(spark, f"{sf}/{name}.parquet", SCHEMAS[name])
 
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:

@@ -373,7 +373,6 @@ def _sql_fixed(section, lines):
     UNION ALL {_sql_fixed(4, ["", fv.REPORT_QUOTES_HEAD])}
     UNION ALL SELECT 5, CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR), '- "' || clean || '"'
               FROM (SELECT conv_id, turn, {i.sql_clean('text')} AS clean FROM conversations WHERE role = 'user'
-                    AND {i.sql_clean('text')} <> ''
                     ORDER BY md5('42:' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)), conv_id, turn LIMIT 10)
     UNION ALL SELECT 6, '0000', chr(10) || {_text(fv.REPORT_POST_SUMMARIES)} || chr(10) || {_text(fv.REPORT_POST_SUMMARIES_ABSENT)}
     UNION ALL SELECT 7, '0000', chr(10) || {_text(fv.REPORT_ARTICLE_SUMMARIES)} || chr(10) || block FROM ({_SQL_BLOCK})

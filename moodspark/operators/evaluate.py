@@ -51,29 +51,52 @@ def _ratio(top: Column, bottom: Column) -> Column:
 
 
 def _class_scores(df: DataFrame, truth: str, predicted: str, labels: Sequence[str]) -> DataFrame:
-    """One row: an array ``_classes`` of scores in label order, ``_hits`` and ``_total``."""
+    """One row: an array ``_classes`` of scores in label order, ``_hits`` and ``_total``.
+
+    The scores are worked out in steps over the array, each from the fields of the one
+    before, so that no expression is written out more than once.
+    """
     n = range(len(labels))
-    scores = []
-    for i in n:
-        hits = F.col(f"_{i}_{i}")
-        support = _add([F.col(f"_{i}_{j}") for j in n])
-        guesses = _add([F.col(f"_{j}_{i}") for j in n])
-        precision, recall = _ratio(hits, guesses), _ratio(hits, support)
-        f1 = F.when(precision + recall == 0, F.lit(0.0)).otherwise(
-            F.lit(2.0) * precision * recall / (precision + recall)
-        )
-        scores.append(
+    sums = F.array(
+        *[
             F.struct(
                 F.lit(labels[i]).alias("label"),
-                precision.alias("precision"),
-                recall.alias("recall"),
-                f1.alias("f1"),
-                support.alias("support"),
-                (support + guesses > 0).alias("seen"),
+                F.col(f"_{i}_{i}").alias("hits"),
+                _add([F.col(f"_{i}_{j}") for j in n]).alias("support"),
+                _add([F.col(f"_{j}_{i}") for j in n]).alias("guesses"),
             )
+            for i in n
+        ]
+    )
+    seen = F.filter(sums, lambda s: s["support"] + s["guesses"] > 0)
+    rates = F.transform(
+        seen,
+        lambda s: F.struct(
+            s["label"].alias("label"),
+            _ratio(s["hits"], s["guesses"]).alias("precision"),
+            _ratio(s["hits"], s["support"]).alias("recall"),
+            s["support"].alias("support"),
+        ),
+    )
+
+    def f1(s: Column) -> Column:
+        both = s["precision"] + s["recall"]
+        return F.when(both == 0, F.lit(0.0)).otherwise(
+            F.lit(2.0) * s["precision"] * s["recall"] / both
         )
+
+    scores = F.transform(
+        rates,
+        lambda s: F.struct(
+            s["label"].alias("label"),
+            s["precision"].alias("precision"),
+            s["recall"].alias("recall"),
+            f1(s).alias("f1"),
+            s["support"].alias("support"),
+        ),
+    )
     return _pair_counts(df, truth, predicted, labels).select(
-        F.filter(F.array(*scores), lambda s: s["seen"]).alias("_classes"),
+        scores.alias("_classes"),
         _add([F.col(f"_{i}_{i}") for i in n]).alias("_hits"),
         _add([F.col(f"_{i}_{j}") for i in n for j in n]).alias("_total"),
     )
@@ -99,17 +122,6 @@ def classification_report(
     prediction, then accuracy, macro avg and weighted avg.  Dividing by zero gives 0."""
     rows = _class_scores(df, truth, predicted, labels)
     nothing = F.lit(None).cast("double")
-    per_class = F.transform(
-        "_classes",
-        lambda s: F.struct(
-            s["label"].alias("label"),
-            s["precision"].alias("precision"),
-            s["recall"].alias("recall"),
-            s["f1"].alias("f1"),
-            s["support"].alias("support"),
-        ),
-    )
-
     def summary(name: str, precision: Column, recall: Column, f1: Column) -> Column:
         return F.struct(
             F.lit(name).alias("label"),
@@ -124,7 +136,7 @@ def classification_report(
         summary("macro avg", _mean("precision"), _mean("recall"), _mean("f1")),
         summary("weighted avg", _weighted("precision"), _weighted("recall"), _weighted("f1")),
     )
-    return rows.select(F.inline(F.concat(per_class, summaries)))
+    return rows.select(F.inline(F.concat(F.col("_classes"), summaries)))
 
 
 def macro_f1(

@@ -227,7 +227,7 @@ def report_lines(
     top_text = F.when(F.size("names") > 0, F.array_join("names", ", ")).otherwise(
         F.lit(fv.REPORT_NO_REACTIONS)
     )
-    said = quotes.where(F.col("clean_comment") != "")
+    said = quotes.where(F.col("clean_comment").isNotNull())
     picked = sample_rows(said, quote_keys, fv.REPORT_QUOTES, seed)
     quoted = F.concat(F.lit('- "'), F.col("clean_comment"), F.lit('"'))
 

@@ -15,6 +15,8 @@ def local_session(
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # no call site for each Column: building a plan of many expressions takes a third
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if stages:
         builder = builder.config("spark.checkpoint.dir", stages)

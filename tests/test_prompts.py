@@ -130,7 +130,7 @@ def test_report(spark, tmp_path):
         "    - Без комментариев: 1 (33.3%)\n" in text
     )
     assert "(по реакциям): positive, negative\n" in text
-    assert text.count('- "quote ') == 10
+    assert sum(line.startswith('- "') for line in text.splitlines()) == 10
     assert text.count("- s") == 5 and fv.REPORT_ARTICLE_SUMMARIES_EMPTY in text
     assert "Этот пост: caption 0, вызвал такую реакцию: neutral\nЭтот пост: caption 1" in text
     assert text.rstrip().endswith(fv.REPORT_TASK)
