@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from moodspark.functions.text import REMOVED_PARTS, SPACE_CHARS, WORD_CHARS
 from moodspark.operators.scoring import score_lexicon
 from moodspark.operators.skew import balanced_join
-from moodspark.sources.tables import read_table
+from moodspark.sources.tables import read_table, spread_small
 
 # words of the synthetic texts, as the real lexicon's words do not occur in them
 TEST_LEXICON = {"the": 1, "le": 1, "und": 1, "of": -1, "la": -1, "der": -1}
@@ -36,6 +36,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return read_table(spark, f"{sf}/{name}.parquet", SCHEMAS[name])
 
 
+def texts(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    """A table for work that is heavy per row."""
+    return spread_small(table(spark, sf, name), key)
+
+
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(
         F.col("doc_id").alias("article_id"), "source", F.col("text").alias("content")

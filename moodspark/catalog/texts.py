@@ -16,17 +16,17 @@ SQL_LEAD = rf"""
 
 @query(f"SELECT doc_id, {i.sql_clean('text')} AS clean FROM documents")
 def cleaned_documents(spark, sf):
-    return i.table(spark, sf, "documents").select("doc_id", clean_text("text").alias("clean"))
+    return i.texts(spark, sf, "documents", "doc_id").select("doc_id", clean_text("text").alias("clean"))
 
 
 @query(f"SELECT page_id, {i.sql_clean('html')} AS clean FROM pages")
 def cleaned_pages(spark, sf):
-    return i.table(spark, sf, "pages").select("page_id", clean_text("html").alias("clean"))
+    return i.texts(spark, sf, "pages", "page_id").select("page_id", clean_text("html").alias("clean"))
 
 
 @query(f"SELECT doc_id, {i.sql_strip('text')} AS text FROM documents")
 def stripped_documents(spark, sf):
-    return i.table(spark, sf, "documents").select("doc_id", strip("text").alias("text"))
+    return i.texts(spark, sf, "documents", "doc_id").select("doc_id", strip("text").alias("text"))
 
 
 @query("""SELECT event_id, CASE WHEN regexp_full_match(k, '[0-9]+') THEN CAST(k AS BIGINT) ELSE 0 END AS k,
@@ -53,7 +53,7 @@ def index_labels(spark, sf):
 
 @query(SQL_LEAD)
 def lead_sentences(spark, sf):
-    return i.table(spark, sf, "documents").select("doc_id", first_sentences("text").alias("lead"))
+    return i.texts(spark, sf, "documents", "doc_id").select("doc_id", first_sentences("text").alias("lead"))
 
 
 # --- pages ------------------------------------------------------------------------
@@ -84,12 +84,12 @@ def _sql_links(where):
 
 @query(_sql_links("true"))
 def page_links(spark, sf):
-    return p.extract_links(i.table(spark, sf, "pages"))
+    return p.extract_links(i.texts(spark, sf, "pages", "page_id"))
 
 
 @query(_sql_links("regexp_matches(href, '^/[a-m]')"))
 def page_links_by_pattern(spark, sf):
-    return p.extract_links(i.table(spark, sf, "pages"), "^/[a-m]")
+    return p.extract_links(i.texts(spark, sf, "pages", "page_id"), "^/[a-m]")
 
 
 @query(f"""SELECT doc_id, {_sql_resolved("source || '/' || lang")} AS relative,
@@ -135,7 +135,7 @@ _PAGE_RULE = p.ArticleRule(title=p.Element("h1"), paragraph=p.Element("p"))
            coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (n > 1 AND NOT {i.sql_blank('line')}), '') AS content
     FROM x GROUP BY page_id, url, title""")
 def page_articles(spark, sf):
-    return p.extract_articles(i.table(spark, sf, "pages"), _PAGE_RULE)
+    return p.extract_articles(i.texts(spark, sf, "pages", "page_id"), _PAGE_RULE)
 
 
 _SQL_LIST = f"""
@@ -151,7 +151,7 @@ _SQL_LIST = f"""
            FROM ({_SQL_LIST}) WHERE regexp_matches(part, '(?i:<a)(?:\\s[^>]*)?>')""")
 def page_records(spark, sf):
     rule = p.CommentRule(block=p.Element("li"), text=p.Element("a"))
-    return p.extract_comments(i.table(spark, sf, "pages"), rule)
+    return p.extract_comments(i.texts(spark, sf, "pages", "page_id"), rule)
 
 
 @query(f"""SELECT * FROM (
@@ -161,4 +161,4 @@ def page_records(spark, sf):
            WHERE NOT {i.sql_blank('comment')}""")
 def page_text_records(spark, sf):
     rule = p.CommentRule(block=p.Element("li"), text=p.Element("a"))
-    return p.extract_comments(i.table(spark, sf, "pages"), rule, text_only=True)
+    return p.extract_comments(i.texts(spark, sf, "pages", "page_id"), rule, text_only=True)

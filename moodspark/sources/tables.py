@@ -30,6 +30,19 @@ def read_table(
         raise
 
 
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for costly work on a table that is stored in few pieces.
+
+    A scan with fewer partitions than there are cores is dealt out anew by ``key``.  Such a
+    table is at most cores x spark.sql.files.maxPartitionBytes in size, so the shuffle is
+    bounded; any larger table is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.schema("_probe string").parquet(path)
