@@ -7,7 +7,6 @@ fixed_values; the caller's function passes them on if its model takes any.
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from moodspark.fixed_values import POST_ERROR_TEXT
 from moodspark.functions.text import first_sentences
