@@ -1,6 +1,9 @@
 """Registered queries of the package and the SQL that defines their results."""
 
-from moodspark.llm import lines
+from moodspark.llm import lines, minhash
 
-QUERIES = {"op3_line_dedup": lines.op3_line_dedup}
+QUERIES = {
+    "op3_line_dedup": lines.op3_line_dedup,
+    "op4_minhash": minhash.op4_minhash,
+}
 SQL = {"op3_line_dedup": lines.OP3_SQL}
