@@ -1,9 +1,10 @@
 """Registered queries of the package and the SQL that defines their results."""
 
-from moodspark.llm import lines, minhash
+from moodspark.llm import lines, minhash, packing
 
 QUERIES = {
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_minhash": minhash.op4_minhash,
+    "op9_packing": packing.op9_packing,
 }
 SQL = {"op3_line_dedup": lines.OP3_SQL}
