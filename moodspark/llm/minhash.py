@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from moodspark.llm.common import small_enough, stage, table
 from moodspark.llm.components import components
 
-#: 42 bands of 6 coordinates: a pair at the limit of 0.8 misses every band with a chance of
-#: (1 - 0.8 ** 6) ** 42, 3 in a million; a pair at 0.3 meets in one with a chance of 0.03.
-BANDS, ROWS = 42, 6
+#: 64 bands of 8 coordinates: a pair at the limit of 0.8 misses every band with a chance of
+#: (1 - 0.8 ** 8) ** 64, 8 in a million; a pair at 0.4 meets in one with a chance of 0.04.
+BANDS, ROWS = 64, 8
 #: Pairs whose share of equal coordinates is this far below the limit are not looked up: six
-#: standard deviations of the estimate from 252 coordinates at 0.8.
-SLACK = 0.15
+#: standard deviations of the estimate from 512 coordinates at 0.8.
+SLACK = 0.11
 
 _WORDS_KEPT = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
