@@ -1,10 +1,16 @@
 """Registered queries of the package and the SQL that defines their results."""
 
-from moodspark.llm import lines, minhash, packing
+import corpus_pipeline
+from moodspark.llm import lines, minhash, packing, templates, toxicity
 
 QUERIES = {
+    "op1_decontamination": templates.op1_decontamination,
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_minhash": minhash.op4_minhash,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_packing": packing.op9_packing,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {"op3_line_dedup": lines.OP3_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

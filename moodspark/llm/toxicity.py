@@ -307,7 +307,7 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
     def run(batches):
         find = Matcher(terms, ordinary)
         for ids, texts in _rows(batches):
-            p = probability(np.array([features(text or "", find) for text in texts]).reshape(-1, 2), weights)
+            p = _probabilities(texts, find, weights)
             yield pa.record_batch(
                 [
                     pa.array(ids, pa.int64()),
@@ -321,6 +321,26 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def clean(docs: DataFrame, model: Toxicity, limit: float = 0.5) -> DataFrame:
+    """The rows of docs, with all columns, whose text scores under the limit."""
+    terms, ordinary, weights = model.terms, model.ordinary, np.array(model.weights)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        find = Matcher(terms, ordinary)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                keep = _probabilities(part.column(at).to_pylist(), find, weights) < limit
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _probabilities(texts: list, find: Matcher, weights: np.ndarray) -> np.ndarray:
+    return probability(np.array([features(text or "", find) for text in texts]).reshape(-1, 2), weights)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
