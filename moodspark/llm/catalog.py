@@ -1,16 +1,19 @@
 """Registered queries of the package and the SQL that defines their results."""
 
 import corpus_pipeline
-from moodspark.llm import lines, minhash, packing, templates, toxicity
+from moodspark.llm import compression, licenses, lines, minhash, packing, templates, toxicity, urls
 
 QUERIES = {
     "op1_decontamination": templates.op1_decontamination,
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_minhash": minhash.op4_minhash,
+    "op5_quality": compression.op5_quality,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_url_filter": urls.op8_url_filter,
     "op9_packing": packing.op9_packing,
+    "op10_licenses": licenses.op10_licenses,
     "pipeline": corpus_pipeline.run,
 }
-SQL = {"op3_line_dedup": lines.OP3_SQL}
+SQL = {"op3_line_dedup": lines.OP3_SQL, "op10_licenses": licenses.OP10_SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
