@@ -1,13 +1,14 @@
 """Registered queries of the package and the SQL that defines their results."""
 
 import corpus_pipeline
-from moodspark.llm import compression, licenses, lines, minhash, packing, templates, toxicity, urls
+from moodspark.llm import compression, licenses, lines, minhash, packing, personal, templates, toxicity, urls
 
 QUERIES = {
     "op1_decontamination": templates.op1_decontamination,
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_minhash": minhash.op4_minhash,
     "op5_quality": compression.op5_quality,
+    "op6_personal_data": personal.op6_personal_data,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_url_filter": urls.op8_url_filter,
     "op9_packing": packing.op9_packing,
