@@ -1,10 +1,11 @@
 """Registered queries of the package and the SQL that defines their results."""
 
 import corpus_pipeline
-from moodspark.llm import compression, licenses, lines, minhash, packing, personal, templates, toxicity, urls
+from moodspark.llm import compression, hnsw, licenses, lines, minhash, packing, personal, templates, toxicity, urls
 
 QUERIES = {
     "op1_decontamination": templates.op1_decontamination,
+    "op2_near_vectors": hnsw.op2_near_vectors,
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_minhash": minhash.op4_minhash,
     "op5_quality": compression.op5_quality,
