@@ -19,6 +19,8 @@ BANDS, ROWS = 64, 8
 #: Pairs whose share of equal coordinates is this far below the limit are not looked up: six
 #: standard deviations of the estimate from 512 coordinates at 0.8.
 SLACK = 0.11
+#: Sketches on each side of a task that compares blocks of a band.
+BLOCK = 4096
 
 _WORDS_KEPT = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -177,6 +179,25 @@ def _alike(percent: int):
     return run
 
 
+def _apart(least: float):
+    """Pairs of a stray and a class of another component whose sketches agree in this share of places."""
+
+    def run(strays, there):
+        a, b = [], []
+        if strays.num_rows and there.num_rows:
+            ids, own = there["doc_id"].to_numpy(), there["own"].to_numpy()
+            sketches = np.frombuffer(b"".join(there["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
+            for doc_id, label, sketch in zip(*(strays[c].to_pylist() for c in ("doc_id", "own", "sketch")), strict=True):
+                equal = np.count_nonzero(sketches == np.frombuffer(sketch, np.uint8), axis=1)
+                found = ids[(equal >= least * sketches.shape[1]) & (own != label)]
+                a.append(np.maximum(found, doc_id))
+                b.append(np.minimum(found, doc_id))
+        empty = np.empty(0, np.int64)
+        return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -188,10 +209,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     Documents with the same set become one class before banding, so exact copies cost nothing
     more.  The classes that meet in a band link in three rounds, each on what the one before left
-    apart: with the smallest class of all their bands; with the smallest class of each band; and
-    in bands that still hold several components, every class outside the band's largest component
-    with the classes of other components.  So a group of thousands of near copies costs a few
-    pairs for each copy, not all pairs.  Every pair is confirmed on full sets.
+    apart: with the smallest class of all their bands; with one class of each band, picked by a
+    hash; and in bands that still hold several components, every class outside the band's largest
+    component with the classes of other components, block by block on their sketches, so that only
+    pairs near the limit leave a task.  So a group of thousands of near copies costs a few pairs for
+    each copy, not all pairs.  Every pair is confirmed on full sets.
 
     Rows without doc_id link with nothing: component_id null, kept true.  Repeated rows of one
     doc_id are one document with the links of all its rows; each row is returned.  Extra columns
@@ -207,8 +229,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         classes.select("digest", F.col("class").alias("doc_id")), ["digest", "doc_id"], "left_semi"
     )
     buckets = heads.select("doc_id", F.explode("bands").alias("band")).distinct()
-    shared = buckets.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = stage(buckets.join(shared.select("band", "hub"), "band"), "members")
+    shared = buckets.groupBy("band").agg(
+        F.min("doc_id").alias("hub"),
+        F.min_by("doc_id", F.xxhash64("doc_id", "band")).alias("other"),
+        F.count("*").alias("n"),
+    )
+    members = stage(buckets.join(shared.where("n > 1").select("band", "hub", "other"), "band"), "members")
 
     found = members.select("doc_id").distinct()
     ids = small_enough(stage(found, "candidates"))
@@ -220,29 +246,48 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         close = _with_both(stage(pairs, "pairs"), sketches, "sketch").mapInArrow(
             _close(percent / 100 - SLACK), "a long, b long"
         )
+        return verified(close)
+
+    def verified(close: DataFrame) -> DataFrame:
         close = stage(close.distinct(), "close")
         return stage(_with_both(close, sets, "held").mapInArrow(_alike(percent), "a long, b long").distinct(), "links")
 
     links = linked(members.where("doc_id <> hub").groupBy("doc_id").agg(F.min("hub").alias("hub")).toDF("a", "b"))
     label = stage(components(links), "labels")
 
-    own, hubs = label.toDF("doc_id", "own"), label.toDF("hub", "theirs")
-    named = members.join(own, "doc_id", "left").join(hubs, "hub", "left")
-    named = named.withColumns({"own": F.coalesce("own", "doc_id"), "theirs": F.coalesce("theirs", "hub")})
+    own, hubs = label.toDF("doc_id", "own"), label.toDF("other", "theirs")
+    named = members.join(own, "doc_id", "left").join(hubs, "other", "left")
+    named = named.withColumns({"own": F.coalesce("own", "doc_id"), "theirs": F.coalesce("theirs", "other")})
     links = links.unionByName(
-        linked(named.where("own <> theirs").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
+        linked(named.where("own <> theirs").select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct())
     )
     label = stage(components(links), "labels")
 
     own = label.toDF("doc_id", "own")
-    named = members.join(own, "doc_id", "left").withColumn("own", F.coalesce("own", "doc_id")).drop("hub")
+    named = members.join(own, "doc_id", "left").select("band", "doc_id", F.coalesce("own", "doc_id").alias("own"))
     sizes = named.groupBy("band", "own").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("band").agg(F.max_by("own", F.struct("n", "own")).alias("main"), F.count("*").alias("k"))
-    open_bands = stage(named.join(main.where("k > 1").select("band", "main"), "band"), "open")
-    x = open_bands.where("own <> main").select("band", F.col("doc_id").alias("a"), F.col("own").alias("own_a"))
-    y = open_bands.select("band", F.col("doc_id").alias("b"), F.col("own").alias("own_b"))
-    rest = x.join(y, "band").where("own_a <> own_b")
-    links = links.unionByName(linked(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
+    main = sizes.groupBy("band").agg(
+        F.max_by("own", F.struct("n", "own")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")
+    )
+    main = main.where("n > most").select(
+        "band",
+        "main",
+        F.ceil(F.col("n") / BLOCK).alias("blocks"),
+        F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("few"),
+    )
+    open_bands = stage(named.join(main, "band").join(sketches, "doc_id"), "open")
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    few = F.pmod(F.xxhash64("doc_id"), F.col("few"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    keys = ["band", "block", "part"]
+    strays = open_bands.where("own <> main").select(
+        "band", every("blocks").alias("block"), few.alias("part"), "doc_id", "own", "sketch"
+    )
+    there = open_bands.select("band", block.alias("block"), every("few").alias("part"), "doc_id", "own", "sketch")
+    rest = strays.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInArrow(
+        _apart(percent / 100 - SLACK), "a long, b long"
+    )
+    links = links.unionByName(verified(rest))
     label = components(links).toDF("class", "component")
 
     held = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "digest").join(classes, "digest")
