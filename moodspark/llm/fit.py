@@ -44,7 +44,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 5
     smoothed share of the class.
     """
     n = len(y)
-    x = np.column_stack([np.asarray(x, float).reshape(n, -1), np.ones(n)])
+    x = np.column_stack([np.asarray(x, float), np.ones(n)])
     w = np.zeros(x.shape[1])
     w[-1] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
     if n == 0 or y.min() == y.max():

@@ -131,6 +131,7 @@ def features(text: str, span: Span) -> list[float]:
         "(" in inside and ")" in inside,
         12 <= len(digits) <= 19 and luhn(digits),
         max((int(x[-4:]) for x in re.findall("[0-9]+", inside)), default=0) <= 255,
+        inside[-2:].isalpha(),
         before[-1:].isalnum() + after[:1].isalnum(),
         before[-1:] in "+-./,=#" and before != "",
         sum(map(str.isdigit, before)) + sum(map(str.isdigit, after)),
@@ -258,6 +259,8 @@ def examples(spans: list[tuple[str, str, str, str]], seed: int = 7) -> tuple[np.
             local, _, domain = inside.partition("@")
             add(kind, before, f"{local} [at] {domain.replace('.', ' [dot] ')}", after, 1)
             add(kind, before, f"{local}(at){domain}", after, 1)
+            letters = re.sub("[0-9]", "", local).strip(".") or "a"
+            add(kind, before, f"{letters} [at] {re.sub('[0-9]', '', domain).replace('.', ' [dot] ')}", after, 1)
             add(kind, before, f"{local[:1]} (at) {number(1)}.{number(1)}", after, 0)
         elif kind == "ip":
             add(kind, before, inside.replace(".", "[.]"), after, 1)
@@ -278,7 +281,7 @@ def examples(spans: list[tuple[str, str, str, str]], seed: int = 7) -> tuple[np.
             add(kind, before, f"{number(6)} {number(5)}", after, 0)
             add(kind, before + number(4) + "-", f"{number(5)}-{number(6)}", "-" + number(4) + after, 0)
             add(kind, before, f"{inside} {number(4)}", number(12) + after, 0)
-    return np.array(x, float).reshape(-1, 16), np.array(y, float), kinds
+    return np.array(x, float).reshape(len(y), -1), np.array(y, float), kinds
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, spans: int = SAMPLE_SPANS) -> Finder:
