@@ -281,7 +281,7 @@ def examples(spans: list[tuple[str, str, str, str]], seed: int = 7) -> tuple[np.
             add(kind, before, f"{number(6)} {number(5)}", after, 0)
             add(kind, before + number(4) + "-", f"{number(5)}-{number(6)}", "-" + number(4) + after, 0)
             add(kind, before, f"{inside} {number(4)}", number(12) + after, 0)
-    return np.array(x, float).reshape(len(y), -1), np.array(y, float), kinds
+    return np.array(x, float), np.array(y, float), kinds
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, spans: int = SAMPLE_SPANS) -> Finder:
