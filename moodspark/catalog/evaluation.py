@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from moodspark.catalog import inputs as i
 from moodspark.catalog import query
 from moodspark.catalog.rows import _sql_contains
-from moodspark.fixed_values import EVALUATION_LABELS
+from moodspark.fixed_values import EVALUATION_LABELS, EVALUATION_ROWS
 from moodspark.operators import evaluate, frames
 from moodspark.operators.scoring import score_lexicon
 from moodspark.plans import hand_labels
@@ -83,7 +83,7 @@ def macro_f1(spark, sf):
 
 @query(_sql_report(f"SELECT * FROM ({_SQL_PAIRS}) ORDER BY doc_id LIMIT 50"))
 def report_on_first_rows(spark, sf):
-    return hand_labels.evaluate(_pairs(spark, sf), ["doc_id"])["report"]
+    return hand_labels.evaluate(_pairs(spark, sf), ["doc_id"], rows=EVALUATION_ROWS)["report"]
 
 
 @query(f"""SELECT 'insta_' || CAST(id AS VARCHAR) AS article_id, 'instagram' AS source, comment,

@@ -111,7 +111,7 @@ _SQL_LABELLED_DOCS = f"SELECT doc_id, source, {i.sql_label(i.sql_clean('text'))}
                  CAST(count(*) FILTER (sentiment = 'positive') AS BIGINT) AS positive
           FROM ({_SQL_LABELLED_DOCS}) GROUP BY source)""")
 def mood_by_source(spark, sf):
-    texts = i.texts(spark, sf, "documents", "doc_id")
+    texts = i.table(spark, sf, "documents")
     docs = texts.select("source", clean_text("text").alias("clean"))
     return mood.comment_mood(score_lexicon(docs, "clean", i.TEST_LEXICON), "source")
 
@@ -150,7 +150,7 @@ def frame_row_counts(spark, sf):
 
 @query(f"SELECT doc_id, {i.sql_label(i.sql_clean('text'))} AS sentiment FROM documents")
 def lexicon_labels(spark, sf):
-    texts = i.texts(spark, sf, "documents", "doc_id")
+    texts = i.table(spark, sf, "documents")
     docs = texts.select("doc_id", clean_text("text").alias("clean"))
     return score_lexicon(docs, "clean", i.TEST_LEXICON).select("doc_id", "sentiment")
 

@@ -67,7 +67,7 @@ VOTED_COMMENT = ("div", "class", "comment-body")
 VOTED_COMMENT_AUTHOR = ("h4", "class", "comment-user")
 VOTED_COMMENT_UP = ("span", "class", "up-votes-count")
 VOTED_COMMENT_DOWN = ("span", "class", "down-votes-count")
-VOTED_LINK = "^/ru/.*/2025/"
+VOTED_LINK = "^(?=/ru/).*/2025/"
 REACTION_PAGE_TITLE = ("h1", "class", "post-title")
 REACTION_PAGE_BODY = ("div", "class", "detail-text")
 REACTION_PAGE_COMMENT = ("div", "class", "comment-content")

@@ -28,32 +28,35 @@ DEFAULT_LEXICON = {
 }
 
 
-def lexicon_score(c: Column, lexicon: Mapping[str, int] = DEFAULT_LEXICON) -> Column:
+def lexicon_score(c: Column, lexicon: Mapping[str, float] = DEFAULT_LEXICON) -> Column:
     if not lexicon:
         raise ValueError("the lexicon is empty")
     if len(lexicon) > MAX_LEXICON_WORDS:
         raise ValueError(
             f"{len(lexicon)} words exceed {MAX_LEXICON_WORDS}; use a plug-in scorer instead"
         )
-    by_weight: dict[int, list[str]] = defaultdict(list)
+    by_weight: dict[float, list[str]] = defaultdict(list)
     for word, weight in lexicon.items():
-        by_weight[int(weight)].append(word.lower())
+        by_weight[weight].append(word.lower())
     # an apostrophe between letters is part of the word only if the lexicon uses it
     inner = "(?:'[%s]+)*" % WORD_CHARS if any("'" in w for w in lexicon) else ""
     tokens = F.regexp_extract_all(
         F.lower(F.coalesce(c, F.lit(""))), F.lit(f"[{WORD_CHARS}]+{inner}"), F.lit(0)
     )
 
+    # whole weights add up as whole numbers, others as doubles
+    nothing = F.lit(0) if all(isinstance(w, int) for w in by_weight) else F.lit(0.0)
+
     def weight_of(token: Column) -> Column:
-        value = F.lit(0)
+        value = nothing
         for weight, words in by_weight.items():
-            value = F.when(token.isin(words), F.lit(weight)).otherwise(value)
+            value = F.when(token.isin(words), F.lit(weight) + nothing).otherwise(value)
         return value
 
-    return F.aggregate(tokens, F.lit(0), lambda total, token: total + weight_of(token))
+    return F.aggregate(tokens, nothing, lambda total, token: total + weight_of(token))
 
 
-def lexicon_label(c: Column, lexicon: Mapping[str, int] = DEFAULT_LEXICON) -> Column:
+def lexicon_label(c: Column, lexicon: Mapping[str, float] = DEFAULT_LEXICON) -> Column:
     score = lexicon_score(c, lexicon)
     # signum keeps the aggregate in the plan once; a score tested twice would run twice
     sign = F.signum(score).cast("int")

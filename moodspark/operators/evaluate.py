@@ -1,11 +1,10 @@
 """Predictions against hand labels.
 
-All figures come from one pass that counts every (truth, prediction) pair of a short,
-fixed list of labels into a single row.  Nothing is joined.
+The matrix counts every pair of a short, fixed list of labels into a single row; the scores count
+the pairs that occur.  Nothing is joined.
 """
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,33 +41,44 @@ def confusion_matrix(
     return _pair_counts(df, truth, predicted, labels).select(F.inline(cells))
 
 
-def _add(columns: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
-
-
 def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom == 0, F.lit(0.0)).otherwise(top.cast("double") / bottom.cast("double"))
 
 
-def _class_scores(df: DataFrame, truth: str, predicted: str, labels: Sequence[str]) -> DataFrame:
+def _class_scores(
+    df: DataFrame, truth: str, predicted: str, labels: Sequence[str] | None
+) -> DataFrame:
     """One row: an array ``_classes`` of scores in label order, ``_hits`` and ``_total``.
 
+    The rows are counted by pair before their shuffle; what meets in one task is a row per class.
     The scores are worked out in steps over the array, each from the fields of the one
     before, so that no expression is written out more than once.
     """
-    n = range(len(labels))
-    sums = F.array(
-        *[
-            F.struct(
-                F.lit(labels[i]).alias("label"),
-                F.col(f"_{i}_{i}").alias("hits"),
-                _add([F.col(f"_{i}_{j}") for j in n]).alias("support"),
-                _add([F.col(f"_{j}_{i}") for j in n]).alias("guesses"),
-            )
-            for i in n
-        ]
+    t, p, n = F.col("_t"), F.col("_p"), F.col("_n")
+    pairs = df.select(F.col(truth).alias("_t"), F.col(predicted).alias("_p")).where(
+        t.isNotNull() & p.isNotNull()
     )
-    seen = F.filter(sums, lambda s: s["support"] + s["guesses"] > 0)
+    if labels is not None:
+        pairs = pairs.where(t.isin(*labels) & p.isin(*labels))
+    pairs = pairs.groupBy("_t", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    hit = F.when(t == p, n).otherwise(F.lit(0).cast("long"))
+    none = F.lit(0).cast("long")
+
+    def side(label: Column, hits: Column, support: Column, guesses: Column) -> Column:
+        return F.struct(
+            label.alias("label"), hits.alias("hits"), support.alias("support"), guesses.alias("guesses")
+        )
+
+    sides = pairs.select(F.inline(F.array(side(t, hit, n, none), side(p, none, none, n))))
+    classes = sides.groupBy("label").agg(
+        *[F.sum(c).alias(c) for c in ("hits", "support", "guesses")]
+    )
+    whole = classes.agg(
+        F.sort_array(F.collect_list(F.struct("label", "hits", "support", "guesses"))).alias("_seen"),
+        F.coalesce(F.sum("hits"), none).alias("_hits"),
+        F.coalesce(F.sum("support"), none).alias("_total"),
+    )
+    seen = F.col("_seen")
     rates = F.transform(
         seen,
         lambda s: F.struct(
@@ -95,11 +105,7 @@ def _class_scores(df: DataFrame, truth: str, predicted: str, labels: Sequence[st
             s["support"].alias("support"),
         ),
     )
-    return _pair_counts(df, truth, predicted, labels).select(
-        scores.alias("_classes"),
-        _add([F.col(f"_{i}_{i}") for i in n]).alias("_hits"),
-        _add([F.col(f"_{i}_{j}") for i in n for j in n]).alias("_total"),
-    )
+    return whole.select(scores.alias("_classes"), "_hits", "_total")
 
 
 def _mean(field: str) -> Column:
@@ -116,10 +122,12 @@ def classification_report(
     df: DataFrame,
     truth: str = "true_sentiment",
     predicted: str = "sentiment",
-    labels: Sequence[str] = EVALUATION_LABELS,
+    labels: Sequence[str] | None = None,
 ) -> DataFrame:
     """label, precision, recall, f1, support: a row per class that occurs in truth or
-    prediction, then accuracy, macro avg and weighted avg.  Dividing by zero gives 0."""
+    prediction, then accuracy, macro avg and weighted avg.  Dividing by zero gives 0.
+
+    All labels count; with ``labels``, only rows whose truth and prediction are among them."""
     rows = _class_scores(df, truth, predicted, labels)
     nothing = F.lit(None).cast("double")
     def summary(name: str, precision: Column, recall: Column, f1: Column) -> Column:
@@ -143,7 +151,7 @@ def macro_f1(
     df: DataFrame,
     truth: str = "true_sentiment",
     predicted: str = "sentiment",
-    labels: Sequence[str] = EVALUATION_LABELS,
+    labels: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row: mean F1 of the classes that occur in truth or prediction."""
     return _class_scores(df, truth, predicted, labels).select(_mean("f1").alias("macro_f1"))

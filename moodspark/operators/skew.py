@@ -5,7 +5,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 10_000
 ROWS_PER_SPLIT = 1_000_000
 
 
@@ -14,24 +13,20 @@ def key_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def hot_keys(
-    counts: DataFrame,
-    keys: Sequence[str],
-    rows_per_split: int = ROWS_PER_SPLIT,
-    max_keys: int = MAX_HOT_KEYS,
+    counts: DataFrame, keys: Sequence[str], rows_per_split: int = ROWS_PER_SPLIT
 ) -> DataFrame:
     """The heaviest keys and into how many parts each is to be split.
 
-    Never more than ``max_keys`` rows, so the result may be broadcast.  A key left out by
-    that bound holds at most 1/max_keys of all rows; it is joined unsplit, not dropped.
+    A key is heavy if it has more than ``rows_per_split`` rows and more than a quarter of what
+    a shuffle partition has on average.  So there are never more than four heavy keys to a
+    shuffle partition, and the result may be broadcast.
     """
-    known = counts.where(F.col("n_rows") > rows_per_split)
+    partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fair = counts.agg((F.sum("n_rows") / (4 * partitions)).alias("n")).scalar()
+    known = counts.where(F.col("n_rows") > F.greatest(F.lit(rows_per_split), F.coalesce(fair, F.lit(0))))
     for k in keys:
         known = known.where(F.col(k).isNotNull())
-    return (
-        known.orderBy(F.col("n_rows").desc(), *keys)
-        .limit(max_keys)
-        .select(*keys, _splits(rows_per_split).alias("_splits"))
-    )
+    return known.select(*keys, _splits(rows_per_split).alias("_splits"))
 
 
 def balanced_join(
@@ -51,8 +46,7 @@ def balanced_join(
     repeated once per part.  All other keys are joined as they are.  The parts depend on
     row values alone, so a task that is run again makes the same ones.
 
-    ``counts`` (keys, n_rows): rows per key if they are known already.  A ``lookup`` with an
-    ``n_rows`` column of its own tells its repeats by itself.
+    ``counts`` (keys, n_rows): rows per key if they are known already.
     ``how``: left, inner, left_semi or left_anti.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
@@ -71,10 +65,7 @@ def balanced_join(
         .cast("int")
     )
     left = rows.join(hot, keys, "left").withColumn("_part", part).drop("_splits")
-    if "n_rows" in lookup.columns:
-        sized = lookup.withColumn("_splits", _splits(rows_per_split)).drop("n_rows")
-    else:
-        sized = lookup.join(hot, keys, "left")
+    sized = lookup.join(hot, keys, "left")
     parts = F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1)
     right = sized.withColumn("_part", F.explode(parts)).drop("_splits")
     return left.join(right, [*keys, "_part"], how).drop("_part")

@@ -28,7 +28,7 @@ def predictions(
 
 
 def evaluate(
-    labelled: DataFrame, order: list[str], rows: int | None = fv.EVALUATION_ROWS, fill: bool = False
+    labelled: DataFrame, order: list[str], rows: int | None = None, fill: bool = False
 ) -> dict[str, DataFrame]:
     """Matrix, report and macro F1.  Rows without a label are dropped first, or filled."""
     columns = ["true_sentiment", "sentiment"]

@@ -1,10 +1,8 @@
 """Reading and writing tables."""
 
 import os
-import tempfile
 import uuid
 from collections.abc import Sequence
-from functools import cache
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -30,19 +28,6 @@ def read_table(
         raise
 
 
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for costly work on a table that is stored in few pieces.
-
-    A scan with fewer partitions than there are cores is dealt out anew by ``key``.  Such a
-    table is at most cores x spark.sql.files.maxPartitionBytes in size, so the shuffle is
-    bounded; any larger table is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
-
-
 def table_exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.schema("_probe string").parquet(path)
@@ -96,31 +81,21 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir.
-
-    Only a local session, which is its own cluster, may do without and gets a temporary one.
-    """
+    """The shared folder that the session names in spark.checkpoint.dir."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_root()
-
-
-@cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="moodspark-")
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share, or name a root")
+    return root
 
 
-def save_stage(df: DataFrame, name: str) -> DataFrame:
+def save_stage(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
     """Write an intermediate result and read it back.
 
     The written table cuts the lineage: losing an executor later never repeats the work
     before it, such as model calls, and every later reader sees the same rows.
     """
     spark = df.sparkSession
-    path = os.path.join(stage_root(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(root or stage_root(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -44,6 +44,13 @@ def test_class_absent_on_one_side(spark):
     assert macro == 1.0 and report["accuracy"][2] == 1.0
 
 
+def test_labels_outside_the_usual_three_count(spark):
+    pairs = [("positive", "positive"), ("angry", "positive"), ("negative", "angry"), ("angry", "neutral")]
+    report, _ = figures(spark, pairs)
+    assert report["accuracy"] == (None, None, 0.25, 4)
+    assert report["angry"] == (0.0, 0.0, 0.0, 2) and report["positive"] == pytest.approx((0.5, 1.0, 2 / 3, 1))
+
+
 def test_nothing_to_evaluate(spark):
     report, macro = figures(spark, [])
     assert set(report) == {"accuracy", "macro avg", "weighted avg"} and macro == 0.0

@@ -119,12 +119,3 @@ def test_keys(spark):
     df = spark.createDataFrame([("http://a",), ("http://b",), ("http://a",)], "url string")
     ids = [r["id"] for r in keyed.with_key(df, "url").collect()]
     assert len(set(ids)) == 2
-
-
-def test_spread_small(spark):
-    cores = spark.sparkContext.defaultParallelism
-    few = spark.range(100, numPartitions=1)
-    spread = tables.spread_small(few, "id")
-    assert rows(spread) == rows(few) and spread.rdd.getNumPartitions() > 1
-    many = spark.range(100, numPartitions=cores)
-    assert tables.spread_small(many, "id") is many
