@@ -77,6 +77,7 @@ REACTION_PAGE_LINK = "^/cat/"
 REACTION_PAGE_LINK_HEADING = ("h2", "class", "sh-title")
 POST_CAPTION = ("h1", "class", "_ap3a")
 POST_COMMENT = ("span", "class", "_ap3a")
+POST_COMMENT_WITHIN = ("ul", 2)  # a list inside a list
 POST_LINK = "/p/"
 
 # --- fixed values: prompt formats -------------------------------------------

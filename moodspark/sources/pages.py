@@ -1,13 +1,15 @@
 """Extraction of links, articles, comments and reactions from stored pages.
 
-The rules name an element by tag and one attribute.  A repeated record is the text
-between one opening tag and the next of the same kind, so elements nested inside a
-record do no harm.  Pages that need a real parser are a job for the caller's own
-``mapInPandas``.
+The rules name an element by tag and one attribute.  An element ends at its own closing tag:
+tags of its name are counted, so others nested inside it belong to it.  A record ends at its
+own closing tag as well, or at the next record of the same kind if that comes first.  Pages
+that need a real parser are a job for the caller's own ``mapInPandas``.
 """
 
+import json
 import re
 from dataclasses import dataclass, field
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +51,6 @@ class ArticleRule:
     title: Element
     paragraph: Element | None = None  # body = non-blank paragraphs, one per line
     body: Element | None = None  # body = text of one element
-    body_end: str | None = None  # pattern that ends it, when its own tag nests
 
 
 @dataclass(frozen=True)
@@ -58,6 +59,7 @@ class CommentRule:
     text: Element | None  # None: the block itself is the text
     numbers: dict[str, Element] = field(default_factory=dict)
     required: tuple[Element, ...] = ()  # an incomplete record is skipped; text never kept
+    within: tuple[str, int] | None = None  # only at this depth of elements with this tag
 
 
 @dataclass(frozen=True)
@@ -93,13 +95,12 @@ REACTIONS = ReactionRule(
     count=_element(fv.REACTION_ITEM_COUNT),
 )
 POST_ARTICLE = ArticleRule(title=_element(fv.POST_CAPTION))
-POST_COMMENTS = CommentRule(block=_element(fv.POST_COMMENT), text=None)
+POST_COMMENTS = CommentRule(
+    block=_element(fv.POST_COMMENT), text=None, within=fv.POST_COMMENT_WITHIN
+)
 
-# --- fixed values: character references ---------------------------------------
-NAMED_REFERENCES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ",
-    "&laquo;": "«", "&raquo;": "»", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…",
-}
+# named character references of HTML; &amp; is decoded last, so that nothing is decoded twice
+NAMED_REFERENCES = {n: chr(p) for n, p in name2codepoint.items() if n != "amp"} | {"apos": "'"}
 
 
 def visible_html(html: Column) -> Column:
@@ -114,11 +115,13 @@ def visible(pages: DataFrame) -> DataFrame:
 
 
 def _decode_numbers(text: Column) -> Column:
-    """Decimal character references, each distinct one replaced in turn."""
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,7});"), F.lit(1)))
+    """Decimal and hexadecimal character references, each distinct one replaced in turn."""
+    pattern = r"&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
+    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
 
     def put(acc: Column, code: Column) -> Column:
-        point = code.cast("int")
+        hexadecimal = F.conv(F.substring(code, 2, 6), 16, 10)
+        point = F.when(F.lower(code).startswith("x"), hexadecimal).otherwise(code).try_cast("int")
         valid = point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF)
         char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
         return F.when(valid, F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), char)).otherwise(
@@ -128,9 +131,21 @@ def _decode_numbers(text: Column) -> Column:
     return F.aggregate(codes, text, put)
 
 
+def _decode_names(text: Column) -> Column:
+    # a constant of the plan once it is optimised
+    known = F.from_json(F.lit(json.dumps(NAMED_REFERENCES)), "map<string,string>")
+    names = F.array_distinct(F.regexp_extract_all(text, F.lit("&([A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
+
+    def put(acc: Column, name: Column) -> Column:
+        char = F.try_element_at(known, name)
+        reference = F.concat(F.lit("&"), name, F.lit(";"))
+        return F.when(char.isNotNull(), F.replace(acc, reference, char)).otherwise(acc)
+
+    return F.aggregate(names, text, put)
+
+
 def _decode(text: Column) -> Column:
-    for reference, char in NAMED_REFERENCES.items():
-        text = F.replace(text, F.lit(reference), F.lit(char))
+    text = bind(text, _decode_names)
     text = bind(text, lambda t: F.when(t.contains("&#"), _decode_numbers(t)).otherwise(t))
     return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
@@ -147,10 +162,52 @@ def inner_text(fragment: Column) -> Column:
     return strip(F.regexp_replace(text, r" *\n[ \n]*", "\n"))
 
 
-def _first_inner(html: Column, element: Element, end: str | None = None) -> Column:
+def _closed(rest: Column, element: Element) -> Column:
+    """What follows an opening tag, up to the closing tag that belongs to it.
+
+    The text is cut in front of every tag of that name; opening ones count up, closing ones down,
+    and the lengths of the parts add up until the count is back at the start.  Without a closing
+    tag it goes to the end.  A paragraph cannot hold another, and an element of any name ends at
+    the first closing tag.
+    """
+    if element.tag is None or element.tag.lower() == "p":
+        return _up_to(rest, element.closing() + ("" if element.tag is None else r"|(?i:<p[\s>])"))
+    parts = F.split(rest, rf"(?i)(?=</?{element.tag}[\s>/])")
+
+    def step(state: Column, part: Column) -> Column:
+        opened = part.rlike(rf"\A(?i:<{element.tag}[\s>/])")
+        closed = part.rlike(rf"\A(?i:</{element.tag}[\s>/])")
+        depth = state["depth"] + F.when(opened, 1).when(closed, -1).otherwise(0)
+        inside = (state["depth"] > 0) & (depth > 0)
+        return F.struct(
+            F.when(state["depth"] > 0, depth).otherwise(0).alias("depth"),
+            (state["size"] + F.when(inside, F.length(part)).otherwise(0)).alias("size"),
+        )
+
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("size"))
+    return F.substr(rest, F.lit(1), F.aggregate(parts, start, step)["size"])
+
+
+def _at_depth(html: Column, tag: str, depth: int) -> Column:
+    """The parts of a page inside at least so many elements with this tag."""
+    parts = F.split(html, rf"(?i)(?=</?{tag}[\s>/])")
+
+    def step(state: Column, part: Column) -> Column:
+        opened = part.rlike(rf"\A(?i:<{tag}[\s>/])")
+        closed = part.rlike(rf"\A(?i:</{tag}[\s>/])")
+        now = F.greatest(F.lit(0), state["depth"] + F.when(opened, 1).when(closed, -1).otherwise(0))
+        return F.struct(
+            now.alias("depth"),
+            F.when(now >= depth, F.concat(state["text"], part)).otherwise(state["text"]).alias("text"),
+        )
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
+    return F.aggregate(parts, start, step)["text"]
+
+
+def _first_inner(html: Column, element: Element) -> Column:
     """Content of the first such element; null when there is none."""
-    whole = rf"(?s){element.opening()}(.*?)(?:{end or element.closing()}|\z)"
-    return F.regexp_extract(F.regexp_substr(html, F.lit(whole)), whole, 1)
+    return bind(F.get(F.split(html, element.opening(), 2), F.lit(1)), lambda rest: _closed(rest, element))
 
 
 def _pieces(html: Column, element: Element) -> Column:
@@ -166,14 +223,13 @@ def links(html: Column, href_pattern: str = "", inside: Element | None = None) -
     """Array of the hrefs that match; ``inside`` also accepts any link within an element."""
 
     def hrefs(part: Column) -> Column:
-        anchor = r"(?i)<a\s(?:[^>]*\s)?href\s*=\s*[\"']([^\"']*)[\"']"
-        return F.regexp_extract_all(part, F.lit(anchor), F.lit(1))
+        anchor = r"(?i)<a\s(?:[^>]*\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+        found = F.regexp_extract_all(part, F.lit(anchor), F.lit(1))
+        return F.transform(found, lambda h: F.regexp_replace(h, r"\A[\"']|[\"']\z", ""))
 
     found = F.filter(hrefs(html), lambda h: h.rlike(href_pattern)) if href_pattern else hrefs(html)
     if inside is not None:
-        within = F.transform(
-            _pieces(html, inside), lambda p: hrefs(_up_to(p, inside.closing()))
-        )
+        within = F.transform(_pieces(html, inside), lambda p: hrefs(_closed(p, inside)))
         found = F.concat(found, F.flatten(within))
     return F.filter(found, lambda h: h != "")
 
@@ -188,7 +244,7 @@ def article_body(html: Column, rule: ArticleRule) -> Column:
         texts = F.transform(_pieces(html, rule.paragraph), lambda p: inner_text(_up_to(p, ends)))
         return F.coalesce(F.array_join(F.filter(texts, lambda t: ~is_blank(t)), "\n"), F.lit(""))
     if rule.body is not None:
-        return F.coalesce(inner_text(_first_inner(html, rule.body, rule.body_end)), F.lit(""))
+        return F.coalesce(inner_text(_first_inner(html, rule.body)), F.lit(""))
     return F.lit("")
 
 
@@ -208,11 +264,7 @@ def comment_records(html: Column, rule: CommentRule) -> Column:
 
     def fields(record: Column) -> Column:
         block = record["block"]
-        content = (
-            _up_to(block, rule.block.closing())
-            if rule.text is None
-            else _first_inner(block, rule.text)
-        )
+        content = block if rule.text is None else _first_inner(block, rule.text)
         return F.struct(
             record["position"].alias("position"),
             inner_text(content).alias("comment"),
@@ -222,24 +274,30 @@ def comment_records(html: Column, rule: CommentRule) -> Column:
             ],
         )
 
-    return F.transform(F.filter(_numbered(_pieces(html, rule.block)), complete), fields)
+    return F.transform(F.filter(_numbered(_blocks(html, rule)), complete), fields)
+
+
+def _blocks(html: Column, rule: CommentRule) -> Column:
+    """The rule's records, each up to its own end."""
+    if rule.within:
+        html = _at_depth(html, *rule.within)
+    return F.transform(_pieces(html, rule.block), lambda piece: _closed(piece, rule.block))
 
 
 def text_records(html: Column, rule: CommentRule) -> Column:
     """Array of (position, part, comment): each text element of a block; blank ones dropped."""
 
     def texts(block: Column, position: Column) -> Column:
-        inside = _up_to(block, rule.block.closing())
         return F.transform(
-            _pieces(inside, rule.text),
+            _pieces(block, rule.text),
             lambda piece, part: F.struct(
                 position.alias("position"),
                 part.alias("part"),
-                inner_text(_up_to(piece, rule.text.closing())).alias("comment"),
+                inner_text(_closed(piece, rule.text)).alias("comment"),
             ),
         )
 
-    found = F.flatten(F.transform(_pieces(html, rule.block), texts))
+    found = F.flatten(F.transform(_blocks(html, rule), texts))
     return F.filter(found, lambda r: ~is_blank(r["comment"]))
 
 

@@ -123,3 +123,27 @@ def test_outlet_and_refresh(spark):
     ]
     assert rows(both.comments.select("comment")) == [("d",)]
     assert both.reactions.count() == 0
+
+
+def test_nested_elements_belong_to_their_own(spark):
+    html = """<div class="detail-text"><p>first</p><div>pic</div><p>second</p></div><p>not body</p>
+<div class="comment-content"><div>by <div>x</div></div><p>One</p></div>
+<div class="comment-content">empty</div><p>FOOTER TEXT</p>"""
+    df = spark.createDataFrame([(1, "https://r.org", html)], "page_id bigint, url string, html string")
+    assert rows(p.extract_articles(df, p.REACTION_PAGE_ARTICLE))[0][3] == "first\npic\nsecond"
+    assert rows(p.extract_comments(df, p.REACTION_PAGE_COMMENTS).drop("url")) == [(1, 0, "One")]
+    assert rows(p.extract_comments(df, p.REACTION_PAGE_COMMENTS, text_only=True).drop("url")) == [(1, 0, 0, "One")]
+
+
+def test_comments_only_in_inner_lists(spark):
+    html = '<span class="_ap3a">menu</span><ul><li><span class="_ap3a">outer</span><ul><li><span class="_ap3a">in <span>it</span></span></li></ul></li></ul>'
+    df = spark.createDataFrame([(1, "https://p.org", html)], "page_id bigint, url string, html string")
+    assert rows(p.extract_comments(df, p.POST_COMMENTS).drop("url")) == [(1, 0, "in it")]
+
+
+def test_forms_of_links_and_references(spark):
+    html = """<a href=/x>1</a><a href='/it"s'>2</a><a href="/a'b">3</a>"""
+    df = spark.createDataFrame([(1, "https://p.org", html)], "page_id bigint, url string, html string")
+    assert rows(p.extract_links(df)) == [("https://p.org/a'b",), ('https://p.org/it"s',), ("https://p.org/x",)]
+    text = spark.createDataFrame([("&#x27;a&rsquo; &eacute;&#X1F44D; &nothing;",)], "h string")
+    assert text.select(p.inner_text(text.h)).collect()[0][0] == "'a’ é👍 &nothing;"
