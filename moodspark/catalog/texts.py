@@ -113,7 +113,7 @@ def _sql_inner(fragment):
     text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
     for reference, char in p.NAMED_REFERENCES.items():
         char = char.replace("'", "''")
-        text = f"replace({text}, '{reference}', '{char}')"
+        text = f"replace({text}, '&{reference};', '{char}')"
     text = f"replace({text}, '&amp;', '&')"
     return i.sql_strip(f"regexp_replace({text}, ' *\\n[ \\n]*', chr(10), 'g')")
 
