@@ -219,7 +219,7 @@ _SQL_ARTICLE_PROMPT = f"""
          l AS (SELECT conv_id, string_agg({i.sql_clean('text')}, chr(10) ORDER BY turn) AS comments
                FROM c WHERE rn <= 5 GROUP BY conv_id)
     SELECT d.doc_id AS article_id,
-           {_text(fv.ARTICLE_PROMPT_HEAD)} || d.text || {_text(fv.ARTICLE_PROMPT_LIST)}
+           {_text(fv.ARTICLE_PROMPT_HEAD)} || {i.sql_clean('d.text')} || {_text(fv.ARTICLE_PROMPT_LIST)}
            || coalesce(l.comments, {_text(fv.ARTICLE_NO_COMMENTS)}) || {_text(fv.ARTICLE_PROMPT_TASK)} AS prompt
     FROM documents d LEFT JOIN l ON l.conv_id = d.doc_id"""
 
@@ -239,7 +239,7 @@ _SQL_POST_REACTIONS = f"""
     )}) m ON m.post_url = p.post_url"""
 
 
-@query(f"""SELECT post_url, {_text(fv.POST_SENTENCE_HEAD)} || coalesce(post_caption, '')
+@query(f"""SELECT post_url, {_text(fv.POST_SENTENCE_HEAD)} || {i.sql_clean('post_caption')}
                   || {_text(fv.POST_SENTENCE_MIDDLE)} || average_sentiment AS line
            FROM ({_SQL_POST_REACTIONS})""")
 def post_sentences(spark, sf):
@@ -379,7 +379,7 @@ def _sql_fixed(section, lines):
     UNION ALL SELECT 6, '0000', chr(10) || {_text(fv.REPORT_POST_SUMMARIES)} || chr(10) || {_text(fv.REPORT_POST_SUMMARIES_ABSENT)}
     UNION ALL SELECT 7, '0000', chr(10) || {_text(fv.REPORT_ARTICLE_SUMMARIES)} || chr(10) || block FROM ({_SQL_BLOCK})
     UNION ALL {_sql_fixed(8, [""])}
-    UNION ALL SELECT 9, post_url, {_text(fv.POST_SENTENCE_HEAD)} || coalesce(post_caption, '')
+    UNION ALL SELECT 9, post_url, {_text(fv.POST_SENTENCE_HEAD)} || {i.sql_clean('post_caption')}
               || {_text(fv.POST_SENTENCE_MIDDLE)} || average_sentiment FROM ({_SQL_POST_REACTIONS})
     UNION ALL {_sql_fixed(10, ["", fv.REPORT_TASK_HEAD, fv.REPORT_TASK])}""")
 def report_input(spark, sf):

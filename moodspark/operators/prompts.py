@@ -110,8 +110,11 @@ def fetch_comments(
     return articles.join(lists, keys, "left").withColumn("comments", F.coalesce("comments", none))
 
 
-def article_prompts(articles: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``prompt``: the text and its first comments, or a remark that there are none."""
+def article_prompts(articles: DataFrame, text: str = "text", redact: bool = True) -> DataFrame:
+    """Adds ``prompt``: the text and its first comments, or a remark that there are none.
+
+    The text is cleaned, which removes mentions, unless ``redact`` is off.
+    """
     shown = F.when(F.size("comments") > 0, F.array_join("comments", "\n")).otherwise(
         F.lit(fv.ARTICLE_NO_COMMENTS)
     )
@@ -119,7 +122,7 @@ def article_prompts(articles: DataFrame, text: str = "text") -> DataFrame:
         "prompt",
         F.concat(
             F.lit(fv.ARTICLE_PROMPT_HEAD),
-            F.col(text),
+            _shown(F.col(text), redact),
             F.lit(fv.ARTICLE_PROMPT_LIST),
             shown,
             F.lit(fv.ARTICLE_PROMPT_TASK),
@@ -127,8 +130,10 @@ def article_prompts(articles: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def post_sentences(majority: DataFrame, caption: str = "post_caption") -> DataFrame:
-    """One line per post: its caption and the reaction to it.
+def post_sentences(
+    majority: DataFrame, caption: str = "post_caption", redact: bool = True
+) -> DataFrame:
+    """One line per post: its caption, cleaned unless ``redact`` is off, and the reaction to it.
 
     A line is a row, not a part of one long text, since there is no bound on the number of
     posts.
@@ -137,7 +142,7 @@ def post_sentences(majority: DataFrame, caption: str = "post_caption") -> DataFr
         "line",
         F.concat(
             F.lit(fv.POST_SENTENCE_HEAD),
-            F.coalesce(F.col(caption), F.lit("")),
+            _shown(F.col(caption), redact),
             F.lit(fv.POST_SENTENCE_MIDDLE),
             F.col("average_sentiment"),
         ),

@@ -39,7 +39,9 @@ def summarise_articles(
     columns = ["source", "article_id", "title", "summary"]
     if make is None:
         return commented.withColumn("summary", first_sentences("text")).select(columns)
-    prompts = article_prompts(fetch_comments(commented, comments, redact=redact)).select(
+    prompts = article_prompts(
+        fetch_comments(commented, comments, redact=redact), redact=redact
+    ).select(
         "source", "article_id", "title", "prompt"
     )
     return generate(prompts, make, parallel_calls=parallel_calls, key="article_id").select(columns)
