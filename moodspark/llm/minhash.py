@@ -93,7 +93,24 @@ def _band_keys(signature: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
+def _sketch(signature: np.ndarray) -> bytes:
+    """Four bits of every coordinate."""
+    low = (signature & np.uint32(15)).astype(np.uint8)
+    return (low[::2] | (low[1::2] << 4)).tobytes()
+
+
+def _equal_places(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many coordinates sketches agree, along the last axis."""
+    other = x ^ y
+    return np.count_nonzero(other & 15 == 0, axis=-1) + np.count_nonzero(other >> 4 == 0, axis=-1)
+
+
+def _places_needed(share: float) -> float:
+    """Coordinates that agree if the share of equal ones is this; one in 16 of the others looks so."""
+    return BANDS * ROWS * (share + (1 - share) / 16)
+
+
+SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary, marks binary"
 
 
 def _sign(width: int):
@@ -101,17 +118,19 @@ def _sign(width: int):
         seen, circulant = WordHashes(), Circulant(BANDS * ROWS)
         for batch in batches:
             for part in _pieces(batch):
-                counts, digests, bands, sketches = [], [], [], []
+                counts, digests, bands, sketches, marks = [], [], [], [], []
                 for text in part.column(1).cast(pa.large_binary()).to_pylist():
                     found = shingles(text, width, seen)
                     counts.append(len(found))
                     if not len(found):
-                        digests.append(None), bands.append(None), sketches.append(None)
+                        digests.append(None), bands.append(None), sketches.append(None), marks.append(None)
                         continue
                     signature = circulant(found)
                     digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-                    bands.append(_band_keys(signature))
-                    sketches.append((signature & np.uint32(255)).astype(np.uint8).tobytes())
+                    keys = _band_keys(signature)
+                    bands.append(keys)
+                    sketches.append(_sketch(signature))
+                    marks.append((keys >> 32).astype("<i4").tobytes())
                 yield pa.record_batch(
                     [
                         part.column(0).cast(pa.int64()),
@@ -119,8 +138,9 @@ def _sign(width: int):
                         pa.array(digests, pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
                         pa.array(sketches, pa.binary()),
+                        pa.array(marks, pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
+                    names=["doc_id", "n_shingles", "digest", "bands", "sketch", "marks"],
                 )
 
     return run
@@ -153,7 +173,7 @@ def _close(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [
-                np.count_nonzero(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) >= least * len(x)
+                _equal_places(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) >= _places_needed(least)
                 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             ]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -180,16 +200,24 @@ def _alike(percent: int):
 
 
 def _apart(least: float):
-    """Pairs of a stray and a class of another component whose sketches agree in this share of places."""
+    """Pairs of a stray and a class of another component whose sketches agree in this share of places.
+
+    A pair leaves in the first of the bands it shares only; marks are the upper halves of band keys.
+    """
 
-    def run(strays, there):
+    def run(keys, strays, there):
         a, b = [], []
         if strays.num_rows and there.num_rows:
+            band = np.int32(keys[0].as_py() >> 32)
             ids, own = there["doc_id"].to_numpy(), there["own"].to_numpy()
             sketches = np.frombuffer(b"".join(there["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            for doc_id, label, sketch in zip(*(strays[c].to_pylist() for c in ("doc_id", "own", "sketch")), strict=True):
-                equal = np.count_nonzero(sketches == np.frombuffer(sketch, np.uint8), axis=1)
-                found = ids[(equal >= least * sketches.shape[1]) & (own != label)]
+            marks = np.frombuffer(b"".join(there["marks"].to_pylist()), "<i4").reshape(len(ids), -1)
+            columns = (strays[c].to_pylist() for c in ("doc_id", "own", "sketch", "marks"))
+            for doc_id, label, sketch, mark in zip(*columns, strict=True):
+                mark = np.frombuffer(mark, "<i4")
+                shared = (marks == mark).argmax(axis=1) == (mark == band).argmax()
+                near = _equal_places(sketches, np.frombuffer(sketch, np.uint8)) >= _places_needed(least)
+                found = ids[shared & near & (own != label)]
                 a.append(np.maximum(found, doc_id))
                 b.append(np.minimum(found, doc_id))
         empty = np.empty(0, np.int64)
@@ -225,7 +253,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class"))
     )
     classes = stage(classes, "classes")
-    heads = signed.select("doc_id", "digest", "bands", "sketch").join(
+    heads = signed.select("doc_id", "digest", "bands", "sketch", "marks").join(
         classes.select("digest", F.col("class").alias("doc_id")), ["digest", "doc_id"], "left_semi"
     )
     buckets = heads.select("doc_id", F.explode("bands").alias("band")).distinct()
@@ -238,7 +266,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     found = members.select("doc_id").distinct()
     ids = small_enough(stage(found, "candidates"))
-    sketches = stage(heads.join(ids, "doc_id", "left_semi").select("doc_id", "sketch"), "sketches")
+    sketches = stage(heads.join(ids, "doc_id", "left_semi").select("doc_id", "sketch", "marks"), "sketches")
     sets = stage(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, held binary"), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -281,9 +309,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     keys = ["band", "block", "part"]
     strays = open_bands.where("own <> main").select(
-        "band", every("blocks").alias("block"), few.alias("part"), "doc_id", "own", "sketch"
+        "band", every("blocks").alias("block"), few.alias("part"), "doc_id", "own", "sketch", "marks"
     )
-    there = open_bands.select("band", block.alias("block"), every("few").alias("part"), "doc_id", "own", "sketch")
+    there = open_bands.select("band", block.alias("block"), every("few").alias("part"), "doc_id", "own", "sketch", "marks")
     rest = strays.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInArrow(
         _apart(percent / 100 - SLACK), "a long, b long"
     )
