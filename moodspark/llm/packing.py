@@ -17,6 +17,9 @@ from tokenizers import Tokenizer
 from moodspark.llm.common import stage, table
 
 CHUNKS_KEPT = 400_000
+#: Rounds of packing at most, which keeps sequence_id within its bits, and how many shards' rows meet
+#: in one task after the first.
+ROUNDS, MEET = 63, 3
 
 
 class Encoder:
@@ -246,9 +249,11 @@ def pack(pieces: DataFrame, size: int = 1024, shard: int = 20_000) -> DataFrame:
 
     Pieces of `size` are sequences of their own.  The others are dealt by a hash of the row into
     shards of about `shard` pieces, packed by best fit and improved by swaps (see swap_search),
-    each shard in one task.  Sequences that are not full go into the next round, in which a fifth
-    as many shards meet, until one shard holds what is left.  So no task holds much more than a
-    shard's rows, whatever document they are of.
+    each shard in one task.  The pieces of sequences that are not full are dealt anew in the next
+    round, MEET shards' rows to a task.  Rounds end when one task held all that was left, or when a
+    round made hardly fewer sequences (less than a hundredth) of its pieces than they filled before;
+    its sequences stay as they are.  So no task holds much more than MEET shards' rows, whatever
+    document or length they are of.
 
     Repeated rows are all placed.  Columns sequence_id and offset of the input are replaced, all
     others are carried.  An empty table gives no rows.
@@ -262,6 +267,7 @@ def pack(pieces: DataFrame, size: int = 1024, shard: int = 20_000) -> DataFrame:
     parts = max(1, -(-n // shard))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     keys = [c for c, kind in pieces.dtypes if not kind.startswith(("map", "binary"))]
+    before = None  # sequences that the pieces of this round filled in the one before
     while n:
         dealt = left.withColumn("_shard", F.pmod(F.xxhash64(*keys, F.lit(rounds)), F.lit(parts).cast("long")))
         packed = stage(
@@ -270,15 +276,18 @@ def pack(pieces: DataFrame, size: int = 1024, shard: int = 20_000) -> DataFrame:
             ),
             "packed",
         )
-        over = packed if parts == 1 else packed.where(F.col("_fill") >= size)
+        first, is_open = F.col("offset") == 0, F.col("_fill") < size
+        bins, open_bins, n = packed.agg(F.count_if(first), F.count_if(first & is_open), F.count_if(is_open)).first()
+        last = parts == 1 or rounds == ROUNDS - 1 or (before is not None and (before - bins) * 100 < before)
+        over = packed if last else packed.where(~is_open)
         done.append(over.select(*names, F.col("_bin"), F.col("offset")))
-        if parts == 1:
+        if last:
             break
-        left = packed.where(F.col("_fill") < size).select(*names)
-        n, parts, rounds = left.count(), parts // 5 or 1, rounds + 1
+        left = packed.where(is_open).select(*names)
+        before, parts, rounds = open_bins, max(1, -(-n // (MEET * shard))), rounds + 1
     out = None
     for k, x in enumerate(done):  # each round numbers its bins apart from the others
-        x = x.select(*names, (F.col("_bin") * 64 + k).alias("sequence_id"), "offset")
+        x = x.select(*names, (F.col("_bin") * (ROUNDS + 1) + k).alias("sequence_id"), "offset")
         out = x if out is None else out.unionByName(x)
     return out
 

@@ -79,6 +79,37 @@ def test_packing_in_several_rounds(spark):
     assert len(fill) <= 1.02 * sum(r[2] for r in rows) / 1024 + 1
 
 
+def test_packing_of_bins_that_never_fill(spark, monkeypatch):
+    plain = packing._pack
+
+    def bounded(size, at):
+        run = plain(size, at)
+
+        def checked(keys, group):
+            assert group.num_rows <= 600, group.num_rows
+            return run(keys, group)
+
+        return checked
+
+    monkeypatch.setattr(packing, "_pack", bounded)
+    rng = random.Random(7)
+    rows = [(k, 0, rng.choice([600, 600, 1000, 300])) for k in range(2_000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, length long"), shard=150).collect()
+    assert sorted((r.doc_id, r.piece, r.length) for r in got) == rows
+    fill = {}
+    for r in got:
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for placed in fill.values():
+        at = 0
+        for offset, length in sorted(placed):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    counts = [sum(r[2] == n for r in rows) for n in (1000, 600, 300)]
+    least = counts[0] + counts[1] + max(0, -(-(counts[2] - counts[1]) // 3))
+    assert len(fill) <= 1.02 * least + 1
+
+
 def test_swaps_raise_squared_fill():
     rng = random.Random(3)
     lengths = [rng.randint(200, 900) for _ in range(400)]
