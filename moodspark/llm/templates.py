@@ -15,6 +15,12 @@ UNITS = (
     " euro euros cent cents usd eur gbp mph kmh degrees celsius fahrenheit"
 ).split()
 
+# Words that are numbers.
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
+    " eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen"
+).split()
+
 # Placeholders: letters of a private-use area, so that they are words of their own.
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 
@@ -25,6 +31,8 @@ _UNIT = rf"({NUMBER}\s?)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![
 # a capital with small letters after a space that no sentence end stands before
 _MAYBE_NAME = r"[^.!?:\s]\x20\p{Lu}\p{Ll}"
 _NAME = r"(?<=[^.!?:\s]\x20)\p{Lu}\p{Ll}[\p{L}\p{M}]*"
+# the same wherever a word begins, so at the start of a sentence as well
+_ANY_NAME = r"\p{Lu}(?<![\p{L}\p{M}0-9\x{E000}-\x{E002}]\p{Lu})\p{Ll}[\p{L}\p{M}]*"
 
 
 def _bound(value: Column, use) -> Column:
@@ -38,21 +46,40 @@ def _plain(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(joined), _NOT_WORD, " "))
 
 
-def _typed(text: Column) -> Column:
-    """The same with placeholders; each stands for one word, so places agree with _plain."""
+def _typed(text: Column, any_name: bool = False) -> Column:
+    """The same with placeholders; each stands for one word, so places agree with _plain.
+
+    Names are capitalised words inside sentences, or with any_name at their start too.
+    """
     numbers = F.when(
         text.rlike("[0-9]"),
         F.regexp_replace(
             F.regexp_replace(F.regexp_replace(text, _MARKS_IN_NUMBER, ""), _NUMBER, NUMBER), "(?i)" + _UNIT, "$1 " + UNIT
         ),
     ).otherwise(text)
-    names = F.when(numbers.rlike(_MAYBE_NAME), F.regexp_replace(numbers, _NAME, NAME)).otherwise(numbers)
+    if any_name:
+        names = F.regexp_replace(numbers, _ANY_NAME, NAME)
+    else:
+        names = F.when(numbers.rlike(_MAYBE_NAME), F.regexp_replace(numbers, _NAME, NAME)).otherwise(numbers)
     # a number and letters without a space between them are one word in _plain
     return F.btrim(F.regexp_replace(F.lower(names), _NOT_WORD, " "))
 
 
+def _number_words(words: Column) -> Column:
+    """The words with placeholders for number words and for units after them."""
+    return _bound(
+        words,
+        lambda all_words: F.transform(
+            all_words,
+            lambda w, k: F.when(w.isin(NUMBER_WORDS), NUMBER)
+            .when(w.isin(UNITS) & F.get(all_words, k - 1).isin(NUMBER_WORDS), UNIT)
+            .otherwise(w),
+        ),
+    )
+
+
 def _hashes(words: Column) -> Column:
-    return F.transform(F.split(words, " "), lambda w: F.xxhash64(w))
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def _windows(hashes: Column, width: int) -> Column:
@@ -73,28 +100,40 @@ def _windows(hashes: Column, width: int) -> Column:
     )
 
 
-def _exploded(rows: DataFrame, width: int, *names: str) -> DataFrame:
-    """names, place, window: windows of the words, and of the template where that differs."""
-    plain = rows.select(*names, F.posexplode(_bound(_hashes(F.col("_plain")), lambda h: _windows(h, width))).alias("place", "window"))
-    typed = rows.where("_typed <> _plain").select(
-        *names, F.posexplode(_bound(_hashes(F.col("_typed")), lambda h: _windows(h, width))).alias("place", "window")
+def _exploded(rows: DataFrame, width: int, typed: list[Column], *names: str) -> DataFrame:
+    """names, place, window, plain: windows of the words, and of the templates where those differ."""
+    forms = [F.split("_plain", " "), *typed]
+    hashed = rows.select(*names, *(_bound(_hashes(x), lambda h: _windows(h, width)).alias(f"f{k}") for k, x in enumerate(forms)))
+    each = hashed.select(*names, F.posexplode(F.arrays_zip(*(f"f{k}" for k in range(len(forms))))).alias("place", "w"))
+    windows = F.array_distinct(F.array(*(f"w.f{k}" for k in range(len(forms)))))
+    return each.select(*names, "place", F.posexplode(windows).alias("k", "window")).select(
+        *names, "place", "window", (F.col("k") == 0).alias("plain")
     )
-    return plain.unionByName(typed)
 
 
 def _prepared(df: DataFrame, key: str) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return df.select(key, _plain(text).alias("_plain"), _typed(text).alias("_typed")).where("_plain <> ''")
+    return df.select(
+        key, _plain(text).alias("_plain"), _typed(text).alias("_typed"), _typed(text, any_name=True).alias("_named")
+    ).where("_plain <> ''")
+
+
+def _templates(full: bool) -> list[Column]:
+    """Templates as words.  Number words and names at the start of sentences are typed in full windows
+    only: in an item shorter than that, most of what is said would be placeholders."""
+    if not full:
+        return [F.split("_typed", " ")]
+    return [_number_words(F.split("_typed", " ")), _number_words(F.split("_named", " "))]
 
 
 def _words(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.posexplode(F.split("_plain", " ")).alias("place", "value"))
 
 
-def _slots(rows: DataFrame, key: str) -> DataFrame:
+def _slots(rows: DataFrame, key: str, full: bool) -> DataFrame:
     """key, place, value of the words that the template has a placeholder for."""
-    both = rows.where("_typed <> _plain").select(
-        key, F.posexplode(F.arrays_zip(F.split("_plain", " ").alias("w"), F.split("_typed", " ").alias("t"))).alias("place", "pair")
+    both = rows.select(
+        key, F.posexplode(F.arrays_zip(F.split("_plain", " ").alias("w"), _templates(full)[-1].alias("t"))).alias("place", "pair")
     )
     return both.where(F.col("pair.t").isin(NUMBER, NAME, UNIT)).select(key, "place", F.col("pair.w").alias("value"))
 
@@ -102,8 +141,9 @@ def _slots(rows: DataFrame, key: str) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, percent: int = 50) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, n_slots: the benchmark items that documents hold.
 
-    Texts become words in lower case; numbers, units after numbers, and names become typed
-    placeholders.  Windows of `width` words (the whole item if it is shorter) of documents and items
+    Texts become words in lower case; numbers, number words, units after them, and names become
+    typed placeholders, in one template with names inside sentences only and in one with any
+    capitalised word.  Windows of `width` words (the whole item if it is shorter) of documents and items
     are joined by hash, as words and as templates, so a question with other numbers or names is
     found.  An alignment of a document with an item counts if its slots are consistent: each value
     of an item's slots always stands for the same value in the document.  An item is held if
@@ -121,7 +161,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, percent: int =
     )
     widths = [r[0] for r in prepared.select(F.least("n", F.lit(width))).distinct().collect()]  # at most `width` numbers
     parts = [
-        _exploded(prepared.where(F.least("n", F.lit(width)) == w), w, "item_id", "n").select(
+        _exploded(prepared.where(F.least("n", F.lit(width)) == w), w, _templates(w == width), "item_id", "n").select(
             "item_id", F.col("place").alias("item_place"), "window", F.lit(w).alias("width"), (F.col("n") - w + 1).alias("n_windows")
         )
         for w in widths
@@ -136,14 +176,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, percent: int =
     texts = _prepared(docs, "doc_id")
     hits = None
     for w in widths:
-        found = _exploded(texts, w, "doc_id").join(wanted.where(F.col("width") == w), "window").select(
+        found = _exploded(texts, w, _templates(w == width), "doc_id").join(wanted.where(F.col("width") == w), "window").select(
             "doc_id", "item_id", "n_windows", F.col("width"), "place", "item_place"
         )
         hits = found if hits is None else hits.unionByName(found)
     hits = stage(hits.distinct().withColumn("shift", F.col("place") - F.col("item_place")), "hits")
 
     # slots: only those of matched windows, and only in the documents that met them
-    slots = _slots(prepared, "item_id").select("item_id", F.col("place").alias("p"), "value").distinct()
+    slots = _slots(prepared.where(F.col("n") >= width), "item_id", True).unionByName(
+        _slots(prepared.where(F.col("n") < width), "item_id", False)
+    )
+    slots = slots.select("item_id", F.col("place").alias("p"), "value").distinct()
     slots = small_enough(stage(slots, "slots"))
     covered = hits.select(
         "doc_id", "item_id", "shift", F.explode(F.sequence("item_place", F.col("item_place") + F.col("width") - 1)).alias("p")

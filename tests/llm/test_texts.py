@@ -140,6 +140,18 @@ def test_templates(spark):
     assert templates.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_templates_of_word_problems(spark):
+    item = (
+        "Maria has 3 apples in a box. Maria buys 5 more apples at the shop. Maria gives 2 apples to her friend. "
+        "How many apples does Maria have now?"
+    )
+    other = item.replace("Maria", "Jonas").replace("3", "7").replace("5", "9").replace("2", "4")
+    spoken = other.replace("7", "seven").replace("9", "one").replace("4", "twelve")
+    rows = [(1, other), (2, spoken), (3, "Jonas likes the sea. Jonas buys fish at the shop. How many fish does Jonas have now?")]
+    got = templates.leaks(docs_of(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == {1, 2}
+
+
 def edit_distance(a, b):
     last = list(range(len(b) + 1))
     for i, x in enumerate(a):
