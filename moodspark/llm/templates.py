@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moodspark.llm.common import small_enough, stage, table
@@ -21,6 +21,9 @@ NUMBER_WORDS = (
     " eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen"
 ).split()
 
+#: A run of so many matched words holds an item, whatever share of it that is.
+RUN = 13
+
 # Placeholders: letters of a private-use area, so that they are words of their own.
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 
@@ -130,6 +133,17 @@ def _words(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.posexplode(F.split("_plain", " ")).alias("place", "value"))
 
 
+def _firm(rows: DataFrame, width: int) -> DataFrame:
+    """item_id, item_place of the windows in which half of the words or more are no placeholders."""
+    words = _templates(True)[-1]
+    literal = F.transform(words, lambda w: F.when(w.isin(NUMBER, NAME, UNIT), 0).otherwise(1))
+    each = rows.select("item_id", "n", literal.alias("l")).select(
+        "item_id", "l", F.explode(F.sequence(F.lit(0), F.col("n") - width)).alias("item_place")
+    )
+    held = F.aggregate(F.slice("l", F.col("item_place") + 1, width), F.lit(0), lambda t, x: t + x)
+    return each.where(held * 2 >= width).select("item_id", "item_place").distinct()
+
+
 def _slots(rows: DataFrame, key: str, full: bool) -> DataFrame:
     """key, place, value of the words that the template has a placeholder for."""
     both = rows.select(
@@ -145,9 +159,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, percent: int =
     typed placeholders, in one template with names inside sentences only and in one with any
     capitalised word.  Windows of `width` words (the whole item if it is shorter) of documents and items
     are joined by hash, as words and as templates, so a question with other numbers or names is
-    found.  An alignment of a document with an item counts if its slots are consistent: each value
-    of an item's slots always stands for the same value in the document.  An item is held if
-    consistent alignments cover at least `percent` of its windows.
+    found.  In an alignment of a document with an item, each value of the item's slots stands for one
+    value in the document, the one that is there most often; template windows with another do not
+    count, windows that match word for word always do.  An item is held if its windows match in at
+    least `percent`, if windows word for word cover that share of its words, or if matched windows
+    make a run of RUN words (without template windows that are mostly placeholders).
 
     Null and empty texts, items without words, and rows without an id match nothing.  Repeated items
     are reported under their own item_id, repeated rows of a document or item are one.  Extra columns
@@ -162,7 +178,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, percent: int =
     widths = [r[0] for r in prepared.select(F.least("n", F.lit(width))).distinct().collect()]  # at most `width` numbers
     parts = [
         _exploded(prepared.where(F.least("n", F.lit(width)) == w), w, _templates(w == width), "item_id", "n").select(
-            "item_id", F.col("place").alias("item_place"), "window", F.lit(w).alias("width"), (F.col("n") - w + 1).alias("n_windows")
+            "item_id", F.col("place").alias("item_place"), "window", F.col("plain").alias("own"), F.lit(w).alias("width"), (F.col("n") - w + 1).alias("n_windows")
         )
         for w in widths
     ]
@@ -177,10 +193,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, percent: int =
     hits = None
     for w in widths:
         found = _exploded(texts, w, _templates(w == width), "doc_id").join(wanted.where(F.col("width") == w), "window").select(
-            "doc_id", "item_id", "n_windows", F.col("width"), "place", "item_place"
+            "doc_id", "item_id", "n_windows", F.col("width"), "place", "item_place", (F.col("plain") & F.col("own")).alias("same")
         )
         hits = found if hits is None else hits.unionByName(found)
-    hits = stage(hits.distinct().withColumn("shift", F.col("place") - F.col("item_place")), "hits")
+    hits = hits.groupBy("doc_id", "item_id", "n_windows", "width", "place", "item_place").agg(F.max("same").alias("same"))
+    hits = stage(hits.withColumn("shift", F.col("place") - F.col("item_place")), "hits")
 
     # slots: only those of matched windows, and only in the documents that met them
     slots = _slots(prepared.where(F.col("n") >= width), "item_id", True).unionByName(
@@ -189,28 +206,46 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, percent: int =
     slots = slots.select("item_id", F.col("place").alias("p"), "value").distinct()
     slots = small_enough(stage(slots, "slots"))
     covered = hits.select(
-        "doc_id", "item_id", "shift", F.explode(F.sequence("item_place", F.col("item_place") + F.col("width") - 1)).alias("p")
+        "doc_id", "item_id", "shift", "width", F.explode(F.sequence("item_place", F.col("item_place") + F.col("width") - 1)).alias("p")
     )
     covered = covered.join(slots, ["item_id", "p"]).distinct().withColumn("place", F.col("p") + F.col("shift"))
     covered = stage(covered, "covered")
     met = small_enough(stage(covered.select("doc_id").distinct(), "met"))
     there = _words(_prepared(docs.join(met, "doc_id", "left_semi"), "doc_id"), "doc_id").withColumnRenamed("value", "theirs")
-    values = covered.join(there, ["doc_id", "place"]).groupBy("doc_id", "item_id", "shift", "value").agg(
-        F.countDistinct("theirs").alias("k"), F.countDistinct("p").alias("slots")
-    )
-    judged = stage(
-        values.groupBy("doc_id", "item_id", "shift").agg(F.max("k").alias("k"), F.sum("slots").alias("slots")), "judged"
+    values = stage(covered.join(there, ["doc_id", "place"]).select("doc_id", "item_id", "shift", "width", "value", "p", "theirs").distinct(), "values")
+    # what stands for a value is what does so most often, of equals the first; other places are wrong
+    alignment = ["doc_id", "item_id", "shift"]
+    votes = values.groupBy(*alignment, "value", "theirs").agg(F.count("*").alias("c"), (-F.min("p")).alias("early"))
+    ruling = votes.groupBy(*alignment, "value").agg(F.max(F.struct("c", "early", "theirs"))["theirs"].alias("ruling"))
+    judged = stage(values.join(ruling, [*alignment, "value"]), "judged")
+    slots = judged.where("theirs = ruling").groupBy(*alignment).agg(F.countDistinct("p").alias("slots"))
+    wrong = judged.where("theirs <> ruling").select(
+        *alignment, F.explode(F.sequence(F.col("p") - F.col("width") + 1, "p")).alias("item_place"), F.lit(True).alias("wrong")
     )
-    good = hits.join(judged, ["doc_id", "item_id", "shift"], "left").where("coalesce(k, 1) = 1")
-    return (
-        good.groupBy("doc_id", "item_id")
-        .agg(
-            F.max("n_windows").alias("n_windows"),
-            F.countDistinct("item_place").alias("n_matched"),
-            F.coalesce(F.max("slots"), F.lit(0)).alias("n_slots"),
-        )
-        .where(F.col("n_matched") * 100 >= F.col("n_windows") * percent)
+    good = hits.join(wrong.distinct(), [*alignment, "item_place"], "left").where("same OR wrong IS NULL")
+    good = stage(good.join(slots, alignment, "left").drop("wrong"), "good")
+    held = good.groupBy("doc_id", "item_id").agg(
+        F.max("n_windows").alias("n_windows"),
+        F.countDistinct("item_place").alias("n_matched"),
+        F.coalesce(F.max("slots"), F.lit(0)).alias("n_slots"),
+        F.max("width").alias("width"),
     )
+    # words of the item that windows cover word for word
+    told = good.where("same").select(
+        "doc_id", "item_id", F.explode(F.sequence("item_place", F.col("item_place") + F.col("width") - 1)).alias("p")
+    ).groupBy("doc_id", "item_id").agg(F.countDistinct("p").alias("told"))
+    # the longest run of windows one after the other
+    firm = small_enough(stage(_firm(prepared.where(F.col("n") >= width), width).withColumn("firm", F.lit(True)), "firm"))
+    runs = good.join(firm, ["item_id", "item_place"], "left").where("same OR firm").select(*alignment, "width", "item_place").distinct()
+    start = F.col("item_place") - F.row_number().over(Window.partitionBy(*alignment).orderBy("item_place"))
+    runs = runs.withColumn("start", start).groupBy(*alignment, "start", "width").agg(F.count("*").alias("c"))
+    runs = runs.groupBy("doc_id", "item_id").agg(F.max(F.col("c") + F.col("width") - 1).alias("run"))
+    judged = held.join(told, ["doc_id", "item_id"], "left").join(runs, ["doc_id", "item_id"], "left")
+    return judged.where(
+        (F.col("n_matched") * 100 >= F.col("n_windows") * percent)
+        | (F.col("told") * 100 >= (F.col("n_windows") + F.col("width") - 1) * percent)
+        | (F.col("run") >= RUN)
+    ).select("doc_id", "item_id", "n_windows", "n_matched", "n_slots")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

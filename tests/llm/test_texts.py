@@ -152,6 +152,20 @@ def test_templates_of_word_problems(spark):
     assert {r.doc_id for r in got.collect()} == {1, 2}
 
 
+def test_templates_keep_what_matches(spark):
+    words = lambda name, n: " ".join(f"{name}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(n))
+    named = f"{words('p', 40)} then 12 {words('q', 40)} then 12 {words('r', 40)} then 12 {words('s', 20)}"
+    roles = "they sell 2 apples from the old garden behind the house and they also want 2 dollars from each child who comes along"
+    items = [(1, named), (2, roles), (3, words("x", 300)), (4, words("y", 20))]
+    rows = [
+        (1, named.replace("12 qaa", "13 qaa")), (2, roles.replace("2 apples", "3 apples").replace("2 dollars", "5 dollars")),
+        (3, "some " + " ".join(items[2][1].split()[100:200]) + " more"), (4, items[3][1].replace("yak", "other")),
+        (6, " ".join(items[2][1].split()[:12])),
+    ]
+    got = templates.leaks(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 1), (2, 2), (3, 3), (4, 4)}
+
+
 def edit_distance(a, b):
     last = list(range(len(b) + 1))
     for i, x in enumerate(a):
