@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moodspark.functions.urls import resolve_url
 from moodspark.llm.common import lower_az, small_enough, stage, table
 from moodspark.llm.components import components
+from moodspark.sources.pages import _decode
 
 #: (host, path, verdict) of op8, as its contract lists them.
 RULES = [
@@ -48,29 +50,26 @@ _TAG = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 _REFRESH = r"(?is)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The attribute's value in a tag, quoted or not, with character references decoded."""
+    pattern = rf"(?is)(?<![\w-]){name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    value = F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)))
+    return F.trim(F.when(value.contains("&"), _decode(value)).otherwise(value))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """url, target: the canonical links and immediate redirects that the pages' html states.
+    """url, target: all canonical links and redirects that the pages' html states.
 
-    Relative targets are read against the page's host or folder.
+    Character references are decoded and relative targets resolved against the page's url.
     """
-    tag = F.regexp_extract("html", _TAG, 0)
-    refresh = F.regexp_extract("html", _REFRESH, 0)
-    href = F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    to = F.regexp_extract(refresh, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    found = pages.where("url IS NOT NULL AND html IS NOT NULL").select(
-        "url", F.explode(F.array_distinct(F.array(href, to))).alias("link")
-    )
-    link, url = F.col("link"), F.col("url")
-    scheme = F.regexp_extract(url, r"(?s)^(.*?:)//", 1)
-    site = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(F.concat(site, path_of(url)), r"(?s)^(.*/)", 1)
-    target = (
-        F.when(link.contains("://"), link)
-        .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(site, link))
-        .otherwise(F.concat(folder, link))
-    )
-    return found.where("link <> ''").select("url", target.alias("target"))
+    some = pages.where("url IS NOT NULL AND html IS NOT NULL")
+    tags = some.select("url", F.explode(F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))).alias("tag"))
+    canonical = tags.select("url", _attribute(F.col("tag"), "href").alias("link"))
+    tags = some.select("url", F.explode(F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(0))).alias("tag"))
+    content = tags.select("url", _attribute(F.col("tag"), "content").alias("content"))
+    to = F.regexp_extract("content", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    found = canonical.unionByName(content.select("url", to.alias("link"))).where("link <> ''")
+    return found.select("url", resolve_url(F.trim("url"), F.col("link")).alias("target")).distinct()
 
 
 def judge(

@@ -301,6 +301,14 @@ def test_personal_data(spark):
     assert personal.find(docs_of(spark, []), personal.fit(docs_of(spark, []))).count() == 0
 
 
+def test_number_groups_are_proposed_whole():
+    for kind, number in [
+        ("phone", "00 49 30 12 34 56 78"), ("phone", "00 33 6 12 34 56 78"), ("card", "45.39.57.87.63.62.14.86"),
+    ]:
+        text = f"call {number} today"
+        assert (kind, 5, 5 + len(number)) in personal.candidates(text)
+
+
 def test_urls(spark):
     rows = [
         (1, "http://a.example.net/fr/1", '<link rel="canonical" href="https://x.test/1">'), (2, "https://x.test/1#top", None),
@@ -325,6 +333,20 @@ def test_urls(spark):
     assert {r.page_id: r.verdict for r in urls.judge(pages, redirects=more).collect()}[5] == "block"
 
 
+def test_urls_of_all_forms(spark):
+    rows = [
+        (1, "http://a.net/f/p", '<link rel="canonical" href="https://c.test/v?a=1&amp;b=2">'), (2, "https://c.test/v?a=1&b=2", None),
+        (3, "https://d.test/f/p", '<link rel=canonical href="../g/./q">'),
+        (4, "https://d.test/g/q", '<link rel="canonical" href="/g/q"><link rel="canonical" href="http://b.net/">'),
+        (5, "https://e.test", '<meta http-equiv=refresh content="0; url=t">'), (6, "https://e.test/t", "<link rel=canonical href='?z=1'>"),
+        (7, "https://e.test/t?z=1", '<meta http-equiv=refresh content="0;url=&#47;u"><meta http-equiv=refresh content="0;url=http://c.net/">'),
+        (8, "https://e.test/u", ""), (9, "https://f.test/", ""),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urls.judge(pages).collect()}
+    assert got == dict.fromkeys(range(1, 9), "block") | {9: "allow"}
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN[0][1]
     changed = mit.replace("Copyright (c) year holder", "COPYRIGHT 2020 A. Person\n(c) 2021 B").replace('"Software"', "'Software'")
