@@ -88,7 +88,6 @@ _HIDDEN_IP = re.compile(
 )
 _RUN = re.compile(r"[+(]{0,2}[0-9](?:[ ().\-/ ]{0,3}[0-9])+")
 _GROUP = re.compile(r"[+(]*[0-9]+\)?")
-GROUPS = 6
 
 
 def candidates(text: str) -> list[Span]:
@@ -97,9 +96,9 @@ def candidates(text: str) -> list[Span]:
     for run in _RUN.finditer(text):
         groups = [(run.start() + g.start(), run.start() + g.end()) for g in _GROUP.finditer(run[0])]
         sizes = [len(digits_of(text[a:b])) for a, b in groups]
-        for k in range(len(groups)):  # every window of a few groups
+        for k in range(len(groups)):  # every window of groups with 19 digits at most
             total = 0
-            for j in range(k, min(k + GROUPS, len(groups))):
+            for j in range(k, len(groups)):
                 total += sizes[j]
                 if total > 19:
                     break
