@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,33 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
 ]
+_BSD = (
+    "Copyright (c) year holder\nRedistribution and use in source and binary forms, with or without modification, are"
+    " permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above"
+    " copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must"
+    " reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation"
+    " and/or other materials provided with the distribution.\n"
+)
+_BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
+    " products derived from this software without specific prior written permission.\n"
+)
+_BSD_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,'
+    " INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE"
+    " DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,"
+    " SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR"
+    " SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,"
+    " WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE"
+    " USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+#: Whole texts besides those of KNOWN; the long ones are files named after their licence.
+WHOLE = [
+    *((name, title + _BSD + names + _BSD_WARRANTY)
+      for name, head, names in (("BSD-2-Clause", "BSD 2-Clause License\n", ""), ("BSD-3-Clause", "BSD 3-Clause License\n", _BSD_NAMES))
+      for title in ("", head)),
+    *((f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))),
+]
 # Spellings that are one word to a licence.
 SPELLINGS = [
     ("licen[cs](e|es|ed|ing|or|ee)", r"licens\1"),
@@ -72,13 +101,19 @@ SPELLINGS = [
     ("merchantibility", "merchantability"),
 ]
 COPYRIGHT_LINE = r"(?i)(^|\n)[ \t]*(?:copyright|\(c\)|©)[^\n]*"
+# The same, but not a line of prose that goes on with "copyright notice" and the like.
+_PROSE = (
+    r"(?![ \t]*(?:[,.;]|\n|$)|[ \t]+(?:notices?|holders?|owners?|laws?|licen[cs]es?|and|or|interests?|statements?"
+    r"|treaty|treaties|rights?|protections?|permissions?|is|are|in|on|of|to|the|disclaimers?)\b)"
+)
+_OWNER_LINE = rf"(?i)(^|\n)[ \t]*(?:copyright{_PROSE}|\(c\)|©)[^\n]*"
 SEPARATORS = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 
 def canonical(text: Column) -> Column:
     """Words of the text in lower case (A-Z), single spaces between them, spellings made one;
-    without lines that begin with a copyright mark."""
-    words = F.regexp_replace(lower_az(F.regexp_replace(text, COPYRIGHT_LINE, "$1")), SEPARATORS, " ")
+    without lines that name an owner after a copyright mark."""
+    words = F.regexp_replace(lower_az(F.regexp_replace(text, _OWNER_LINE, "$1")), SEPARATORS, " ")
     words = F.concat(F.lit(" "), F.btrim(words), F.lit(" "))
     for one, other in SPELLINGS:
         words = F.regexp_replace(words, f" {one} ", " " + other.replace("\\", "$") + " ")
@@ -89,7 +124,7 @@ def _digest(text: Column) -> Column:
     return F.md5(canonical(text).cast("binary"))
 
 
-def known_licenses(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
+def known_licenses(spark: SparkSession, known: list[tuple[str, str]] = [*KNOWN, *WHOLE]) -> DataFrame:
     """license, digest; licences whose texts are the same keep the first name."""
     rows = spark.createDataFrame(known, "license string, text string")
     return rows.groupBy(_digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))

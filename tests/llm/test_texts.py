@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -359,3 +360,14 @@ def test_licenses(spark):
     want = [(1, "MIT", 0, ""), (1, "MIT", 0, ""), (2, "MIT", 0, ""), (3, None, 0, ""), (4, None, 2, "CC-BY-4.0,MIT")]
     want += [(5, None, 0, ""), (6, None, 0, ""), (None, None, 0, ""), (7, None, 0, "")]
     assert got == sorted(want, key=str)
+
+
+def test_licenses_whole_and_wrapped(spark):
+    wrap = lambda text, n: "\n".join(textwrap.fill(x, n) for x in text.split("\n"))
+    known = dict(licenses.WHOLE)
+    isc = licenses.KNOWN[2][1].replace("above copyright", "above\ncopyright")
+    names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
+    rows = [(k, known[x].replace("year holder", "2024, Some Body")) for k, x in enumerate(names)]
+    rows += [(20, isc), (21, wrap(known["BSD-3-Clause"], 60)), (22, wrap(isc, 75)), (23, known["MPL-2.0"][:-400])]
+    got = {r.doc_id: r.license for r in licenses.scan(docs_of(spark, rows), licenses.known_licenses(spark)).collect()}
+    assert got == dict(enumerate(names)) | {20: "ISC", 21: "BSD-3-Clause", 22: "ISC", 23: None}
