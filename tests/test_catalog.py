@@ -3,11 +3,13 @@
 import pytest
 
 import __spark_entry__ as entry
+from moodspark import catalog
 from tests.parity import compare, open_tables
 
 SF = "/root/testdata/sf0.001"
 PYTHON = {"plugin_labels", "generated_article_summaries", "generated_post_summaries"}
-NAMES = list(entry.queries())
+catalog.load_all()
+NAMES = list(catalog.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -17,12 +19,12 @@ def duck():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_same_rows_as_sql(spark, duck, name):
-    assert compare(spark, duck, SF, entry.queries()[name], entry.oracle_sql()[name]) is None
+    assert compare(spark, duck, SF, catalog.QUERIES[name], catalog.SQL[name]) is None
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_plan(spark, name):
-    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin"):
         assert operator not in plan
     if name not in PYTHON:
