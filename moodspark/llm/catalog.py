@@ -1,7 +1,21 @@
 """Registered queries of the package and the SQL that defines their results."""
 
 import corpus_pipeline
-from moodspark.llm import compression, hnsw, licenses, lines, minhash, packing, personal, templates, toxicity, urls
+from moodspark.llm import (
+    compression,
+    conversations,
+    divergence,
+    hnsw,
+    licenses,
+    lines,
+    minhash,
+    packing,
+    personal,
+    sharding,
+    templates,
+    toxicity,
+    urls,
+)
 
 QUERIES = {
     "op1_decontamination": templates.op1_decontamination,
@@ -14,8 +28,17 @@ QUERIES = {
     "op8_url_filter": urls.op8_url_filter,
     "op9_packing": packing.op9_packing,
     "op10_licenses": licenses.op10_licenses,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_sharding": sharding.op12_sharding,
+    "op13_conversations": conversations.op13_conversations,
     "pipeline": corpus_pipeline.run,
 }
-SQL = {"op3_line_dedup": lines.OP3_SQL, "op10_licenses": licenses.OP10_SQL}
+SQL = {
+    "op3_line_dedup": lines.OP3_SQL,
+    "op10_licenses": licenses.OP10_SQL,
+    "op11_divergence": divergence.OP11_SQL,
+    "op12_sharding": sharding.OP12_SQL,
+    "op13_conversations": conversations.OP13_SQL,
+}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -2,51 +2,64 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
-#: A side with no more rows than this may be broadcast if its rows are a few numbers wide:
-#: at 16 to 32 bytes a row that is at most 64 MB.
-BROADCAST_ROWS = 2_000_000
+#: A side whose rows add up to no more than this many bytes may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@cache
-def _own_root() -> str:
-    return tempfile.mkdtemp(prefix="llm-stages-")
+def _stage_root(spark: SparkSession) -> str:
+    """The cluster's shared folder; a session that names none has at least a warehouse, which is shared too."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/stages-{spark.sparkContext.applicationId}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the cluster's shared folder and read it back, which cuts the lineage.
-
-    The folder is the session's spark.checkpoint.dir.  Only a local session, whose executor
-    is the driver itself, may do without one.
-    """
+    """Write a table to the shared folder and read it back, which cuts the lineage."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _own_root()
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{_stage_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_enough(staged: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The same table, to be broadcast if a count shows that it is small; else joined by shuffle."""
-    return F.broadcast(staged) if staged.count() <= rows else staged
+def remove_stages(spark: SparkSession) -> None:
+    """Delete what this application's stages have written, when none of their results is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stage_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _bytes(name: str, kind: T.DataType) -> Column:
+    """Bytes of a value, as rows in memory hold it."""
+    at = F.col(f"`{name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(at)
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.NumericType, T.BooleanType)):
+        size = 8 * F.array_size(at)
+    elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        size = F.octet_length(F.to_json(F.struct(at)))
+    else:
+        size = F.lit(0)
+    return 16 + F.coalesce(size, F.lit(0))
+
+
+def small_enough(staged: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The same table, to be broadcast if its values add up to few bytes; else joined by shuffle."""
+    row = F.lit(16).cast("long")
+    for field in staged.schema:
+        row = row + _bytes(field.name, field.dataType)
+    found = staged.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+    return F.broadcast(staged) if found <= limit else staged
 
 
 def lower_az(text: Column) -> Column:
