@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from moodspark.catalog import inputs as i
 from moodspark.catalog import query
 from moodspark.fixed_values import LABELS
-from moodspark.functions.text import clean_text, digits_or_zero, first_sentences, label_at, strip
+from moodspark.functions.text import SPACE_CHARS, clean_text, digits_or_zero, first_sentences, label_at, strip
 from moodspark.sources import pages as p
 
 SQL_LEAD = rf"""
@@ -74,9 +74,16 @@ def _sql_resolved(href):
                        ELSE regexp_extract(url, '\\A([^?#]*)', 1) || '/' END || {href} END"""
 
 
+def _sql_reference(text):
+    for reference, char in p.NAMED_REFERENCES.items():
+        char = char.replace("'", "''")
+        text = f"replace({text}, '&{reference};', '{char}')"
+    return f"replace({text}, '&amp;', '&')"
+
+
 def _sql_links(where):
     return f"""
-    SELECT DISTINCT {_sql_resolved("replace(href, '&amp;', '&')")} AS link
+    SELECT DISTINCT {_sql_resolved(_sql_reference("href"))} AS link
     FROM (SELECT url, unnest(regexp_extract_all({_SQL_VISIBLE},
               '(?i)<a\\s(?:[^>]*\\s)?href\\s*=\\s*["'']([^"'']*)["'']', 1)) AS href FROM pages)
     WHERE href <> '' AND {where}"""
@@ -110,55 +117,150 @@ def resolved_urls(spark, sf):
 def _sql_inner(fragment):
     text = f"regexp_replace({fragment}, '[{i.SPACE_CHARS}]+', ' ', 'g')"
     text = f"regexp_replace({text}, '(?i)<br\\s*/?>|</(?:p|div|li|h[1-6])\\s*>', chr(10), 'g')"
-    text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
-    for reference, char in p.NAMED_REFERENCES.items():
-        char = char.replace("'", "''")
-        text = f"replace({text}, '&{reference};', '{char}')"
-    text = f"replace({text}, '&amp;', '&')"
+    text = _sql_reference(f"regexp_replace({text}, '<[^>]*>', '', 'g')")
     return i.sql_strip(f"regexp_replace({text}, ' *\\n[ \\n]*', chr(10), 'g')")
 
 
+# A page cut in front of every tag; which parts lie in an element is told by running sums of
+# tags that open (1) and close (-1), not by patterns for elements.
+_SQL_PARTS = f"""
+    cut AS (SELECT page_id, url, unnest(string_split({_SQL_VISIBLE}, '<')) AS part,
+                   generate_subscripts(string_split({_SQL_VISIBLE}, '<'), 1) AS n FROM pages),
+    parts AS (SELECT page_id, url, n, '<' || part AS part, substr(part, strpos(part, '>') + 1) AS behind,
+                     lower(regexp_extract(part, '^/?([A-Za-z][^ />]*)', 1)) AS tag,
+                     CASE WHEN part LIKE '/%' THEN -1 ELSE 1 END AS way
+              FROM cut WHERE n > 1),
+    tags AS (SELECT *, CASE WHEN tag IN ('p', 'div', 'li', 'ul', 'h1', 'nav', 'article', 'footer') THEN way ELSE 0 END AS block
+             FROM parts)"""
+
+
+def _sql_running(value, within):
+    return f"CAST(sum({value}) OVER (PARTITION BY {within} ORDER BY n) AS BIGINT)"
+
+
+def _sql_opens(tag):
+    return f"CASE WHEN tag = '{tag}' AND way = 1 THEN 1 ELSE 0 END"
+
+
+_SQL_FRAGMENT = "string_agg(CASE WHEN first THEN behind ELSE part END, '' ORDER BY n)"
+
 _PAGE_RULE = p.ArticleRule(title=p.Element("h1"), paragraph=p.Element("p"))
 
 
 @query(f"""
-    WITH v AS (SELECT page_id, url, {_SQL_VISIBLE} AS html FROM pages),
-         t AS (SELECT page_id, url,
-                      {_sql_inner("regexp_extract(html, '(?s)(?i:<h1)(?:\\s[^>]*)?>(.*?)(?:(?i:</h1\\s*>)|\\z)', 1)")} AS title,
-                      unnest(regexp_split_to_array(html, '(?i:<p)(?:\\s[^>]*)?>')) AS part,
-                      generate_subscripts(regexp_split_to_array(html, '(?i:<p)(?:\\s[^>]*)?>'), 1) AS n
-               FROM v),
-         x AS (SELECT page_id, url, title, n,
-                      {_sql_inner("regexp_extract(part, '(?s)\\A(.*?)(?:(?i:</p\\s*>)|(?i:<p[\\s>])|\\z)', 1)")} AS line
-               FROM t)
-    SELECT page_id, url, title,
-           coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (n > 1 AND NOT {i.sql_blank('line')}), '') AS content
-    FROM x GROUP BY page_id, url, title""")
+    WITH {_SQL_PARTS},
+    heads AS (SELECT page_id, n, part, behind, n = min(n) FILTER (opened = 1) OVER (PARTITION BY page_id) AS first,
+                     {_sql_running("CASE WHEN tag = 'h1' THEN way ELSE 0 END", "page_id, opened")} AS depth, opened
+              FROM (SELECT *, {_sql_running(_sql_opens('h1'), 'page_id')} AS opened FROM tags)),
+    titles AS (SELECT page_id, {_sql_inner(_SQL_FRAGMENT)} AS title FROM heads
+               WHERE opened = 1 AND depth > 0 GROUP BY page_id),
+    lines AS (SELECT *, row_number() OVER (PARTITION BY page_id, opened ORDER BY n) = 1 AS first,
+                     {_sql_running("CASE WHEN tag = 'p' AND way = 1 THEN 0 WHEN block <> 0 THEN 1 ELSE 0 END", "page_id, opened")} AS ended
+              FROM (SELECT *, {_sql_running(_sql_opens('p'), 'page_id')} AS opened FROM tags)),
+    bodies AS (SELECT page_id, opened, {_sql_inner(_SQL_FRAGMENT)} AS line FROM lines
+               WHERE opened > 0 AND ended = 0 GROUP BY page_id, opened)
+    SELECT p.page_id, p.url, coalesce(max(t.title), '') AS title,
+           coalesce(string_agg(b.line, chr(10) ORDER BY b.opened) FILTER (NOT {i.sql_blank('b.line')}), '') AS content
+    FROM pages p LEFT JOIN titles t ON t.page_id = p.page_id LEFT JOIN bodies b ON b.page_id = p.page_id
+    GROUP BY p.page_id, p.url""")
 def page_articles(spark, sf):
     return p.extract_articles(i.table(spark, sf, "pages"), _PAGE_RULE)
 
 
-_SQL_LIST = f"""
-    SELECT page_id, url, n - 2 AS position, part
-    FROM (SELECT page_id, url, unnest(regexp_split_to_array(html, '(?i:<li)(?:\\s[^>]*)?>')) AS part,
-                 generate_subscripts(regexp_split_to_array(html, '(?i:<li)(?:\\s[^>]*)?>'), 1) AS n
-          FROM (SELECT page_id, url, {_SQL_VISIBLE} AS html FROM pages))
-    WHERE n > 1"""
-
-
-@query(f"""SELECT page_id, url, CAST(position AS INTEGER) AS position,
-                  {_sql_inner("regexp_extract(part, '(?s)(?i:<a)(?:\\s[^>]*)?>(.*?)(?:(?i:</a\\s*>)|\\z)', 1)")} AS comment
-           FROM ({_SQL_LIST}) WHERE regexp_matches(part, '(?i:<a)(?:\\s[^>]*)?>')""")
+# list items up to their own end: where the blocks that were opened in them are all closed
+_SQL_ITEMS = f"""
+    {_SQL_PARTS},
+    items AS (SELECT *, {_sql_running(_sql_opens('li'), 'page_id')} AS item FROM tags),
+    inside AS (SELECT *, {_sql_running('block', 'page_id, item')} AS depth FROM items WHERE item > 0),
+    anchors AS (SELECT *, {_sql_running(_sql_opens('a'), 'page_id, item')} AS anchor
+                FROM (SELECT *, min(depth) OVER (PARTITION BY page_id, item ORDER BY n) AS least FROM inside)
+                WHERE least > 0),
+    texts AS (SELECT page_id, url, item, anchor, {_sql_inner(_SQL_FRAGMENT)} AS comment
+              FROM (SELECT *, row_number() OVER (PARTITION BY page_id, item, anchor ORDER BY n) = 1 AS first,
+                           {_sql_running("CASE WHEN tag = 'a' THEN way ELSE 0 END", "page_id, item, anchor")} AS open
+                    FROM anchors WHERE anchor > 0)
+              WHERE open > 0 GROUP BY page_id, url, item, anchor)"""
+_ITEMS = p.CommentRule(block=p.Element("li"), text=p.Element("a"))
+
+
+@query(f"""WITH {_SQL_ITEMS}
+           SELECT page_id, url, CAST(item - 1 AS INTEGER) AS position, comment FROM texts WHERE anchor = 1""")
 def page_records(spark, sf):
-    rule = p.CommentRule(block=p.Element("li"), text=p.Element("a"))
-    return p.extract_comments(i.table(spark, sf, "pages"), rule)
+    return p.extract_comments(i.table(spark, sf, "pages"), _ITEMS)
 
 
-@query(f"""SELECT * FROM (
-               SELECT page_id, url, CAST(position AS INTEGER) AS position, CAST(0 AS INTEGER) AS part,
-                      {_sql_inner("regexp_extract(part, '(?s)\\A(?:.*?)(?i:<a)(?:\\s[^>]*)?>(.*?)(?:(?i:</a\\s*>)|\\z)', 1)")} AS comment
-               FROM ({_SQL_LIST}))
-           WHERE NOT {i.sql_blank('comment')}""")
+@query(f"""WITH {_SQL_ITEMS}
+           SELECT page_id, url, CAST(item - 1 AS INTEGER) AS position, CAST(anchor - 1 AS INTEGER) AS part, comment
+           FROM texts WHERE NOT {i.sql_blank('comment')}""")
 def page_text_records(spark, sf):
-    rule = p.CommentRule(block=p.Element("li"), text=p.Element("a"))
-    return p.extract_comments(i.table(spark, sf, "pages"), rule, text_only=True)
+    return p.extract_comments(i.table(spark, sf, "pages"), _ITEMS, text_only=True)
+
+
+@query(f"""
+    WITH {_SQL_PARTS}, open AS (
+        SELECT *, {_sql_running("CASE WHEN tag = 'nav' THEN way ELSE 0 END", "page_id")} AS navs,
+                  {_sql_running("CASE WHEN tag = 'ul' THEN way ELSE 0 END", "page_id")} AS uls FROM tags)
+    SELECT DISTINCT {_sql_resolved(_sql_reference("href"))} AS link
+    FROM (SELECT url, regexp_extract(part, 'href="([^"]*)"', 1) AS href FROM open
+          WHERE tag = 'a' AND way = 1 AND navs > 0 AND uls > 0)
+    WHERE href <> ''""")
+def page_menu_links(spark, sf):
+    """Links inside a list inside a menu, by their ancestors."""
+    menu = p.Element("ul", inside=(p.Element("nav"),))
+    return p.extract_links(i.table(spark, sf, "pages"), "(?!)", inside=menu)
+
+
+# --- records of pages that tables are written into: the tables are what comes out again ----
+
+
+def _written(rows, key, *parts):
+    """A page for each value of `key` with the HTML of its rows, in order of the row's place."""
+    block = F.struct("place", F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("html"))
+    html = F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda b: b["html"]), "\n")
+    return rows.groupBy(F.col(key).alias("page_id")).agg(
+        F.concat(F.lit("<html><body><div><!-- <div class='comment-body'> -->"), html, F.lit("</div>")).alias("html")
+    ).withColumn("url", F.concat(F.lit("https://voted.example.org/ru/"), "page_id"))
+
+
+def _escaped(text):
+    return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+@query(f"""
+    SELECT conv_id AS page_id, CAST(n - 1 AS INTEGER) AS position, comment,
+           CAST(length(comment) AS INTEGER) AS upvotes, CASE WHEN turn % 3 > 0 THEN CAST(turn AS INTEGER) END AS downvotes
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n,
+                 {i.sql_strip(f"regexp_replace(text, '[{i.SPACE_CHARS}]+', ' ', 'g')")} AS comment
+          FROM conversations)
+    WHERE role <> 'system'""")
+def voted_comments(spark, sf):
+    """Comments with votes, an author required: system turns are written without one."""
+    turns = i.table(spark, sf, "conversations")
+    text = strip(F.regexp_replace("text", f"[{SPACE_CHARS}]+", " "))
+    author = F.when(F.col("role") != "system", F.concat(F.lit("<h4 class='comment-user x'>"), "role", F.lit("</h4>")))
+    rows = turns.withColumn("place", F.col("turn"))
+    pages = _written(
+        rows, "conv_id", '<div class="comment-body">', F.coalesce(author, F.lit("")), "<div><p>", _escaped(F.col("text")),
+        "</p></div><span class=\"up-votes-count\"> ", F.length(text).cast("string"), "</span>",
+        '<span class="down-votes-count">', F.when(F.col("turn") % 3 > 0, F.col("turn").cast("string")).otherwise("many"),
+        "</span></div>",
+    )
+    return p.extract_comments(pages, p.VOTED_COMMENTS).drop("url")
+
+
+@query("""
+    SELECT user_id AS page_id, CAST(n - 1 AS INTEGER) AS position, event_type AS emotion,
+           CASE WHEN event_id % 4 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(floor(value) AS BIGINT) END AS count
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
+    WHERE event_id % 5 > 0""")
+def reaction_counters(spark, sf):
+    """Reaction counters; some are no number, some have no counter element and are skipped."""
+    events = i.table(spark, sf, "events").withColumn("place", F.col("event_id"))
+    number = F.floor("value").cast("string")
+    count = F.when(F.col("event_id") % 4 == 0, F.concat(number, F.lit("k"))).otherwise(number)
+    counter = F.concat(F.lit("<b class='pc-emotions-item-counter'>\n"), count, F.lit("</b>"))
+    pages = _written(
+        events, "user_id", "<div title='", F.col("event_type"), "' class='pc-emotions-item on'><div>",
+        F.when(F.col("event_id") % 5 > 0, counter).otherwise(""), "</div></div>",
+    )
+    return p.extract_reactions(pages).drop("url")

@@ -13,17 +13,8 @@ from moodspark.sources.keyed import (
     replace_children,
     with_key,
 )
-from moodspark.sources.pages import (
-    ArticleRule,
-    CommentRule,
-    ReactionRule,
-    article_title,
-    comment_records,
-    extract_articles,
-    reaction_records,
-    text_records,
-    visible,
-)
+from moodspark.sources.pages import ArticleRule, CommentRule, PageRules, ReactionRule, extract_pages
+from moodspark.sources.tables import save_stage
 
 
 @dataclass(frozen=True)
@@ -53,44 +44,35 @@ def collect_outlet(
     """Tables of one outlet.  Of several pages with one url the first (by page_id) counts
     for the article; children come from the last one, as a later visit replaces them.
 
-    Every page is reduced to what is wanted of it before pages of one url are compared, so
-    no HTML is shuffled.
+    Every page is read once, for all rules, and reduced to what is wanted of it before pages of one
+    url are compared, so no HTML is shuffled.  What is read is written before it is used thrice.
     """
-    html = F.col("_html")
-    seen = visible(pages)
-    found = first_per_key(extract_articles(pages, articles), ["url"], ["page_id"])
-    records = (text_records if text_only else comment_records)(html, comments)
-    said = last_per_key(
-        seen.select("url", "page_id", records.alias("records")), ["url"], ["page_id"]
-    )
-    reacted = None
-    if reactions is not None:
-        reacted = last_per_key(
-            seen.select("url", "page_id", reaction_records(html, reactions).alias("records")),
-            ["url"],
-            ["page_id"],
-        )
+    rules = PageRules(article=articles, comments=comments, text_only=text_only, reactions=reactions)
+    read = save_stage(extract_pages(pages, rules), "pages-read")
+    found = first_per_key(read.select("page_id", "url", "title", "content"), ["url"], ["page_id"])
+    kinds = ["comments"] if reactions is None else ["comments", "reactions"]
+    last = last_per_key(read.select("page_id", "url", *kinds), ["url"], ["page_id"])
     return OutletTables(
         articles=with_key(found, "url").select("id", "url", "title", "content"),
-        comments=_children(said, "records", ["position", "part"] if text_only else ["position"]),
-        reactions=None if reacted is None else _children(reacted, "records", ["position"]),
+        comments=_children(last, "comments", ["position", "part"] if text_only else ["position"]),
+        reactions=None if reactions is None else _children(last, "reactions", ["position"]),
     )
 
 
 def collect_posts(
     pages: DataFrame, article: ArticleRule, comments: CommentRule, account: str
 ) -> DataFrame:
-    """Post comments with the caption on every row, noise dropped."""
-    html = F.col("_html")
-    # caption and comments leave the page together; nothing has to be joined back
-    said = visible(pages).select(
-        "page_id",
-        F.col("url").alias("post_url"),
-        article_title(html, article).alias("post_caption"),
-        F.inline(comment_records(html, comments)),
+    """Post comments with the caption on every row, noise dropped.
+
+    Of several visits to one post the last one (by page_id) counts.
+    """
+    read = extract_pages(pages, PageRules(article=article, comments=comments))
+    last = last_per_key(read, ["url"], ["page_id"])
+    said = last.select(
+        F.col("url").alias("post_url"), F.col("title").alias("post_caption"), F.inline("comments")
     )
     return drop_noise(said, "comment").select(
-        F.md5(F.concat_ws("#", "post_url", "page_id", "position")).alias("id"),
+        F.md5(F.concat_ws("#", "post_url", "position")).alias("id"),
         F.lit(account).alias("account_name"),
         "post_url",
         "post_caption",

@@ -1,49 +1,25 @@
 """Extraction of links, articles, comments and reactions from stored pages.
 
-The rules name an element by tag and one attribute.  An element ends at its own closing tag:
-tags of its name are counted, so others nested inside it belong to it.  A record ends at its
-own closing tag as well, or at the next record of the same kind if that comes first.  Pages
-that need a real parser are a job for the caller's own ``mapInPandas``.
+The rules name elements by tag, one attribute and ancestors.  A page is read once for all rules, by a
+scan of its tags in Arrow batches (see scan.py) that hands back the fragments of HTML that the
+rules want; text is made of those by built-in functions.  A record ends at its own closing tag,
+or at the next record of the same kind if that comes first.
 """
 
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.entities import name2codepoint
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodspark import fixed_values as fv
 from moodspark.functions.text import bind, digits_or_zero, is_blank, squeeze, strip
 from moodspark.functions.urls import resolve_url
-
-
-@dataclass(frozen=True)
-class Element:
-    """An element with a tag (None: any) and, if given, an attribute that holds a value."""
-
-    tag: str | None
-    attribute: str | None = None
-    value: str | None = None
-
-    def opening(self) -> str:
-        """Pattern of the opening tag, without capture groups."""
-        name = self.tag or r"[A-Za-z][A-Za-z0-9]*"
-        if self.attribute is None:
-            return rf"(?i:<{name})(?:\s[^>]*)?>"
-        value = re.escape(self.value)
-        # class is a list of words, any other attribute is compared whole
-        before, after = (
-            (r"(?:[^\"'>]*\s)?", r"(?:\s[^\"'>]*)?") if self.attribute == "class" else ("", "")
-        )
-        return (
-            rf"(?i:<{name})\s(?:[^>]*\s)?(?i:{self.attribute})\s*=\s*"
-            rf"[\"']{before}{value}{after}[\"'][^>]*>"
-        )
-
-    def closing(self) -> str:
-        return rf"(?i:</{self.tag or '[A-Za-z][A-Za-z0-9]*'}\s*>)"
+from moodspark.sources.scan import Element, Found, Scan, apart, visible, within
 
 
 @dataclass(frozen=True)
@@ -59,7 +35,6 @@ class CommentRule:
     text: Element | None  # None: the block itself is the text
     numbers: dict[str, Element] = field(default_factory=dict)
     required: tuple[Element, ...] = ()  # an incomplete record is skipped; text never kept
-    within: tuple[str, int] | None = None  # only at this depth of elements with this tag
 
 
 @dataclass(frozen=True)
@@ -69,6 +44,18 @@ class ReactionRule:
     count: Element
 
 
+@dataclass(frozen=True)
+class PageRules:
+    """What is read from each page, in one pass."""
+
+    article: ArticleRule | None = None
+    comments: CommentRule | None = None
+    text_only: bool = False  # comments are the text elements of each block
+    reactions: ReactionRule | None = None
+    links: bool = False
+    links_inside: Element | None = None  # tells links within such an element
+
+
 def _element(spec) -> Element:
     return Element(*spec)
 
@@ -96,24 +83,13 @@ REACTIONS = ReactionRule(
 )
 POST_ARTICLE = ArticleRule(title=_element(fv.POST_CAPTION))
 POST_COMMENTS = CommentRule(
-    block=_element(fv.POST_COMMENT), text=None, within=fv.POST_COMMENT_WITHIN
+    block=Element(*fv.POST_COMMENT, inside=(Element(fv.POST_COMMENT_WITHIN[0]),) * fv.POST_COMMENT_WITHIN[1]), text=None
 )
 
 # named character references of HTML; &amp; is decoded last, so that nothing is decoded twice
 NAMED_REFERENCES = {n: chr(p) for n, p in name2codepoint.items() if n != "amp"} | {"apos": "'"}
 
 
-def visible_html(html: Column) -> Column:
-    """Without scripts, styles and comments, which no reader sees."""
-    return F.regexp_replace(
-        html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", ""
-    )
-
-
-def visible(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("_html", visible_html(F.col("html")))
-
-
 def _decode_numbers(text: Column) -> Column:
     """Decimal and hexadecimal character references, each distinct one replaced in turn."""
     pattern = r"&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
@@ -162,169 +138,146 @@ def inner_text(fragment: Column) -> Column:
     return strip(F.regexp_replace(text, r" *\n[ \n]*", "\n"))
 
 
-def _closed(rest: Column, element: Element) -> Column:
-    """What follows an opening tag, up to the closing tag that belongs to it.
-
-    The text is cut in front of every tag of that name; opening ones count up, closing ones down,
-    and the lengths of the parts add up until the count is back at the start.  Without a closing
-    tag it goes to the end.  A paragraph cannot hold another, and an element of any name ends at
-    the first closing tag.
-    """
-    if element.tag is None or element.tag.lower() == "p":
-        return _up_to(rest, element.closing() + ("" if element.tag is None else r"|(?i:<p[\s>])"))
-    parts = F.split(rest, rf"(?i)(?=</?{element.tag}[\s>/])")
-
-    def step(state: Column, part: Column) -> Column:
-        opened = part.rlike(rf"\A(?i:<{element.tag}[\s>/])")
-        closed = part.rlike(rf"\A(?i:</{element.tag}[\s>/])")
-        depth = state["depth"] + F.when(opened, 1).when(closed, -1).otherwise(0)
-        inside = (state["depth"] > 0) & (depth > 0)
-        return F.struct(
-            F.when(state["depth"] > 0, depth).otherwise(0).alias("depth"),
-            (state["size"] + F.when(inside, F.length(part)).otherwise(0)).alias("size"),
-        )
-
-    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("size"))
-    return F.substr(rest, F.lit(1), F.aggregate(parts, start, step)["size"])
-
-
-def _at_depth(html: Column, tag: str, depth: int) -> Column:
-    """The parts of a page inside at least so many elements with this tag."""
-    parts = F.split(html, rf"(?i)(?=</?{tag}[\s>/])")
-
-    def step(state: Column, part: Column) -> Column:
-        opened = part.rlike(rf"\A(?i:<{tag}[\s>/])")
-        closed = part.rlike(rf"\A(?i:</{tag}[\s>/])")
-        now = F.greatest(F.lit(0), state["depth"] + F.when(opened, 1).when(closed, -1).otherwise(0))
-        return F.struct(
-            now.alias("depth"),
-            F.when(now >= depth, F.concat(state["text"], part)).otherwise(state["text"]).alias("text"),
-        )
-
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
-    return F.aggregate(parts, start, step)["text"]
-
-
-def _first_inner(html: Column, element: Element) -> Column:
-    """Content of the first such element; null when there is none."""
-    return bind(F.get(F.split(html, element.opening(), 2), F.lit(1)), lambda rest: _closed(rest, element))
-
+_HREF = re.compile(r"""(?:^|\s)href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I | re.A)
 
-def _pieces(html: Column, element: Element) -> Column:
-    """What follows each opening tag, up to the next one of the same kind."""
-    return F.filter(F.split(html, element.opening()), lambda piece, i: i > 0)
-
-
-def _up_to(piece: Column, end: str) -> Column:
-    return F.regexp_extract(piece, rf"(?s)\A(.*?)(?:{end}|\z)", 1)
-
-
-def links(html: Column, href_pattern: str = "", inside: Element | None = None) -> Column:
-    """Array of the hrefs that match; ``inside`` also accepts any link within an element."""
-
-    def hrefs(part: Column) -> Column:
-        anchor = r"(?i)<a\s(?:[^>]*\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
-        found = F.regexp_extract_all(part, F.lit(anchor), F.lit(1))
-        return F.transform(found, lambda h: F.regexp_replace(h, r"\A[\"']|[\"']\z", ""))
-
-    found = F.filter(hrefs(html), lambda h: h.rlike(href_pattern)) if href_pattern else hrefs(html)
-    if inside is not None:
-        within = F.transform(_pieces(html, inside), lambda p: hrefs(_closed(p, inside)))
-        found = F.concat(found, F.flatten(within))
-    return F.filter(found, lambda h: h != "")
-
-
-def article_title(html: Column, rule: ArticleRule) -> Column:
-    return F.coalesce(inner_text(_first_inner(html, rule.title)), F.lit(""))
-
-
-def article_body(html: Column, rule: ArticleRule) -> Column:
-    if rule.paragraph is not None:
-        ends = rf"{rule.paragraph.closing()}|(?i:<{rule.paragraph.tag}[\s>])"
-        texts = F.transform(_pieces(html, rule.paragraph), lambda p: inner_text(_up_to(p, ends)))
-        return F.coalesce(F.array_join(F.filter(texts, lambda t: ~is_blank(t)), "\n"), F.lit(""))
-    if rule.body is not None:
-        return F.coalesce(inner_text(_first_inner(html, rule.body)), F.lit(""))
-    return F.lit("")
+FRAGMENTS = """struct<title string, paragraphs array<string>,
+    comments array<struct<position int, part int, fields array<string>>>,
+    reactions array<struct<position int, name string, count string>>,
+    links array<struct<href string, inside boolean>>>"""
 
+_ARROW = pa.struct(
+    [
+        ("title", pa.string()),
+        ("paragraphs", pa.list_(pa.string())),
+        ("comments", pa.list_(pa.struct([("position", pa.int32()), ("part", pa.int32()), ("fields", pa.list_(pa.string()))]))),
+        ("reactions", pa.list_(pa.struct([("position", pa.int32()), ("name", pa.string()), ("count", pa.string())]))),
+        ("links", pa.list_(pa.struct([("href", pa.string()), ("inside", pa.bool_())]))),
+    ]
+)
 
-def comment_records(html: Column, rule: CommentRule) -> Column:
-    """Array of (position, comment, the rule's numbers).
 
-    A record that lacks a field is skipped.  A number that is no number becomes null and the
-    record stays.
+class Reader:
+    """The fragments that rules want of a page."""
+
+    def __init__(self, rules: PageRules):
+        self.rules = rules
+        self.elements: list[Element] = []
+        article, comments, reactions = rules.article, rules.comments, rules.reactions
+        wanted = [article and (article.title, article.paragraph, article.body)]
+        wanted += [comments and (comments.block, comments.text, *comments.numbers.values(), *comments.required)]
+        wanted += [reactions and (reactions.block, reactions.count)]
+        if rules.links:
+            inside = rules.links_inside
+            wanted.append((Element("a"), inside and Element("a", inside=(*inside.inside, inside))))
+        self.elements = list(dict.fromkeys(e for group in wanted if group for e in group if e))
+        self.scan = Scan(self.elements)
+        if reactions:
+            self.name = re.compile(rf"(?:^|\s){reactions.name_attribute}\s*=\s*[\"']([^\"']*)[\"']", re.I | re.A)
+
+    def __call__(self, html: str | None) -> dict:
+        text = visible(html or "")
+        found = dict(zip(self.elements, self.scan(text), strict=True))
+        rules, out = self.rules, {}
+        if rules.article:
+            title = found[rules.article.title]
+            out["title"] = text[title[0].start : title[0].end] if title else None
+            body = rules.article.paragraph or rules.article.body
+            parts = found[body] if body else []
+            parts = apart(parts) if rules.article.paragraph else parts[:1]
+            out["paragraphs"] = [text[f.start : f.end] for f in parts]
+        if rules.comments:
+            blocks = apart(found[rules.comments.block])
+            read = self._texts if rules.text_only else self._records
+            out["comments"] = list(read(text, found, blocks))
+        if rules.reactions:
+            out["reactions"] = list(self._reactions(text, found))
+        if rules.links:
+            heads = rules.links_inside
+            inside = {f.tag for f in found[Element("a", inside=(*heads.inside, heads))]} if heads else ()
+            links = ((_HREF.search(f.attributes), f.tag) for f in found[Element("a")])
+            out["links"] = [{"href": m[1].strip("\"'") if m[1][0] in "\"'" else m[1], "inside": at in inside} for m, at in links if m]
+        return out
+
+    def _records(self, text: str, found: dict, blocks: list[Found]) -> Iterator[dict]:
+        rule = self.rules.comments
+        for position, block in enumerate(blocks):
+            parts = [block] if rule.text is None else []
+            wanted = [*([rule.text] if rule.text else []), *rule.numbers.values(), *rule.required]
+            parts += [next(within(found[e], block), None) for e in wanted]
+            if all(parts):
+                fields = parts[: 1 + len(rule.numbers)]
+                yield {"position": position, "part": 0, "fields": [text[f.start : f.end] for f in fields]}
+
+    def _texts(self, text: str, found: dict, blocks: list[Found]) -> Iterator[dict]:
+        for position, block in enumerate(blocks):
+            for part, f in enumerate(apart(list(within(found[self.rules.comments.text], block)))):
+                yield {"position": position, "part": part, "fields": [text[f.start : f.end]]}
+
+    def _reactions(self, text: str, found: dict) -> Iterator[dict]:
+        rule = self.rules.reactions
+        for position, block in enumerate(apart(found[rule.block])):
+            name, count = self.name.search(block.attributes), next(within(found[rule.count], block), None)
+            if name and count:
+                yield {"position": position, "name": name[1], "count": text[count.start : count.end]}
+
+
+def fragments(html: Column, rules: PageRules) -> Column:
+    """A struct of what the rules want of a page, as HTML.  Each page is read once."""
+
+    @F.arrow_udf(FRAGMENTS)
+    def read(pages: pa.Array) -> pa.Array:
+        reader = Reader(rules)
+        return pa.array([reader(page.as_py()) for page in pages], _ARROW)
+
+    return read(html)
+
+
+def _numbered(rule: CommentRule, fields: Column) -> list[Column]:
+    return [
+        inner_text(F.get(fields, F.lit(k))).try_cast("int").alias(name) for k, name in enumerate(rule.numbers, 1)
+    ]
+
+
+def extract_pages(pages: DataFrame, rules: PageRules) -> DataFrame:
+    """page_id, url and, for each rule that is given, what it finds.
+
+    ``title`` and ``content`` are '' where they are missing; content is the non-blank paragraphs, one
+    per line, or the text of the first body element.  ``comments`` is an array of (position, comment,
+    the rule's numbers), or with text_only of (position, part, comment) without blank ones; a
+    record that lacks a field is skipped, a number that is no number is null.  ``reactions`` is an
+    array of (position, emotion, count); a count that is not all digits is 0.  ``links`` is an
+    array of (href, inside).  A page without HTML has none of them.
     """
-    needed = [*([rule.text] if rule.text else []), *rule.numbers.values(), *rule.required]
-
-    def complete(record: Column) -> Column:
-        ok = F.lit(True)
-        for element in needed:
-            ok = ok & record["block"].rlike(element.opening())
-        return ok
-
-    def fields(record: Column) -> Column:
-        block = record["block"]
-        content = block if rule.text is None else _first_inner(block, rule.text)
-        return F.struct(
-            record["position"].alias("position"),
-            inner_text(content).alias("comment"),
-            *[
-                inner_text(_first_inner(block, element)).try_cast("int").alias(name)
-                for name, element in rule.numbers.items()
-            ],
-        )
-
-    return F.transform(F.filter(_numbered(_blocks(html, rule)), complete), fields)
-
-
-def _blocks(html: Column, rule: CommentRule) -> Column:
-    """The rule's records, each up to its own end."""
-    if rule.within:
-        html = _at_depth(html, *rule.within)
-    return F.transform(_pieces(html, rule.block), lambda piece: _closed(piece, rule.block))
-
-
-def text_records(html: Column, rule: CommentRule) -> Column:
-    """Array of (position, part, comment): each text element of a block; blank ones dropped."""
-
-    def texts(block: Column, position: Column) -> Column:
-        return F.transform(
-            _pieces(block, rule.text),
-            lambda piece, part: F.struct(
-                position.alias("position"),
-                part.alias("part"),
-                inner_text(_closed(piece, rule.text)).alias("comment"),
+    read = pages.select("page_id", "url", fragments(F.col("html"), rules).alias("_found"))
+    found = F.col("_found")
+    columns = []
+    if rules.article:
+        texts = F.transform(found["paragraphs"], inner_text)
+        columns.append(F.coalesce(inner_text(found["title"]), F.lit("")).alias("title"))
+        columns.append(F.array_join(F.filter(texts, lambda t: ~is_blank(t)), "\n").alias("content"))
+    if rules.comments:
+        position, text = (lambda r: r["position"].alias("position")), (lambda r: inner_text(r["fields"][0]).alias("comment"))
+        if rules.text_only:
+            records = F.transform(found["comments"], lambda r: F.struct(position(r), r["part"].alias("part"), text(r)))
+            records = F.filter(records, lambda r: ~is_blank(r["comment"]))
+        else:
+            records = F.transform(
+                found["comments"], lambda r: F.struct(position(r), text(r), *_numbered(rules.comments, r["fields"]))
+            )
+        columns.append(records.alias("comments"))
+    if rules.reactions:
+        counters = F.transform(
+            found["reactions"],
+            lambda r: F.struct(
+                r["position"].alias("position"),
+                inner_text(r["name"]).alias("emotion"),
+                digits_or_zero(inner_text(r["count"])).alias("count"),
             ),
         )
-
-    found = F.flatten(F.transform(_blocks(html, rule), texts))
-    return F.filter(found, lambda r: ~is_blank(r["comment"]))
-
-
-def reaction_records(html: Column, rule: ReactionRule = REACTIONS) -> Column:
-    """Array of (position, emotion, count); a count that is not all digits is 0."""
-    opening = rule.block.opening()
-    attribute = rf"(?i)\A[^>]*\s{rule.name_attribute}\s*=\s*[\"']([^\"']*)[\"']"
-    # cut in front of each opening tag, as the name is one of its attributes
-    blocks = F.filter(
-        F.split(html, rf"(?={opening})"), lambda piece: piece.rlike(rf"\A{opening}")
-    )
-    complete = F.filter(
-        _numbered(blocks),
-        lambda r: r["block"].rlike(attribute) & r["block"].rlike(rule.count.opening()),
-    )
-    return F.transform(
-        complete,
-        lambda r: F.struct(
-            r["position"].alias("position"),
-            inner_text(F.regexp_extract(r["block"], attribute, 1)).alias("emotion"),
-            digits_or_zero(inner_text(_first_inner(r["block"], rule.count))).alias("count"),
-        ),
-    )
-
-
-def _numbered(blocks: Column) -> Column:
-    return F.transform(blocks, lambda b, i: F.struct(i.alias("position"), b.alias("block")))
+        columns.append(counters.alias("reactions"))
+    if rules.links:
+        columns.append(found["links"].alias("links"))
+    return read.select("page_id", "url", *columns)
 
 
 def extract_links(
@@ -334,33 +287,29 @@ def extract_links(
     inside: Element | None = None,
     dedupe: bool = True,
 ) -> DataFrame:
-    """Absolute links.  A link in every page's menu is reduced on the map side by the distinct."""
-    found = visible(pages).select(
-        "url", F.explode(links(F.col("_html"), href_pattern, inside)).alias("_href")
-    )
-    href = F.replace(F.col("_href"), F.lit("&amp;"), F.lit("&"))
+    """Absolute links whose href matches; ``inside`` also accepts any link within an element.
+
+    Character references in hrefs are decoded.  A link in every page's menu is reduced on the map
+    side by the distinct.
+    """
+    found = extract_pages(pages, PageRules(links=True, links_inside=inside))
+    found = found.select("url", F.inline("links")).where(F.col("href").rlike(href_pattern) | F.col("inside"))
+    href = F.when(F.col("href").contains("&"), _decode(F.col("href"))).otherwise(F.col("href"))
     origin = F.lit(base) if base else F.col("url")
-    resolved = found.select(bind(href, lambda h: resolve_url(origin, h)).alias("link"))
+    resolved = found.where("href <> ''").select(bind(href, lambda h: resolve_url(origin, h)).alias("link"))
     return resolved.distinct() if dedupe else resolved
 
 
 def extract_articles(pages: DataFrame, rule: ArticleRule = VOTED_ARTICLE) -> DataFrame:
     """page_id, url, title, content; a missing title or body is ''."""
-    html = F.col("_html")
-    return visible(pages).select(
-        "page_id",
-        "url",
-        article_title(html, rule).alias("title"),
-        article_body(html, rule).alias("content"),
-    )
+    return extract_pages(pages, PageRules(article=rule))
 
 
 def extract_comments(pages: DataFrame, rule: CommentRule, text_only: bool = False) -> DataFrame:
-    """page_id, url and the records of comment_records or, with ``text_only``, text_records."""
-    records = text_records if text_only else comment_records
-    return visible(pages).select("page_id", "url", F.inline(records(F.col("_html"), rule)))
+    """page_id, url and the comments of extract_pages, a row each."""
+    return extract_pages(pages, PageRules(comments=rule, text_only=text_only)).select("page_id", "url", F.inline("comments"))
 
 
 def extract_reactions(pages: DataFrame, rule: ReactionRule = REACTIONS) -> DataFrame:
-    """page_id, url and the records of reaction_records."""
-    return visible(pages).select("page_id", "url", F.inline(reaction_records(F.col("_html"), rule)))
+    """page_id, url and the reactions of extract_pages, a row each."""
+    return extract_pages(pages, PageRules(reactions=rule)).select("page_id", "url", F.inline("reactions"))

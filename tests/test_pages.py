@@ -1,8 +1,11 @@
+import time
+
 import pytest
 
 from moodspark import fixed_values as fv
 from moodspark.plans import collect
 from moodspark.sources import pages as p
+from moodspark.sources.scan import Scan, visible
 from tests.conftest import rows
 
 VOTED = """<html><head><script>var x = '<h1 id="article_title">no</h1>';</script></head><body>
@@ -147,3 +150,57 @@ def test_forms_of_links_and_references(spark):
     assert rows(p.extract_links(df)) == [("https://p.org/a'b",), ('https://p.org/it"s',), ("https://p.org/x",)]
     text = spark.createDataFrame([("&#x27;a&rsquo; &eacute;&#X1F44D; &nothing;",)], "h string")
     assert text.select(p.inner_text(text.h)).collect()[0][0] == "'a’ é👍 &nothing;"
+
+
+def test_ancestors_of_any_kind(spark):
+    html = """<div class="head"><p>no</p></div><div class="main x"><p>one<section><p>two</section><p>three</div><p>four</p>
+<div class="main"><section id="s"><div class="main"><p>five</section><p>six</div>"""
+    df = spark.createDataFrame([(1, "https://p.org", html)], "page_id bigint, url string, html string")
+    main = p.Element("div", "class", "main")
+    for inside, want in (
+        ((main,), ["one", "two", "three", "five", "six"]),
+        ((main, p.Element("section")), ["two", "five"]),
+        ((main, p.Element(None, "id", "s"), main), ["five"]),
+        ((p.Element("section"), p.Element("section")), []),
+    ):
+        rule = p.ArticleRule(title=p.Element("h1"), paragraph=p.Element("p", inside=inside))
+        assert rows(p.extract_articles(df, rule)) == [(1, "https://p.org", "", "\n".join(want))]
+
+
+def test_tags_out_of_order():
+    def found(html, *elements):
+        return [[html[f.start : f.end] for f in each] for each in Scan(list(elements))(html)]
+
+    div, bold, para = p.Element("div"), p.Element("b"), p.Element("P")
+    assert found("<div>a<b>c</div>d</b>", div, bold) == [["a<b>c"], ["c"]]
+    assert found("<b>a<div>c</b>d</div>e</b>f", div, bold) == [["c</b>d"], ["a<div>c</b>d</div>e"]]
+    assert found("</div><p>a<i>b<div>c</p>d</div><p>e<br/>f", div, para) == [["c</p>d"], ["a<i>b", "e<br/>f"]]
+    assert found("a < b <DIV\nid='x'>c<div/>d</div></div>", div, p.Element("div", "id", "x")) == [["c<div/>d</div>", "d"], ["c<div/>d</div>"]]
+    assert found("<img class='b a'>x", p.Element(None, "class", "a")) == [[""]]
+    assert visible("a<!-- <p> -->b<SCRIPT x>c</p></script >d<style>e<scripty>f<!--g") == "abd<style>e<scripty>f<!--g"
+
+
+@pytest.mark.parametrize("part", ["<b>", "</i>", "<b></i>", "<p><b></i>", "<!--", "<script>", "<div><p>", "<div class='a'>", "<", "<a <"])
+def test_long_pages_take_time_in_proportion(part):
+    chain = (p.Element("div", "class", "a"),) * 3
+    rule = p.PageRules(
+        article=p.ArticleRule(title=p.Element("h1", inside=chain), paragraph=p.Element("p", inside=chain[:1])),
+        comments=p.CommentRule(block=p.Element("div"), text=p.Element("b")), links=True, links_inside=p.Element("h2"),
+    )
+    read = p.Reader(rule)
+
+    def seconds(n):
+        start = time.process_time()
+        read("<i><p><div class='a'>" + part * n)
+        return time.process_time() - start
+
+    seconds(100)
+    assert min(seconds(40_000), seconds(40_000)) < 0.1 + 14 * max(seconds(5_000), 0.01)
+
+
+def test_the_last_visit_counts(spark):
+    visit = '<h1 class="_ap3a">{}</h1><ul><ul><span class="_ap3a">{} is a long comment</span></ul></ul>'
+    seen = [(k, "https://p.org/p/1", visit.format(f"caption {k}", f"this {k}")) for k in (1, 3, 2)]
+    df = spark.createDataFrame([*seen, (9, "https://p.org/p/2", None)], "page_id bigint, url string, html string")
+    got = collect.collect_posts(df, p.POST_ARTICLE, p.POST_COMMENTS, "acc").drop("id")
+    assert rows(got) == [("acc", "https://p.org/p/1", "caption 3", "this 3 is a long comment")]
