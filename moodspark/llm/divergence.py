@@ -175,7 +175,11 @@ def _shard(top: int):
                     source, term = np.nonzero(far)
                     value = _distance(p[source, term], q[term])
                     out.append(_top(lang, names.take(pa.array(source)), encoded.dictionary.take(pa.array(term + start)), value, top))
-            if len(here) or key[0].as_py() == 0:
+            # terms of the shard that no source of these blocks has
+            least = share(np.full(len(n), 2), np.maximum(whole, 2))
+            left, right = least[first][:, None], least[second][None, :]
+            sums += (mine["terms"].to_numpy()[0] - len(encoded.dictionary)) * _distance(left, right)
+            if mine["terms"].to_numpy()[0] or key[0].as_py() == 0:
                 i, j = np.triu_indices(len(first), 1) if a == b else np.indices(sums.shape).reshape(2, -1)
                 left, right = pa.array(first[i]), pa.array(second[j])
                 out.append(_rows(lang, names.take(left), "pair", names.take(right), sums[i, j]))
@@ -244,13 +248,14 @@ def divergences(counts: DataFrame, min_docs: int = 10, top: int = 10) -> DataFra
     # a source's block meets every block; the smaller number comes first
     both = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(o, "block").alias("a"), F.greatest(o, "block").alias("b"))))
     shard = F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int")
-    rows = kept.withColumn("block", block).withColumn("shard", shard).withColumn("ab", both)
-    rows = rows.select("shard", "ab.a", "ab.b", "lang", "source", "term", "n", "term_n")
+    dealt = kept.withColumn("shard", shard)
+    rows = dealt.withColumn("block", block).withColumn("ab", both).select("shard", "ab.a", "ab.b", "lang", "source", "term", "n", "term_n")
     all_groups = (
         groups.withColumn("block", block)
         .withColumn("ab", both)
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        .select("shard", "ab.a", "ab.b", "lang", "source", "block", "n", "v", "lang_n")
+        .join(dealt.where("first").groupBy("shard", "lang").agg(F.count("*").alias("terms")), ["shard", "lang"], "left")
+        .select("shard", "ab.a", "ab.b", "lang", "source", "block", "n", "v", "lang_n", F.coalesce("terms", F.lit(0)).alias("terms"))
     )
     found = (
         rows.groupBy("shard", "a", "b")
