@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ BANDS, ROWS = 64, 8
 #: Pairs whose share of equal coordinates is this far below the limit are not looked up: six
 #: standard deviations of the estimate from 512 coordinates at 0.8.
 SLACK = 0.11
-#: Sketches on each side of a task that compares blocks of a band.
+#: Classes on each side of a task that compares blocks of a band, or as many thousand shingles.
 BLOCK = 4096
 
 _WORDS_KEPT = 1_000_000
@@ -110,7 +111,7 @@ def _places_needed(share: float) -> float:
     return BANDS * ROWS * (share + (1 - share) / 16)
 
 
-SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary, marks binary"
+SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
 
 
 def _sign(width: int):
@@ -118,19 +119,17 @@ def _sign(width: int):
         seen, circulant = WordHashes(), Circulant(BANDS * ROWS)
         for batch in batches:
             for part in _pieces(batch):
-                counts, digests, bands, sketches, marks = [], [], [], [], []
+                counts, digests, bands, sketches = [], [], [], []
                 for text in part.column(1).cast(pa.large_binary()).to_pylist():
                     found = shingles(text, width, seen)
                     counts.append(len(found))
                     if not len(found):
-                        digests.append(None), bands.append(None), sketches.append(None), marks.append(None)
+                        digests.append(None), bands.append(None), sketches.append(None)
                         continue
                     signature = circulant(found)
                     digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-                    keys = _band_keys(signature)
-                    bands.append(keys)
+                    bands.append(_band_keys(signature))
                     sketches.append(_sketch(signature))
-                    marks.append((keys >> 32).astype("<i4").tobytes())
                 yield pa.record_batch(
                     [
                         part.column(0).cast(pa.int64()),
@@ -138,9 +137,8 @@ def _sign(width: int):
                         pa.array(digests, pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
                         pa.array(sketches, pa.binary()),
-                        pa.array(marks, pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "digest", "bands", "sketch", "marks"],
+                    names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
                 )
 
     return run
@@ -199,29 +197,84 @@ def _alike(percent: int):
     return run
 
 
+class Block:
+    """Classes of one band as arrays: ids, component labels, sketches and the keys of all their bands."""
+
+    def __init__(self, rows: pa.Table):
+        self.ids, self.own = rows["doc_id"].to_numpy(), rows["own"].to_numpy().copy()
+        self.sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(self.ids), -1)
+        self.bands = pc.list_flatten(rows["bands"]).to_numpy().reshape(len(self.ids), BANDS)
+
+    def close_to(self, other: Block, i: int, label: int, band: int, least: float) -> np.ndarray:
+        """Rows that class i of another block may link with, and whose first shared band is this one.
+
+        Those have another label than `label`, and their sketches agree in at least this share of places.
+        """
+        near = _equal_places(self.sketches, other.sketches[i]) >= _places_needed(least)
+        at = np.flatnonzero(near & (self.own != label))
+        shared = self.bands[at] == other.bands[i]
+        return at[self.bands[at, shared.argmax(axis=1)] == band]
+
+
+OPEN = "band long, block long, part long, doc_id long"
+
+
 def _apart(least: float):
-    """Pairs of a stray and a class of another component whose sketches agree in this share of places.
+    """Classes of a block of strays and a block of a band that may link with one of the other side.
 
-    A pair leaves in the first of the bands it shares only; marks are the upper halves of band keys.
+    A class comes out once, however many it may link with.
     """
 
     def run(keys, strays, there):
-        a, b = [], []
+        found = np.empty(0, np.int64)
         if strays.num_rows and there.num_rows:
-            band = np.int32(keys[0].as_py() >> 32)
-            ids, own = there["doc_id"].to_numpy(), there["own"].to_numpy()
-            sketches = np.frombuffer(b"".join(there["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            marks = np.frombuffer(b"".join(there["marks"].to_pylist()), "<i4").reshape(len(ids), -1)
-            columns = (strays[c].to_pylist() for c in ("doc_id", "own", "sketch", "marks"))
-            for doc_id, label, sketch, mark in zip(*columns, strict=True):
-                mark = np.frombuffer(mark, "<i4")
-                shared = (marks == mark).argmax(axis=1) == (mark == band).argmax()
-                near = _equal_places(sketches, np.frombuffer(sketch, np.uint8)) >= _places_needed(least)
-                found = ids[shared & near & (own != label)]
-                a.append(np.maximum(found, doc_id))
-                b.append(np.minimum(found, doc_id))
-        empty = np.empty(0, np.int64)
-        return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+            few, many = Block(strays), Block(there)
+            wanted = np.zeros(len(many.ids), bool)
+            alone = np.zeros(len(few.ids), bool)
+            for i in range(len(few.ids)):
+                at = many.close_to(few, i, few.own[i], keys[0].as_py(), least)
+                wanted[at] = True
+                alone[i] = len(at) > 0
+            found = np.union1d(few.ids[alone], many.ids[wanted])
+        return pa.table(
+            {k: pa.array([key.as_py()] * len(found), pa.int64()) for k, key in zip(("band", "block", "part"), keys, strict=True)}
+            | {"doc_id": found}
+        )
+
+    return run
+
+
+def _joined(percent: int, least: float):
+    """Links among the classes of a task that join components: no more than there are classes.
+
+    Pairs are confirmed on full sets here, and pairs of classes that other links have joined
+    already are passed over, so neither refuted nor needless pairs become rows.
+    """
+
+    def run(keys, rows):
+        band, block = keys[0].as_py(), Block(rows)
+        sets = [np.frombuffer(x, np.uint64) for x in rows["held"].to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        there = np.zeros(code.max() + 1, bool)
+        a, b = [], []
+        for i in range(len(sets)):
+            at = block.close_to(block, i, block.own[i], band, least)
+            at = at[at > i]
+            at = at[100 * np.minimum(sizes[at], sizes[i]) >= percent * np.maximum(sizes[at], sizes[i])]
+            if not len(at):
+                continue
+            mine = code[starts[i] : starts[i + 1]]
+            there[mine] = True
+            both = np.array([np.count_nonzero(there[code[starts[k] : starts[k + 1]]]) for k in at])
+            there[mine] = False
+            for k in at[100 * both >= percent * (sizes[at] + sizes[i] - both)]:
+                if block.own[k] != block.own[i]:
+                    a.append(max(block.ids[i], block.ids[k]))
+                    b.append(min(block.ids[i], block.ids[k]))
+                    block.own[block.own == block.own[k]] = block.own[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -239,9 +292,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     more.  The classes that meet in a band link in three rounds, each on what the one before left
     apart: with the smallest class of all their bands; with one class of each band, picked by a
     hash; and in bands that still hold several components, every class outside the band's largest
-    component with the classes of other components, block by block on their sketches, so that only
-    pairs near the limit leave a task.  So a group of thousands of near copies costs a few pairs for
-    each copy, not all pairs.  Every pair is confirmed on full sets.
+    component with the classes of other components, block by block.  There, sketches tell which
+    classes have a partner near the limit; their full sets go to the block's task, which gives back
+    links that join components, so no more rows than it has classes.  Blocks have a bound in classes and
+    in shingles.  So a group of thousands of near copies costs a few rows for each copy, not all
+    pairs.  Every pair is confirmed on full sets.
 
     Rows without doc_id link with nothing: component_id null, kept true.  Repeated rows of one
     doc_id are one document with the links of all its rows; each row is returned.  Extra columns
@@ -253,7 +308,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class"))
     )
     classes = stage(classes, "classes")
-    heads = signed.select("doc_id", "digest", "bands", "sketch", "marks").join(
+    heads = signed.select("doc_id", "digest", "bands", "sketch", "n_shingles").join(
         classes.select("digest", F.col("class").alias("doc_id")), ["digest", "doc_id"], "left_semi"
     )
     buckets = heads.select("doc_id", F.explode("bands").alias("band")).distinct()
@@ -262,11 +317,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         F.min_by("doc_id", F.xxhash64("doc_id", "band")).alias("other"),
         F.count("*").alias("n"),
     )
-    members = stage(buckets.join(shared.where("n > 1").select("band", "hub", "other"), "band"), "members")
+    members = stage(buckets.join(shared.where("n > 1"), "band"), "members")
 
     found = members.select("doc_id").distinct()
     ids = small_enough(stage(found, "candidates"))
-    sketches = stage(heads.join(ids, "doc_id", "left_semi").select("doc_id", "sketch", "marks"), "sketches")
+    sketches = stage(heads.join(ids, "doc_id", "left_semi").select("doc_id", "sketch", "bands", "n_shingles"), "sketches")
     sets = stage(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, held binary"), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -274,9 +329,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         close = _with_both(stage(pairs, "pairs"), sketches, "sketch").mapInArrow(
             _close(percent / 100 - SLACK), "a long, b long"
         )
-        return verified(close)
-
-    def verified(close: DataFrame) -> DataFrame:
         close = stage(close.distinct(), "close")
         return stage(_with_both(close, sets, "held").mapInArrow(_alike(percent), "a long, b long").distinct(), "links")
 
@@ -284,38 +336,42 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     label = stage(components(links), "labels")
 
     own, hubs = label.toDF("doc_id", "own"), label.toDF("other", "theirs")
-    named = members.join(own, "doc_id", "left").join(hubs, "other", "left")
+    named = members.drop("n").join(own, "doc_id", "left").join(hubs, "other", "left")
     named = named.withColumns({"own": F.coalesce("own", "doc_id"), "theirs": F.coalesce("theirs", "other")})
     links = links.unionByName(
         linked(named.where("own <> theirs").select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct())
     )
     label = stage(components(links), "labels")
 
+    # a band of two classes has been compared whole
     own = label.toDF("doc_id", "own")
-    named = members.join(own, "doc_id", "left").select("band", "doc_id", F.coalesce("own", "doc_id").alias("own"))
-    sizes = named.groupBy("band", "own").agg(F.count("*").alias("n"))
+    weights = sketches.groupBy("doc_id").agg(F.sum(F.greatest(F.lit(1.0), F.col("n_shingles") / 1000)).alias("weight"))
+    named = members.where("n > 2").join(own, "doc_id", "left").select("band", "doc_id", F.coalesce("own", "doc_id").alias("own"))
+    named = stage(named.join(weights, "doc_id"), "named")
+    sizes = named.groupBy("band", "own").agg(F.sum("weight").alias("n"))
     main = sizes.groupBy("band").agg(
-        F.max_by("own", F.struct("n", "own")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")
+        F.max_by("own", F.struct("n", "own")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("labels")
     )
-    main = main.where("n > most").select(
+    main = main.where("labels > 1").select(
         "band",
         "main",
         F.ceil(F.col("n") / BLOCK).alias("blocks"),
         F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("few"),
     )
-    open_bands = stage(named.join(main, "band").join(sketches, "doc_id"), "open")
+    open_bands = stage(named.join(main, "band").join(sketches.drop("n_shingles"), "doc_id"), "open")
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     few = F.pmod(F.xxhash64("doc_id"), F.col("few"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     keys = ["band", "block", "part"]
-    strays = open_bands.where("own <> main").select(
-        "band", every("blocks").alias("block"), few.alias("part"), "doc_id", "own", "sketch", "marks"
-    )
-    there = open_bands.select("band", block.alias("block"), every("few").alias("part"), "doc_id", "own", "sketch", "marks")
-    rest = strays.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInArrow(
-        _apart(percent / 100 - SLACK), "a long, b long"
-    )
-    links = links.unionByName(verified(rest))
+    kept = ["doc_id", "own", "sketch", "bands"]
+    strays = open_bands.where("own <> main").select("band", every("blocks").alias("block"), few.alias("part"), *kept)
+    there = open_bands.select("band", block.alias("block"), every("few").alias("part"), *kept)
+    least = percent / 100 - SLACK
+    wanted = strays.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInArrow(_apart(least), OPEN)
+    wanted = stage(wanted, "near")
+    near = wanted.join(open_bands.select("band", *kept), ["band", "doc_id"]).join(sets, "doc_id")
+    rest = stage(near.groupBy(*keys).applyInArrow(_joined(percent, least), "a long, b long").distinct(), "links")
+    links = links.unionByName(rest)
     label = components(links).toDF("class", "component")
 
     held = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "digest").join(classes, "digest")
