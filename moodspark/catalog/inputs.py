@@ -8,7 +8,7 @@ also stand in for comments.  Each mapping has its SQL counterpart below.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodspark.functions.text import REMOVED_PARTS, SPACE_CHARS, WORD_CHARS
+from moodspark.functions.text import REMOVED_PARTS, SPACE_CHARS, WORD_CHARS, clean_text
 from moodspark.operators.scoring import score_lexicon
 from moodspark.operators.skew import balanced_join
 from moodspark.sources.tables import read_table
@@ -54,7 +54,9 @@ def comments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return score_lexicon(comments(spark, sf), "comment", TEST_LEXICON)
+    """Comments with the label of their cleaned text."""
+    cleaned = comments(spark, sf).withColumn("clean_comment", clean_text("comment"))
+    return score_lexicon(cleaned, "clean_comment", TEST_LEXICON).drop("clean_comment")
 
 
 def reactions(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,6 +88,10 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
 # --- the same in SQL ------------------------------------------------------------
 
 
+def sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def sql_clean(c: str) -> str:
     return (
         f"trim(regexp_replace(regexp_replace(coalesce({c}, ''), '{REMOVED_PARTS}', '', 'g'),"
@@ -120,7 +126,7 @@ def sql_reaction(c: str) -> str:
 
 
 SQL_LABELLED = f"""
-    SELECT conv_id AS article_id, turn AS id, text AS comment, {sql_label('text')} AS sentiment
+    SELECT conv_id AS article_id, turn AS id, text AS comment, {sql_label(sql_clean('text'))} AS sentiment
     FROM conversations WHERE role = 'user'"""
 
 SQL_COUNTS = f"""

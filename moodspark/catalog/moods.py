@@ -8,7 +8,7 @@ from moodspark.catalog import query
 from moodspark.catalog.inputs import TEST_LEXICON
 from moodspark.functions.text import clean_text
 from moodspark.operators import frames, mood, prompts
-from moodspark.operators.scoring import score_lexicon, score_text
+from moodspark.operators.scoring import score_lexicon, score_lexicon_table, score_text
 from moodspark.operators.skew import balanced_join
 from moodspark.plans import analyse, summarise
 
@@ -98,6 +98,52 @@ def mood_distribution_by_source(spark, sf):
     return analyse.mood_by_source(article_moods(spark, sf))
 
 
+@query(f"""
+    WITH a AS (SELECT source, mood FROM ({i.SQL_ARTICLE_MOODS})
+               UNION ALL SELECT {i.sql_text(fv.SOURCE_POSTS)} AS source,
+                      CASE WHEN positive > greatest(negative, neutral) THEN 'positive'
+                           WHEN negative > greatest(positive, neutral) THEN 'negative' ELSE 'neutral' END
+               FROM (SELECT post_url, count(*) FILTER (s = 'positive') AS positive, count(*) FILTER (s = 'neutral') AS neutral,
+                            count(*) FILTER (s = 'negative') AS negative
+                     FROM (SELECT post_url, {i.sql_label(i.sql_clean('comment'))} AS s FROM ({i.SQL_POSTS}))
+                     GROUP BY post_url)),
+         s AS (SELECT source, count(*) AS n FROM a GROUP BY source)
+    SELECT s.source, m.mood, CAST(count(a.mood) AS BIGINT) AS n_articles,
+           CAST(count(a.mood) AS DOUBLE) / CAST(s.n AS DOUBLE) AS share
+    FROM s JOIN {_SQL_MOODS} ON true
+    LEFT JOIN a ON a.source = s.source AND a.mood = m.mood
+    GROUP BY s.source, s.n, m.mood""")
+def moods_of_all_sources(spark, sf):
+    """Clean, label and mood as one run: articles by reactions and comments, posts by comments."""
+    frames = analyse.Frames(
+        articles=i.articles(spark, sf), comments=i.comments(spark, sf), reactions=i.reactions(spark, sf), posts=i.posts(spark, sf)
+    )
+    label = lambda df, column: score_lexicon(df, column, i.TEST_LEXICON)
+    return analyse.analyse(frames, label, i.TEST_REACTIONS, keep=False)["sources"]
+
+
+def _sql_words(c):
+    return f"unnest(regexp_extract_all(lower({c}), '[{i.WORD_CHARS}]+(?:''[{i.WORD_CHARS}]+)*'))"
+
+
+@query(f"""
+    WITH lexicon AS (SELECT DISTINCT word, CASE WHEN length(word) % 2 = 0 THEN 1 ELSE -1 END * length(word) AS weight
+                     FROM (SELECT {_sql_words("text")} AS word FROM documents)),
+         said AS (SELECT conv_id, turn, {_sql_words("coalesce(text, '')")} AS word FROM conversations),
+         scores AS (SELECT conv_id, turn, sum(weight) AS score FROM said JOIN lexicon USING (word) GROUP BY conv_id, turn)
+    SELECT c.conv_id, c.turn,
+           CASE sign(coalesce(s.score, 0)) WHEN 1 THEN 'positive' WHEN -1 THEN 'negative' ELSE 'neutral' END AS sentiment
+    FROM conversations c LEFT JOIN scores s ON s.conv_id = c.conv_id AND s.turn = c.turn""")
+def large_lexicon_labels(spark, sf):
+    """A lexicon of all words of the documents."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(f"[{i.WORD_CHARS}]+(?:'[{i.WORD_CHARS}]+)*"), F.lit(0))
+    lexicon = i.table(spark, sf, "documents").select(F.explode(words).alias("word")).distinct()
+    size = F.length("word")
+    lexicon = lexicon.withColumn("weight", F.when(size % 2 == 0, size).otherwise(-size))
+    turns = i.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return score_lexicon_table(turns, "text", lexicon, ["conv_id", "turn"]).drop("text")
+
+
 _SQL_LABELLED_DOCS = f"SELECT doc_id, source, {i.sql_label(i.sql_clean('text'))} AS sentiment FROM documents"
 
 

@@ -1,12 +1,26 @@
 """Scans, keyed maintenance and keyed outputs."""
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from moodspark.catalog import inputs as i
 from moodspark.catalog import query
 from moodspark.operators import prompts
+from moodspark.operators.frames import stack
 from moodspark.sources import keyed
-from moodspark.sources.tables import prompt_table
+from moodspark.sources.stored import StoredTable
+from moodspark.sources.tables import (
+    overwrite,
+    prompt_table,
+    read_csv_checked,
+    read_table,
+    save_stage,
+    stage_root,
+    write_csv,
+    write_report_input,
+)
 
 
 @query("SELECT doc_id, text, lang, source, n_chars FROM documents")
@@ -68,6 +82,90 @@ def children_replaced(spark, sf):
     )
 
 
+def _scratch(spark, name):
+    """A new folder in the session's shared one."""
+    return f"{stage_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_SQL_TWO_KEYS = f"SELECT nullif(key % 7, 3) AS a, key AS b, value, version FROM"
+
+
+@query(f"""WITH d AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY version DESC, b DESC) AS rn
+                      FROM ({_SQL_TWO_KEYS} ({_SQL_DELTA})))
+           SELECT a, b, value, version FROM d WHERE rn = 1""")
+def stored_upserts(spark, sf):
+    """A stored table changed by many rows for few keys, one of them null, and by the same again."""
+    table = StoredTable(spark, _scratch(spark, "stored"), "a bigint, b bigint, value string, version bigint", ["a"], 4)
+
+    def keyed_rows(rows):
+        a = F.nullif(F.col("key") % 7, F.lit(3).cast("bigint"))
+        return rows.select(a.alias("a"), F.col("key").alias("b"), "value", "version")
+
+    table.insert_missing(keyed_rows(_base(spark, sf)), ["b"])
+    for _ in range(2):
+        table.upsert(keyed_rows(_delta(spark, sf)), ["version", "b"])
+    return table.read()
+
+
+@query("""SELECT doc_id, text, lang, source, n_chars FROM documents""")
+def scan_with_missing_source(spark, sf):
+    """A source that is not there is an empty table."""
+    absent = read_table(spark, f"{sf}/no_such_table.parquet", i.SCHEMAS["documents"], missing="empty")
+    return stack(i.table(spark, sf, "documents"), absent)
+
+
+@query("""SELECT conv_id, turn, role, text, CAST(NULL AS VARCHAR) AS bad_record FROM conversations
+          UNION ALL SELECT NULL, NULL, NULL, NULL, event_type || CASE event_id % 2 WHEN 0 THEN ',1' ELSE ',1,x,y,z' END FROM events""")
+def csv_with_bad_records(spark, sf):
+    """Written as CSV and read again, among records of too few and too many fields."""
+    path = _scratch(spark, "csv")
+    turns = i.table(spark, sf, "conversations")
+    write_csv(turns, f"{path}/kind=good")
+    more = F.when(F.col("event_id") % 2 == 0, ",1").otherwise(",1,x,y,z")
+    lines = i.table(spark, sf, "events").select(F.concat("event_type", more))
+    lines.write.text(f"{path}/kind=bad")
+    good, bad = read_csv_checked(spark, f"{path}/kind=*", "conv_id bigint, turn bigint, role string, text string")
+    return stack(good, bad.select("bad_record"))
+
+
+@query("SELECT doc_id, CAST(quality + 1 AS INTEGER) AS quality, toxic FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, quality, toxic FROM labels WHERE quality = 0")
+def overwritten_partitions(spark, sf):
+    """A stored table of which one partition is replaced."""
+    path = _scratch(spark, "labels")
+    labels = i.table(spark, sf, "labels").select("doc_id", "quality", "toxic", F.col("quality").alias("part"))
+    overwrite(labels, path, ["part"])
+    overwrite(labels.where("part = 1").withColumn("quality", F.col("quality") + 1), path, ["part"], only_touched=True)
+    return read_table(spark, path).select("doc_id", "quality", "toxic")
+
+
+@query("SELECT source, CAST(count(*) AS BIGINT) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY source")
+def saved_stage(spark, sf):
+    sizes = save_stage(i.table(spark, sf, "documents").select("source", "n_chars"), "sizes")
+    return sizes.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
+@query("""SELECT CAST(row_number() OVER (ORDER BY role, conv_id, turn) - 1 AS BIGINT) AS place,
+                 role || ' ' || conv_id || ' ' || turn AS line FROM conversations""")
+def written_report_lines(spark, sf):
+    """Lines written as text files, numbered in the order of the files and of their lines."""
+    path = _scratch(spark, "report")
+    turns = i.table(spark, sf, "conversations")
+    place = F.concat(F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lpad(F.col("turn").cast("string"), 12, "0"))
+    lines = turns.select(F.col("role").alias("section"), place.alias("position"), F.concat_ws(" ", "role", "conv_id", "turn").alias("line"))
+    write_report_input(lines, path)
+    read = spark.read.text(path).select(
+        F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int").alias("file"),
+        F.monotonically_increasing_id().alias("at"),
+        F.col("value").alias("line"),
+    )
+    # files hold contiguous parts: a file's first place is the number of lines in those before it
+    read = save_stage(read, "lines")
+    sizes = read.groupBy("file").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("file", (before - F.col("first")).alias("shift"))
+    return read.join(starts, "file").select((F.col("at") + F.col("shift")).alias("place"), "line")
+
+
 @query("SELECT page_id, md5(url) AS id, url FROM pages")
 def surrogate_keys(spark, sf):
     return keyed.with_key(i.table(spark, sf, "pages").select("page_id", "url"), "url")

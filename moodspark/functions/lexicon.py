@@ -33,7 +33,7 @@ def lexicon_score(c: Column, lexicon: Mapping[str, float] = DEFAULT_LEXICON) ->
         raise ValueError("the lexicon is empty")
     if len(lexicon) > MAX_LEXICON_WORDS:
         raise ValueError(
-            f"{len(lexicon)} words exceed {MAX_LEXICON_WORDS}; use a plug-in scorer instead"
+            f"{len(lexicon)} words exceed {MAX_LEXICON_WORDS}; use score_lexicon_table"
         )
     by_weight: dict[float, list[str]] = defaultdict(list)
     for word, weight in lexicon.items():

@@ -23,19 +23,13 @@ def _keys(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def count_labels(
-    df: DataFrame,
-    keys: str | Sequence[str],
-    label: str = "sentiment",
-    also: Sequence[Column] = (),
-) -> DataFrame:
-    """Comments per key and label, one column per label, 0 where there are none.
+def label_counts(label: str = "sentiment") -> dict[str, Column]:
+    return {name: F.count_if(F.col(label) == name) for name in LABELS}
 
-    ``also``: further aggregates to take in the same pass.
-    """
-    return df.groupBy(*_keys(keys)).agg(
-        *[F.count_if(F.col(label) == name).alias(name) for name in LABELS], *also
-    )
+
+def count_labels(df: DataFrame, keys: str | Sequence[str], label: str = "sentiment") -> DataFrame:
+    """Comments per key and label, one column per label, 0 where there are none."""
+    return df.groupBy(*_keys(keys)).agg(*[c.alias(name) for name, c in label_counts(label).items()])
 
 
 def plurality(
@@ -136,31 +130,39 @@ def fill_mood(articles: DataFrame) -> DataFrame:
     return articles.fillna({"mood": NO_COMMENT})
 
 
+def majority_of_counts(counts: DataFrame, ties: Sequence[str] = tuple(sorted(LABELS))) -> DataFrame:
+    """``average_sentiment`` in place of the counts of each label: the most frequent one.
+
+    Of equals the first in ``ties`` counts.  Rows whose counts are all 0 are left out.
+    """
+    if sorted(ties) != sorted(LABELS):
+        raise ValueError(f"ties must name each of {LABELS}")
+    top = F.greatest(*[F.col(name) for name in LABELS])
+    pick = F.when(top == 0, F.lit(None).cast("string"))
+    for name in ties:
+        pick = pick.when(F.col(name) == top, F.lit(name))
+    return (
+        counts.withColumn("average_sentiment", pick)
+        .where(F.col("average_sentiment").isNotNull())
+        .drop(*LABELS)
+    )
+
+
 def majority_label(
     df: DataFrame,
     keys: str | Sequence[str] = "post_url",
     label: str = "sentiment",
-    also: Sequence[Column] = (),
+    ties: Sequence[str] = tuple(sorted(LABELS)),
 ) -> DataFrame:
-    """Most frequent label per key; a tie goes to the first in alphabetical order.
+    """Most frequent label per key; of equals the first in ``ties``, in alphabetical order if not given.
 
     Rows without a key are left out.  A key whose labels are all null has no majority.
-    ``also``: further aggregates to take in the same pass.
     """
     keys = _keys(keys)
     known = df
     for k in keys:
         known = known.where(F.col(k).isNotNull())
-    top = F.greatest(*[F.col(name) for name in LABELS])
-    pick = F.when(top == 0, F.lit(None).cast("string"))
-    for name in sorted(LABELS):
-        pick = pick.when(F.col(name) == top, F.lit(name))
-    return (
-        count_labels(known, keys, label, also)
-        .withColumn("average_sentiment", pick)
-        .where(F.col("average_sentiment").isNotNull())
-        .drop(*LABELS)
-    )
+    return majority_of_counts(count_labels(known, keys, label), ties)
 
 
 def mood_distribution(

@@ -3,15 +3,16 @@
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.resource import ResourceProfile
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moodspark import fixed_values as fv
 from moodspark.fixed_values import ARTICLE_ERROR_HEAD
 from moodspark.functions.text import bulleted_block, clean_text, numbered_list, strip
-from moodspark.operators.mood import mood_distribution, top_labels
 from moodspark.operators.sampling import (
+    first_captions,
     first_comments,
     sample_per_group,
     sample_rows,
@@ -44,10 +45,7 @@ def post_groups(
     and listing are separate aggregates, so no task ever sees all comments of a post.
     """
     posts = comments.where(F.col("post_url").isNotNull())
-    totals = posts.groupBy("post_url").agg(
-        F.min_by("post_caption", "id").alias("caption"),
-        F.count("comment").alias("comment_count"),
-    )
+    totals = first_captions(posts, {"comment_count": F.count("comment")}).withColumnRenamed("post_caption", "caption")
     shown = posts.where(F.col("comment").isNotNull()).select("post_url", "id", "comment")
     lists = (
         sample_per_group(shown, ["post_url"], ["id"], k, seed)
@@ -170,19 +168,6 @@ def summary_block(
     )
 
 
-def _lines(df: DataFrame, section: int, position: Column, line: Column) -> DataFrame:
-    return df.select(
-        F.lit(section).alias("section"),
-        position.cast("string").alias("position"),
-        line.alias("line"),
-    )
-
-
-def _fixed_lines(spark: SparkSession, section: int, lines: Sequence[str]) -> DataFrame:
-    rows = [(section, f"{i:04d}", text) for i, text in enumerate(lines)]
-    return spark.createDataFrame(rows, "section int, position string, line string")
-
-
 def report_lines(
     article_moods: DataFrame,
     reactions: DataFrame,
@@ -199,95 +184,110 @@ def report_lines(
     All parts but the sentences per post are of fixed size.  Those have a row per post, so
     they stay a distributed table: see write_report_input.
 
-    ``reactions`` has a ``dominant_sentiment`` per article, ``quotes`` a ``clean_comment``.
+    ``reactions`` has a ``dominant_sentiment`` per article, ``quotes`` a ``clean_comment``.  All
+    counts come from one aggregate, whose row is expanded into the lines of fixed size.
     """
-    spark = article_moods.sparkSession
-    counts = mood_distribution(article_moods)
-    mood_order = ("positive", "neutral", "negative", fv.NO_COMMENT)
-    place = F.array_position(F.array(*[F.lit(m) for m in mood_order]), F.col("mood"))
-    name = F.element_at(
-        F.create_map(*[F.lit(x) for m in mood_order for x in (m, fv.REPORT_MOOD_NAMES[m])]),
-        F.col("mood"),
-    )
-    # tenths of a percent in whole numbers: the text does not depend on float formatting
-    tenths = F.floor(F.coalesce(F.col("share"), F.lit(0.0)) * 1000 + 0.5)
-    mood_text = F.concat(
-        name,
-        F.col("n_articles").cast("string"),
-        F.lit(" ("),
-        F.floor(tenths / 10).cast("string"),
-        F.lit("."),
-        (tenths % 10).cast("string"),
-        F.lit("%)"),
-    )
-    total = counts.agg(F.sum("n_articles").alias("n"))
-    tops = top_labels(reactions, "dominant_sentiment").agg(
-        F.transform(
-            F.array_sort(
-                F.collect_list(F.struct((-F.col("n")).alias("n"), F.col("dominant_sentiment")))
-            ),
-            lambda s: s["dominant_sentiment"],
-        ).alias("names")
-    )
-    top_text = F.when(F.size("names") > 0, F.array_join("names", ", ")).otherwise(
-        F.lit(fv.REPORT_NO_REACTIONS)
+    tally = _tally(article_moods, reactions)
+    fixed = [(0, fv.REPORT_ROLE, "", fv.REPORT_ORDER, "", fv.REPORT_SUMMARY_HEAD), (4, "", fv.REPORT_QUOTES_HEAD)]
+    fixed += [(8, ""), (10, "", fv.REPORT_TASK_HEAD, fv.REPORT_TASK)]
+    lines = [
+        _line(section, F.lit(f"{i:04d}"), F.lit(text)) for section, *texts in fixed for i, text in enumerate(texts)
+    ]
+    total = F.col("moods").getField("n")
+    lines.append(
+        _line(1, F.lit("0000"), F.concat(F.lit(fv.REPORT_COUNT), total.cast("string"), F.lit("\n" + fv.REPORT_MOODS)))
     )
+    for place, mood in enumerate(REPORT_MOOD_ORDER, 1):
+        lines.append(_line(2, F.lit(f"{place:04d}"), _mood_line(mood, F.col("moods").getField(f"m{place}"), total)))
+    top = F.transform(F.slice(F.array_sort("reacted"), 1, fv.REPORT_TOP_LABELS), lambda r: r["label"])
+    top_text = F.when(F.size(top) > 0, F.array_join(top, ", ")).otherwise(F.lit(fv.REPORT_NO_REACTIONS))
+    lines.append(_line(3, F.lit("0000"), F.concat(F.lit(fv.REPORT_TOP_REACTIONS), top_text)))
+    parts = []
+    for section, table, keys, head, empty_text, absent_text in (
+        (6, post_summaries, ["post_url"], fv.REPORT_POST_SUMMARIES, fv.REPORT_POST_SUMMARIES_EMPTY, fv.REPORT_POST_SUMMARIES_ABSENT),
+        (7, article_summaries, ["source", "article_id"], fv.REPORT_ARTICLE_SUMMARIES, fv.REPORT_ARTICLE_SUMMARIES_EMPTY, fv.REPORT_ARTICLE_SUMMARIES_ABSENT),
+    ):
+        text = summary_block(table, keys, empty_text, absent_text, seed=seed)
+        head = F.lit("\n" + head + "\n")
+        if table is None:
+            lines.append(_line(section, F.lit("0000"), F.concat(head, text)))
+        else:
+            parts.append(text.select(_line(section, F.lit("0000"), F.concat(head, "block")).alias("l")).select("l.*"))
     said = quotes.where(F.col("clean_comment").isNotNull())
     picked = sample_rows(said, quote_keys, fv.REPORT_QUOTES, seed)
     quoted = F.concat(F.lit('- "'), F.col("clean_comment"), F.lit('"'))
-
-    def block(section, table, keys, head, empty_text, absent_text):
-        text = summary_block(table, keys, empty_text, absent_text, seed=seed)
-        source = total if table is None else text
-        line = text if table is None else F.col("block")
-        body = F.concat(F.lit(head + "\n"), line)
-        return _lines(source, section, F.lit("0000"), body)
-
-    parts = [
-        _fixed_lines(
-            spark, 0, [fv.REPORT_ROLE, "", fv.REPORT_ORDER, "", fv.REPORT_SUMMARY_HEAD]
-        ),
-        _lines(
-            total, 1, F.lit("0000"),
-            F.concat(F.lit(fv.REPORT_COUNT), F.col("n").cast("string"), F.lit("\n" + fv.REPORT_MOODS)),
-        ),
-        _lines(counts, 2, F.lpad(place.cast("string"), 4, "0"), mood_text),
-        _lines(tops, 3, F.lit("0000"), F.concat(F.lit(fv.REPORT_TOP_REACTIONS), top_text)),
-        _fixed_lines(spark, 4, ["", fv.REPORT_QUOTES_HEAD]),
-        _lines(picked, 5, F.concat_ws(":", *quote_keys), quoted),
-        block(
-            6, post_summaries, ["post_url"], "\n" + fv.REPORT_POST_SUMMARIES,
-            fv.REPORT_POST_SUMMARIES_EMPTY, fv.REPORT_POST_SUMMARIES_ABSENT,
-        ),
-        block(
-            7, article_summaries, ["source", "article_id"], "\n" + fv.REPORT_ARTICLE_SUMMARIES,
-            fv.REPORT_ARTICLE_SUMMARIES_EMPTY, fv.REPORT_ARTICLE_SUMMARIES_ABSENT,
-        ),
-        _fixed_lines(spark, 8, [""]),
-        _lines(post_sentences(post_reactions), 9, F.col(post_key), F.col("line")),
-        _fixed_lines(spark, 10, ["", fv.REPORT_TASK_HEAD, fv.REPORT_TASK]),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    parts.append(picked.select(_line(5, F.concat_ws(":", *quote_keys), quoted).alias("l")).select("l.*"))
+    sentences = post_sentences(post_reactions)
+    parts.append(sentences.select(_line(9, F.col(post_key), F.col("line")).alias("l")).select("l.*"))
+    out = tally.select(F.inline(F.array(*lines)))
+    for part in parts:
+        out = out.unionByName(part)
     return out
 
 
+#: Moods in the report's order.
+REPORT_MOOD_ORDER = ("positive", "neutral", "negative", fv.NO_COMMENT)
+
+
+def _line(section: int, position: Column, line: Column) -> Column:
+    return F.struct(
+        F.lit(section).alias("section"), position.cast("string").alias("position"), line.alias("line")
+    )
+
+
+def _mood_line(mood: str, n: Column, total: Column) -> Column:
+    # tenths of a percent in whole numbers: the text does not depend on float formatting
+    share = F.coalesce(F.try_divide(n.cast("double"), total.cast("double")), F.lit(0.0))
+    tenths = F.floor(share * 1000 + 0.5)
+    whole, tenth = F.floor(tenths / 10).cast("string"), (tenths % 10).cast("string")
+    return F.concat(
+        F.lit(fv.REPORT_MOOD_NAMES[mood]), n.cast("string"), F.lit(" ("), whole, F.lit("."), tenth, F.lit("%)")
+    )
+
+
+def _tally(article_moods: DataFrame, reactions: DataFrame) -> DataFrame:
+    """One row: ``moods`` (n articles, m1 to m4 of each mood) and ``reacted`` (-n, label) of reactions.
+
+    Articles and reactions are tagged and counted by one grouped aggregate, whose few rows then
+    make one.
+    """
+    tagged = article_moods.select(F.lit(True).alias("article"), F.col("mood").alias("label")).unionByName(
+        reactions.select(F.lit(False).alias("article"), F.col("dominant_sentiment").alias("label"))
+    )
+    counts = tagged.groupBy("article", "label").agg(F.count(F.lit(1)).alias("n"))
+    zero = F.lit(0).cast("bigint")
+    of = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), zero)
+    return counts.agg(
+        F.struct(
+            of(F.col("article")).alias("n"),
+            *[of(F.col("article") & (F.col("label") == m)).alias(f"m{k}") for k, m in enumerate(REPORT_MOOD_ORDER, 1)],
+        ).alias("moods"),
+        F.collect_list(F.when(~F.col("article") & F.col("label").isNotNull(), F.struct((-F.col("n")).alias("n"), "label"))).alias("reacted"),
+    )
+
+
 def generate(
     prompts: DataFrame,
-    make: Callable[[], TextFunction],
+    make: Callable[[], Callable],
     prompt: str = "prompt",
     output: str = "summary",
     error: Callable[[str], str] = lambda reason: ARTICLE_ERROR_HEAD + reason,
     parallel_calls: int | None = None,
     key: str | None = None,
+    batch_size: int | None = None,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Run a caller's text function on every prompt.
 
-    ``make()`` runs once per task and returns the function.  A failing call gives an error
-    text in its row and the job goes on.  ``parallel_calls`` bounds how many tasks call at a
-    time, by spreading rows over that many partitions by ``key``.  Calls may differ from run
-    to run: write the result (save_stage) before using it twice.
+    ``make()`` runs once per task and returns the function.  With ``batch_size`` that takes a list
+    of so many prompts at most and returns as many texts; else one prompt.  A failing call gives an
+    error text in its row and the job goes on; a batch that fails is tried again prompt by prompt,
+    so the error is that of its own row.
+
+    ``parallel_calls`` deals the rows by ``key`` over that many partitions.  Partitions may be
+    many and small, as how many run at a time is a matter of the tasks' resources: ``profile``
+    says what each task needs (stage-level scheduling).  Written with save_stage, each partition's
+    results are kept when its task ends, and a lost task repeats its own calls only.
     """
     if parallel_calls:
         prompts = prompts.repartition(parallel_calls, key or prompt)
@@ -298,12 +298,26 @@ def generate(
 
         def one(text: str) -> str:
             try:
-                return call(text)
+                return call([text])[0] if batch_size else call(text)
             except Exception as e:  # any failure of the caller's function is that row's result
                 return error(str(e))
 
-        for batch in batches:
-            texts = [one(t) for t in batch.column(prompt).to_pylist()]
-            yield batch.append_column(output, pa.array(texts, pa.string()))
+        def several(texts: list[str]) -> list[str]:
+            try:
+                made = list(call(texts))
+                if len(made) == len(texts):
+                    return made
+            except Exception:  # which prompt it was shows when they are tried alone
+                pass
+            return [one(t) for t in texts]
 
-    return prompts.mapInArrow(run, schema)
+        for batch in batches:
+            texts = batch.column(prompt).to_pylist()
+            if batch_size:
+                parts = [several(texts[k : k + batch_size]) for k in range(0, len(texts), batch_size)]
+                made = [t for part in parts for t in part]
+            else:
+                made = [one(t) for t in texts]
+            yield batch.append_column(output, pa.array(made, pa.string()))
+
+    return prompts.mapInArrow(run, schema, profile=profile)

@@ -4,7 +4,8 @@ Rows are ranked by a hash of the seed and a unique key.  Unlike ``sample`` or ``
 this does not depend on how rows are partitioned.
 """
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,13 +34,37 @@ def first_per_group(
 ) -> DataFrame:
     """The first k rows of each group.
 
-    The rank filter sits right on the window, so each map task passes on at most k rows of
-    a group: a group that holds most of the table costs no more than any other.
+    Ranked in three steps, each of which passes on at most k rows of a group from where it looks:
+    a map task, then a part of the map tasks, then all.  The first rank filter sits on a window
+    by group and part, so it is applied before the shuffle; a part is a number of the map task.
+    So the task of a group that lies in all of M map tasks gets k rows of each part, not of
+    each map task: some k * sqrt(M) rows.
     """
     name = rank or "_rank"
-    w = Window.partitionBy(*group).orderBy(*order)
-    out = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
-    return out if rank else out.drop(name)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, math.isqrt(partitions))
+    columns = [c for c in df.columns if c != name]
+    # the task's number decides only where a row is ranked first, never the result
+    salted = df.select(*columns, (F.spark_partition_id() % parts).alias("_part"))
+    for by, step in (([*group, "_part"], "_first"), (list(group), name)):
+        w = Window.partitionBy(*by).orderBy(*order)
+        salted = salted.withColumn(step, F.row_number().over(w)).where(F.col(step) <= k)
+    return salted.select(*columns, *([name] if rank else []))
+
+
+def first_captions(
+    rows: DataFrame, counts: Mapping[str, Column], key: str = "post_url", caption: str = "post_caption"
+) -> DataFrame:
+    """key, the caption of its row with the least id, and the summed ``counts``, of every key.
+
+    Captions are grouping keys and only numbers are combined, so rows are hashed, not sorted, and
+    a task passes on one row per key and caption.  Among those few the first is picked.
+    """
+    texts = rows.groupBy(key, caption).agg(F.min("id").alias("_id"), *[c.alias(n) for n, c in counts.items()])
+    whole = Window.partitionBy(key)
+    first = F.row_number().over(whole.orderBy("_id", caption))
+    sums = [F.sum(n).over(whole).alias(n) for n in counts]
+    return texts.select(key, caption, *sums, first.alias("_first")).where("_first = 1").drop("_first")
 
 
 def sample_per_group(

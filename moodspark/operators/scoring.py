@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from moodspark.fixed_values import DEFAULT_LABEL, LABELS
 from moodspark.functions.lexicon import DEFAULT_LEXICON, lexicon_label
-from moodspark.functions.text import is_blank, label_at
+from moodspark.functions.text import WORD_CHARS, is_blank, label_at
 from moodspark.operators.skew import ROWS_PER_SPLIT, balanced_join
 from moodspark.sources.tables import save_stage
 
@@ -32,6 +32,32 @@ def score_lexicon(
     return df.withColumn(label, lexicon_label(F.col(column), lexicon))
 
 
+def score_lexicon_table(
+    df: DataFrame,
+    column: str,
+    lexicon: DataFrame,
+    keys: Sequence[str],
+    label: str = "sentiment",
+) -> DataFrame:
+    """Label by a lexicon of any size, a table of (word, weight) with each lower-case word once.
+
+    ``keys`` tell the rows apart and are not null.  Words are counted per text before they meet the
+    lexicon, by a join that cuts the words of very many texts into parts; what is found is summed
+    per text.  Whole weights give exact sums.  Texts without a known word are neutral.
+    """
+    keys = list(keys)
+    inner = f"(?:'[{WORD_CHARS}]+)*"  # an apostrophe between letters is part of the word
+    tokens = F.regexp_extract_all(
+        F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(f"[{WORD_CHARS}]+{inner}"), F.lit(0)
+    )
+    counted = df.select(*keys, F.explode(tokens).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("_n"))
+    known = balanced_join(counted, lexicon.select("word", "weight"), ["word"], "inner", spread_by=keys)
+    scores = known.groupBy(*keys).agg(F.sum(F.col("weight") * F.col("_n")).alias("_score"))
+    sign = F.signum(F.coalesce(F.col("_score"), F.lit(0))).cast("int")
+    named = F.array(F.lit("negative"), F.lit(DEFAULT_LABEL), F.lit("positive"))
+    return df.join(scores, keys, "left").withColumn(label, F.element_at(named, sign + 2)).drop("_score")
+
+
 def _text_key(text: Column) -> Column:
     # never null, and known to be so: joins add no null check that hashes once more
     return F.coalesce(F.sha2(text, 256), F.lit(""))

@@ -1,7 +1,7 @@
 """Tables of several outlets -> labels, moods and the report input."""
 
 import os
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +15,14 @@ from moodspark.operators.frames import namespaced_key, stack, tag_source
 from moodspark.operators.mood import (
     article_moods,
     comment_mood,
+    label_counts,
     majority_label,
+    majority_of_counts,
     mood_distribution,
     reaction_mood,
 )
 from moodspark.operators.prompts import report_lines
+from moodspark.operators.sampling import first_captions
 from moodspark.operators.scoring import score_lexicon
 from moodspark.sources.tables import (
     overwrite,
@@ -117,10 +120,15 @@ def label_posts(posts: DataFrame, label: Label = score_lexicon) -> DataFrame:
     return label(posts, "comment")
 
 
-def post_reactions(labelled: DataFrame, key: str = "post_url") -> DataFrame:
+def post_reactions(
+    labelled: DataFrame, key: str = "post_url", ties: Sequence[str] = tuple(sorted(fv.LABELS))
+) -> DataFrame:
     """Majority label per post with its caption; ``key='post_caption'`` groups by caption."""
-    caption = F.min_by("post_caption", "id").alias("post_caption")
-    return majority_label(labelled, key, also=[] if key == "post_caption" else [caption])
+    if key == "post_caption":
+        return majority_label(labelled, key, ties=ties)
+    known = labelled.where(F.col(key).isNotNull())
+    counted = first_captions(known, label_counts(), key)
+    return majority_of_counts(counted, ties).select(key, "average_sentiment", "post_caption")
 
 
 def post_moods(labelled: DataFrame) -> DataFrame:
@@ -143,14 +151,18 @@ def analyse(
     article_summaries: DataFrame | None = None,
     keep: bool = True,
 ) -> dict[str, DataFrame]:
-    """All results of a run: articles, comments, reactions, posts, report.
+    """All results of a run: articles, comments, reactions, posts, post_moods, sources, report.
 
-    With ``keep`` the labelled comments and the moods are written once and read from there
+    Posts are in the run in the same terms as articles: ``post_moods`` has a mood for each, by its
+    comments, and ``sources`` the moods of all outlets, posts among them.  Post comments are labelled once
+    as they were written, for the reaction to a post, and once cleaned, for its mood.  With ``keep`` the labelled comments and the moods are written once and read from there
     by everything after, so no text is labelled twice.
     """
     save = save_stage if keep else (lambda df, name: df)
     comments = save(label_comments(frames.comments, label), "comments")
     posts = save(label_posts(frames.posts, label), "posts")
+    cleaned = frames.posts.select("id", "post_url", "comment")
+    moods_of_posts = save(post_moods(label_comments(cleaned, label)), "post-moods")
     dominant = save(reaction_mood(frames.reactions, "article_id", labels), "reactions")
     articles = save(
         article_moods(frames.articles, comments, frames.reactions, labels), "articles"
@@ -170,6 +182,10 @@ def analyse(
         "comments": comments,
         "reactions": dominant,
         "posts": reacted,
+        "post_moods": moods_of_posts,
+        "sources": mood_by_source(
+            stack(articles.select("source", "mood"), moods_of_posts.select("source", "mood"))
+        ),
         "report": report_lines(
             articles, dominant, quoted, shown, post_summaries, article_summaries
         ),
@@ -178,6 +194,6 @@ def analyse(
 
 def write_results(results: Mapping[str, DataFrame], root: str) -> None:
     """Replace the tables of the last run, and the report input beside them."""
-    for name in ("articles", "comments", "reactions", "posts"):
+    for name in ("articles", "comments", "reactions", "posts", "post_moods", "sources"):
         overwrite(results[name], os.path.join(root, name))
     write_report_input(results["report"], os.path.join(root, "report"))

@@ -1,6 +1,7 @@
 """Keyed maintenance of tables: upsert, insert-if-absent, replace children."""
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,21 +23,32 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return _one_per_key(df, keys, [F.col(c).desc() for c in order])
 
 
+def without_keys(base: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``base`` whose key is not in ``other``; null is a key like any other."""
+    named = other.select(*[F.col(k).alias(f"_other_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys])
+    return base.join(named, same, "left_anti")
+
+
 def upsert(
     base: DataFrame, delta: DataFrame, keys: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
-    """Insert or replace by key; of several rows for a key in ``delta`` the last one wins."""
-    keys = list(keys)
-    newest = last_per_key(delta, keys, order)
-    return base.join(newest.select(*keys), keys, "left_anti").unionByName(newest)
+    """Insert or replace by key; of several rows for a key in ``delta`` the last one wins.
+
+    Null is a key like any other, so a second run with the same delta changes nothing.
+    """
+    newest = last_per_key(delta, list(keys), order)
+    return without_keys(base, newest, keys).unionByName(newest)
 
 
 def insert_missing(
     base: DataFrame, delta: DataFrame, keys: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
-    """Add rows whose key is not there yet; of several rows for a key the first one counts."""
-    keys = list(keys)
-    added = first_per_key(delta, keys, order).join(base.select(*keys), keys, "left_anti")
+    """Add rows whose key is not there yet; of several rows for a key the first one counts.
+
+    Null is a key like any other.
+    """
+    added = without_keys(first_per_key(delta, list(keys), order), base.select(*keys), keys)
     return base.unionByName(added)
 
 

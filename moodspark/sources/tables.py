@@ -66,26 +66,40 @@ def write_csv(df: DataFrame, path: str) -> None:
     )
 
 
+_CSV = {
+    "header": True,
+    "multiLine": True,
+    "quote": '"',
+    "escape": '"',
+    "nullValue": "\0",  # any text that does not occur: keeps a quoted "" apart from nothing
+    "enforceSchema": False,
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).csv(
-        path,
-        header=True,
-        multiLine=True,
-        quote='"',
-        escape='"',
-        nullValue="\0",  # any text that does not occur: keeps a quoted "" apart from nothing
-        enforceSchema=False,
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
+    return spark.read.schema(schema).csv(path, **_CSV)
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: str, bad: str = "bad_record") -> tuple[DataFrame, DataFrame]:
+    """The records that fit the schema, and as text in column ``bad`` those that do not.
+
+    A record does not fit if it has too few or too many fields, or one that is not of its type.
+    The files are parsed once, into a written table that both parts are read from, so each record
+    is in one of the two.
+    """
+    read = spark.read.schema(f"{schema}, {bad} string").csv(
+        path, mode="PERMISSIVE", columnNameOfCorruptRecord=bad, **_CSV
     )
+    read = save_stage(read.withColumn("_file", F.input_file_name()), "csv")
+    fits = F.col(bad).isNull()
+    return read.where(fits).drop(bad, "_file"), read.where(~fits).select(bad, F.col("_file").alias("file"))
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share, or name a root")
-    return root
+    """The shared folder that the session names in spark.checkpoint.dir, or else its warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def save_stage(df: DataFrame, name: str, root: str | None = None) -> DataFrame:

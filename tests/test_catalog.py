@@ -12,6 +12,8 @@ PYTHON = {
     # one scan of the tags in Arrow batches
     "page_links", "page_links_by_pattern", "page_menu_links", "page_articles", "page_records", "page_text_records",
     "voted_comments", "reaction_counters",
+    # one automaton for all keywords
+    "relevant_documents", "relevant_documents_default_topics", "relevance_delete_counts", "predictions_for_hand_labels",
 }
 catalog.load_all()
 NAMES = list(catalog.QUERIES)

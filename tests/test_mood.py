@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from moodspark.fixed_values import LABELS, REACTION_LABELS
@@ -99,3 +100,11 @@ def test_counts_are_a_single_shuffle(spark):
     df = labelled(spark, {"a": ["positive"]}).where(F.col("article_id").isNotNull())
     plan = mood.comment_mood(df, "article_id")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_ties_of_a_majority(spark):
+    df = spark.createDataFrame([("p", "negative"), ("p", "positive"), ("q", "neutral"), ("r", None)], "post_url string, sentiment string")
+    assert rows(mood.majority_label(df)) == [("p", "negative"), ("q", "neutral")]
+    assert rows(mood.majority_label(df, ties=["neutral", "positive", "negative"])) == [("p", "positive"), ("q", "neutral")]
+    with pytest.raises(ValueError):
+        mood.majority_label(df, ties=["positive"])

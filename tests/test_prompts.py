@@ -138,3 +138,31 @@ def test_report(spark, tmp_path):
     said = "\n".join(r[2] for r in absent)
     assert fv.REPORT_POST_SUMMARIES_ABSENT in said and fv.REPORT_ARTICLE_SUMMARIES_ABSENT in said
     assert fv.REPORT_NO_REACTIONS in said
+
+
+def test_calls_in_batches(spark):
+    """A batch that fails is tried prompt by prompt; every prompt has its own result."""
+    df = spark.createDataFrame([(k, f"text {k}" if k != 7 else "fail") for k in range(25)], "k int, prompt string")
+
+    def make():
+        def call(texts):
+            assert len(texts) <= 4
+            if "fail" in texts:
+                raise ValueError("no")
+            return [t.upper() for t in texts]
+
+        return call
+
+    got = prompts.generate(df, make, batch_size=4, parallel_calls=3, key="k", error=lambda e: f"E {e}")
+    assert rows(got.select("k", "summary")) == rows(
+        spark.createDataFrame([(k, f"TEXT {k}" if k != 7 else "E no") for k in range(25)], "k int, s string")
+    )
+
+
+def test_counts_of_the_report_are_one_aggregate(spark):
+    moods = spark.createDataFrame([(1, "positive"), (2, "neutral"), (3, "positive")], "article_id int, mood string")
+    reactions = spark.createDataFrame([(1, "negative"), (2, None)], "article_id int, dominant_sentiment string")
+    tally = prompts._tally(moods, reactions).first()
+    assert tuple(tally.moods) == (3, 2, 1, 0, 0) and [tuple(r) for r in tally.reacted] == [(-1, "negative")]
+    nothing = prompts._tally(moods.limit(0), reactions.limit(0)).first()
+    assert tuple(nothing.moods) == (0, 0, 0, 0, 0) and nothing.reacted == []

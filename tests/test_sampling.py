@@ -2,6 +2,8 @@ import hashlib
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from moodspark.operators import sampling
 from tests.conftest import rows
 
@@ -36,3 +38,23 @@ def test_samples_do_not_depend_on_partitions(table, parts):
 def test_rank_limit_comes_before_the_shuffle(table):
     plan = sampling.sample_per_group(table, ["post"], ["id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.index("WindowGroupLimit") < plan.index("Exchange hashpartitioning") < plan.rindex("WindowGroupLimit")
+
+
+def test_a_group_in_all_map_tasks(spark):
+    """No task gets k rows of every map task: ranks are taken for parts of the tasks first."""
+    df = spark.range(40_000, numPartitions=40).selectExpr("id", "IF(id % 3 = 0, 0, id) AS g", "id % 97 AS o")
+    got = sampling.first_per_group(df, ["g"], ["o", "id"], 5, rank="r")
+    hot = got.where("g = 0").orderBy("r").collect()
+    want = sorted((k % 97, k) for k in range(0, 40_000, 3))[:5]
+    assert [(r.o, r.id, r.r) for r in hot] == [(*w, n) for n, w in enumerate(want, 1)]
+    assert got.columns == ["id", "g", "o", "r"] and got.count() == 5 + 40_000 - len(range(0, 40_000, 3))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 4 and plan.count("hashpartitioning") == 2
+
+
+def test_first_captions(spark):
+    data = [("u", 3, "c"), ("u", 1, None), ("u", 2, "b"), ("v", 9, "x"), ("v", 9, "w"), (None, 1, "n")]
+    df = spark.createDataFrame(data, "post_url string, id int, post_caption string")
+    got = sampling.first_captions(df, {"n": F.count("post_caption")})
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("u", None, 2), ("v", "w", 2), (None, "n", 1)], key=str)
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()

@@ -82,3 +82,16 @@ def test_fitted_model(spark):
     df = spark.createDataFrame([(1, "good day"), (2, "bad thing"), (3, ""), (4, "good day")], "id int, s string")
     got = scoring.score_with_model(df, "s", model, ["negative", "neutral", "positive"], spread_by=["id"])
     assert rows(got.select("id", "sentiment")) == [(1, "positive"), (2, "negative"), (3, "neutral"), (4, "positive")]
+
+
+def test_a_large_lexicon_is_a_table(spark):
+    """Same labels as the lexicon in the plan, with 200,000 words beside its own."""
+    words = {"good": 2, "bad": -1, "best": 3, "shame": -3, "zo'r": 1}
+    texts = [*TEXTS, "good " * 2000, *["bad word"] * 300, "shame best", "BEST shame shame"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    table = spark.createDataFrame(list(words.items()), "word string, weight int").unionByName(
+        spark.range(200_000).selectExpr("concat('other', id) AS word", "CAST(id % 7 - 3 AS INT) AS weight")
+    )
+    got = scoring.score_lexicon_table(df, "s", table, ["i"])
+    assert got.columns == ["i", "s", "sentiment"]
+    assert rows(got) == rows(scoring.score_lexicon(df, "s", words))

@@ -5,6 +5,7 @@ from pyspark.errors import AnalysisException
 
 from moodspark import schemas
 from moodspark.sources import keyed, tables
+from moodspark.sources.stored import StoredTable
 from tests.conftest import rows
 
 
@@ -115,6 +116,66 @@ def test_replace_children(spark, per_split):
     assert rows(got) == [(1, 200, "new"), (2, 100, "stays"), (None, 102, "orphan")]
 
 
+def test_null_keys_are_keys(spark):
+    base = spark.createDataFrame([(None, 1, "old"), ("a", 1, "old")], KV)
+    delta = spark.createDataFrame([(None, 2, "new"), (None, 3, "newer"), ("b", 1, "new")], KV)
+    once = keyed.upsert(base, delta, ["k"], ["v"])
+    assert rows(once) == sorted([(None, 3, "newer"), ("a", 1, "old"), ("b", 1, "new")], key=repr)
+    assert rows(keyed.upsert(once, delta, ["k"], ["v"])) == rows(once)
+    added = keyed.insert_missing(base, delta, ["k"], ["v"])
+    assert rows(added) == sorted([(None, 1, "old"), ("a", 1, "old"), ("b", 1, "new")], key=repr)
+    assert rows(keyed.insert_missing(added, delta, ["k"], ["v"])) == rows(added)
+
+
+def test_stored_table(spark, tmp_path, monkeypatch):
+    table = StoredTable(spark, f"{tmp_path}/t", KV, ["k"], buckets=5)
+    assert table.read().collect() == []
+    base = spark.createDataFrame([(f"k{n}", 1, "old") for n in range(40)] + [(None, 1, "old")], KV)
+    table.insert_missing(base, ["v"])
+    delta = spark.createDataFrame([("k3", 2, "new"), (None, 5, "new"), (None, 4, "older"), ("more", 1, "new")], KV)
+    table.upsert(delta, ["v"])
+    want = [(f"k{n}", 1, "old") for n in range(40) if n != 3] + [("k3", 2, "new"), (None, 5, "new"), ("more", 1, "new")]
+    assert rows(table.read()) == sorted(want, key=repr)
+    # buckets that were not touched keep their folders
+    folders = table._folders()
+    table.upsert(delta, ["v"])
+    assert rows(table.read()) == sorted(want, key=repr)
+    kept = [b for b, f in table._folders().items() if f == folders[b]]
+    assert len(table._folders()) == 5 and kept
+    table.upsert(delta.limit(0), ["v"])
+    # a run that stops after writing its rows changes nothing
+    monkeypatch.setattr(StoredTable, "_switch", lambda *_: 1 / 0)
+    before = table.versions()
+    with pytest.raises(ZeroDivisionError):
+        table.upsert(spark.createDataFrame([("k1", 9, "lost")], KV), ["v"])
+    assert rows(table.read()) == sorted(want, key=repr) and table.versions() == before
+    # and so does one that stops while it writes the new list
+    (tmp_path / "t" / "versions" / "99").mkdir()
+    assert table.versions() == before and rows(table.read()) == sorted(want, key=repr)
+
+
+def test_stored_children(spark, tmp_path):
+    schema = "article_id int, id int, comment string"
+    table = StoredTable(spark, f"{tmp_path}/c", schema, ["article_id"], buckets=3)
+    table.insert_missing(spark.createDataFrame([(1, 1, "a")], schema), ["id"])
+    table.replace_children(
+        spark.createDataFrame([(2, 2, "b"), (2, 3, "c")], schema), spark.createDataFrame([(2,)], "article_id int"), ["id"]
+    )
+    assert rows(table.read()) == [(1, 1, "a"), (2, 2, "b"), (2, 3, "c")]
+    table.replace_children(
+        spark.createDataFrame([(2, 9, "new")], schema), spark.createDataFrame([(1,), (2,)], "article_id int"), ["id"]
+    )
+    assert rows(table.read()) == [(2, 9, "new")]
+
+
+def test_bad_csv_records_are_kept_apart(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('id,name\n1,one\n2\n3,"a, b",c\nfour,four\n5,"five\nlines"\n6,\n')
+    good, bad = tables.read_csv_checked(spark, str(tmp_path / "x.csv"), "id int, name string")
+    assert rows(good) == [(1, "one"), (5, "five\nlines"), (6, None)]
+    assert [r.bad_record for r in bad.orderBy("bad_record").collect()] == ["2", '3,"a, b",c', "four,four"]
+    assert good.count() + bad.count() == 6 and bad.where("file LIKE '%x.csv'").count() == 3
+
+
 def test_keys(spark):
     df = spark.createDataFrame([("http://a",), ("http://b",), ("http://a",)], "url string")
     ids = [r["id"] for r in keyed.with_key(df, "url").collect()]
