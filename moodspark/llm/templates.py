@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,132 +27,177 @@ NUMBER_WORDS = (
 #: A run of so many matched words holds an item, whatever share of it that is.
 RUN = 13
 
-# Placeholders: letters of a private-use area, so that they are words of their own.
-NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
+#: In a text with more than one capitalised word in so many, capitals tell no names.
+ONE_NAME_IN = 5
 
-_NOT_WORD = r"[^\p{L}\p{M}0-9\x{E000}-\x{E002}]+"
-_MARKS_IN_NUMBER = r"(?<=[0-9])[.,](?=[0-9])"
-_NUMBER = r"[0-9]+"
-_UNIT = rf"({NUMBER}\s?)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{M}}0-9])"
-# a capital with small letters after a space that no sentence end stands before
-_MAYBE_NAME = r"[^.!?:\s]\x20\p{Lu}\p{Ll}"
-_NAME = r"(?<=[^.!?:\s]\x20)\p{Lu}\p{Ll}[\p{L}\p{M}]*"
-# the same wherever a word begins, so at the start of a sentence as well
-_ANY_NAME = r"\p{Lu}(?<![\p{L}\p{M}0-9\x{E000}-\x{E002}]\p{Lu})\p{Ll}[\p{L}\p{M}]*"
+#: Bits of the table that tells which parts of windows the items have: at least, for each part, and at most.
+BITS, BITS_A_PART, MOST_BITS = 1 << 20, 16, 1 << 22
 
+# What a word is: as it stands, a number, a name inside a sentence, one at its start, a unit, a number word.
+LITERAL, NUMBER, NAME, FIRST_NAME, UNIT, SPOKEN = range(6)
+
+# in front of the first word of each sentence: a letter of a private-use area
+_START = "\ue003"
+_NOT_WORD = rf"[^a-zA-Z0-9\p{{L}}\p{{M}}{_START}]+"
+_MARKS_IN_NUMBER = r"(?<=[0-9])[.,](?=[0-9])"
+_SENTENCE = r"(?:[.!?:]\s+|\n)[^a-zA-Z0-9\p{L}\p{M}]*"
+_CAPITAL = r"\p{Lu}\p{Ll}"
 
-def _bound(value: Column, use) -> Column:
-    """use(value) with the value computed once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
 
+def _texts(df: DataFrame, key: str) -> DataFrame:
+    """key, words (in lower case), kinds (what each is), n and named (capitals tell names).
 
-def _plain(text: Column) -> Column:
-    """Words and numbers of the text in lower case with single spaces between them."""
+    The text is split once.  Rows without words are left out.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = F.when(text.rlike("[0-9][.,][0-9]"), F.regexp_replace(text, _MARKS_IN_NUMBER, "")).otherwise(text)
-    return F.btrim(F.regexp_replace(F.lower(joined), _NOT_WORD, " "))
+    spaced = F.regexp_replace(F.regexp_replace(joined, _SENTENCE, " " + _START), _NOT_WORD, " ")
+    rows = df.select(key, F.btrim(spaced, F.lit(" " + _START)).alias("spaced")).where("spaced <> ''")
+    rows = rows.select(key, F.split(F.concat(F.lit(_START), "spaced"), " ").alias("raw"))
+    plain = F.transform("raw", lambda w: F.lower(F.when(w.startswith(_START), F.substr(w, F.lit(2))).otherwise(w)))
+    rows = rows.select(key, "raw", plain.alias("words"))
+
+    def kind(word: Column, k: Column) -> Column:
+        raw, before = F.get("raw", k), F.get("words", k - 1)
+        return (
+            F.when((word >= "0") & (word < ":"), NUMBER)
+            .when(word.isin(NUMBER_WORDS), SPOKEN)
+            .when(word.isin(UNITS) & _is_number(before), UNIT)
+            .when(raw == word, LITERAL)
+            .when(raw.rlike(rf"\A{_CAPITAL}"), NAME)
+            .when(raw.rlike(rf"\A{_START}{_CAPITAL}"), FIRST_NAME)
+            .otherwise(LITERAL)
+        )
 
+    rows = rows.select(key, "words", F.transform("words", kind).alias("kinds"))
+    names = F.size(F.filter("kinds", lambda k: k == NAME))
+    n = F.size("words")
+    return rows.select(key, "words", "kinds", n.alias("n"), (names * ONE_NAME_IN <= n).alias("named"))
 
-def _typed(text: Column, any_name: bool = False) -> Column:
-    """The same with placeholders; each stands for one word, so places agree with _plain.
 
-    Names are capitalised words inside sentences, or with any_name at their start too.
-    """
-    numbers = F.when(
-        text.rlike("[0-9]"),
-        F.regexp_replace(
-            F.regexp_replace(F.regexp_replace(text, _MARKS_IN_NUMBER, ""), _NUMBER, NUMBER), "(?i)" + _UNIT, "$1 " + UNIT
-        ),
-    ).otherwise(text)
-    if any_name:
-        names = F.regexp_replace(numbers, _ANY_NAME, NAME)
-    else:
-        names = F.when(numbers.rlike(_MAYBE_NAME), F.regexp_replace(numbers, _NAME, NAME)).otherwise(numbers)
-    # a number and letters without a space between them are one word in _plain
-    return F.btrim(F.regexp_replace(F.lower(names), _NOT_WORD, " "))
-
-
-def _number_words(words: Column) -> Column:
-    """The words with placeholders for number words and for units after them."""
-    return _bound(
-        words,
-        lambda all_words: F.transform(
-            all_words,
-            lambda w, k: F.when(w.isin(NUMBER_WORDS), NUMBER)
-            .when(w.isin(UNITS) & F.get(all_words, k - 1).isin(NUMBER_WORDS), UNIT)
-            .otherwise(w),
-        ),
-    )
+def _is_number(word: Column) -> Column:
+    return ((word >= "0") & (word < ":")) | word.isin(NUMBER_WORDS)
 
 
-def _hashes(words: Column) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(w))
-
-
-def _windows(hashes: Column, width: int) -> Column:
-    """Hash of every window of `width` words, from those of half the width; none in shorter texts."""
-    if width == 1:
-        return hashes
-    half = width // 2
-    return _bound(
-        _windows(hashes, half),
-        lambda h: _bound(
-            _windows(hashes, width - half) if width % 2 else h,
-            lambda g: F.zip_with(
-                F.slice(h, 1, F.greatest(F.size(g) - half, F.lit(0))),
-                F.slice(g, half + 1, F.greatest(F.size(g) - half, F.lit(0))),
-                lambda x, y: F.xxhash64(x, y),
-            ),
-        ),
-    )
+#: Templates, by which kinds of words have placeholders: names inside sentences if capitals tell
+#: names, or any capitalised word.
+def _typed(template: str, kind: Column) -> Column:
+    told = {"inside": (kind == NAME) & F.col("named"), "any": (kind == NAME) | (kind == FIRST_NAME)}[template]
+    return (kind == NUMBER) | (kind == SPOKEN) | (kind == UNIT) | told
 
 
-def _exploded(rows: DataFrame, width: int, typed: list[Column], *names: str) -> DataFrame:
-    """names, place, window, plain: windows of the words, and of the templates where those differ."""
-    forms = [F.split("_plain", " "), *typed]
-    hashed = rows.select(*names, *(_bound(_hashes(x), lambda h: _windows(h, width)).alias(f"f{k}") for k, x in enumerate(forms)))
-    each = hashed.select(*names, F.posexplode(F.arrays_zip(*(f"f{k}" for k in range(len(forms))))).alias("place", "w"))
-    windows = F.array_distinct(F.array(*(f"w.f{k}" for k in range(len(forms)))))
-    return each.select(*names, "place", F.posexplode(windows).alias("k", "window")).select(
-        *names, "place", "window", (F.col("k") == 0).alias("plain")
-    )
+FORMS = ("words", "inside", "any")
 
 
-def _prepared(df: DataFrame, key: str) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return df.select(
-        key, _plain(text).alias("_plain"), _typed(text).alias("_typed"), _typed(text, any_name=True).alias("_named")
-    ).where("_plain <> ''")
+def _hashed(rows: DataFrame, *keep: str) -> DataFrame:
+    """Adds, for each form, the hashes of its words (1), of pairs (2) and of runs of four (4).
 
+    A word is hashed once; a placeholder has a constant hash of its kind.
+    """
+    rows = rows.select(*keep, "n", "kinds", "named", F.transform("words", lambda w: F.xxhash64(w)).alias("words_1"))
+    for form in FORMS[1:]:
+        constant = lambda k: F.when(k == FIRST_NAME, NAME).when(k == SPOKEN, NUMBER).otherwise(k).cast("long")
+        typed = F.zip_with("words_1", "kinds", lambda h, k: F.when(_typed(form, k), constant(k)).otherwise(h))
+        rows = rows.withColumn(f"{form}_1", typed)
+    for size in (1, 2):
+        rows = rows.select("*", *(_pairs(f"{form}_{size}", size).alias(f"{form}_{2 * size}") for form in FORMS))
+    return rows
 
-def _templates(full: bool) -> list[Column]:
-    """Templates as words.  Number words and names at the start of sentences are typed in full windows
-    only: in an item shorter than that, most of what is said would be placeholders."""
-    if not full:
-        return [F.split("_typed", " ")]
-    return [_number_words(F.split("_typed", " ")), _number_words(F.split("_named", " "))]
 
+def _pairs(name: str, step: int) -> Column:
+    """Hash of each element with the one `step` places on; the last ones have none and are not used."""
+    return F.transform(name, lambda h, k: F.xxhash64(h, F.get(name, k + step)))
 
-def _words(rows: DataFrame, key: str) -> DataFrame:
-    return rows.select(key, F.posexplode(F.split("_plain", " ")).alias("place", "value"))
 
+def _parts(width: int) -> list[tuple[int, int]]:
+    """(size, place) of the runs that make a window: as many of four words as fit, then two, then one."""
+    out, place = [], 0
+    for size in (4, 2, 1):
+        while width - place >= size:
+            out.append((size, place))
+            place += size
+    return out
 
-def _firm(rows: DataFrame, width: int) -> DataFrame:
-    """item_id, item_place of the windows in which half of the words or more are no placeholders."""
-    words = _templates(True)[-1]
-    literal = F.transform(words, lambda w: F.when(w.isin(NUMBER, NAME, UNIT), 0).otherwise(1))
-    each = rows.select("item_id", "n", literal.alias("l")).select(
-        "item_id", "l", F.explode(F.sequence(F.lit(0), F.col("n") - width)).alias("item_place")
-    )
-    held = F.aggregate(F.slice("l", F.col("item_place") + 1, width), F.lit(0), lambda t, x: t + x)
-    return each.where(held * 2 >= width).select("item_id", "item_place").distinct()
+
+def _hash_at(form: str, width: int, k: Column) -> list[Column]:
+    return [F.get(f"{form}_{size}", k + place) for size, place in _parts(width)]
+
+
+def _places(width: int) -> Column:
+    """Where a window may begin; none in shorter texts."""
+    nothing = F.array().cast("array<int>")
+    return F.when(F.col("n") >= width, F.sequence(F.lit(0), F.col("n") - width)).otherwise(nothing)
 
 
-def _slots(rows: DataFrame, key: str, full: bool) -> DataFrame:
-    """key, place, value of the words that the template has a placeholder for."""
-    both = rows.select(
-        key, F.posexplode(F.arrays_zip(F.split("_plain", " ").alias("w"), _templates(full)[-1].alias("t"))).alias("place", "pair")
+def _windows(form: str, width: int, places: Column) -> Column:
+    """Array of (place, window, plain) of the windows at these places."""
+    return F.transform(
+        places,
+        lambda k: F.struct(
+            k.alias("place"), F.xxhash64(*_hash_at(form, width, k)).alias("window"), F.lit(form == "words").alias("plain")
+        ),
     )
-    return both.where(F.col("pair.t").isin(NUMBER, NAME, UNIT)).select(key, "place", F.col("pair.w").alias("value"))
+
+
+def _item_windows(items: DataFrame, width: int) -> DataFrame:
+    """window, item_id, item_place, own, width, n_windows of all items, and the hashes of the parts.
+
+    Items shorter than `width` are one window.  Template windows count only if half of their words
+    or more are no placeholders, in such short items only if they hold no number word, and templates
+    of any capitalised word only where capitals tell names.
+    """
+    items = _hashed(items.withColumn("width", F.least("n", F.lit(width))), "item_id", "width").withColumn("n_windows", F.expr("n - width + 1"))
+    out = None
+    for w in range(1, width + 1):
+        for form in FORMS:
+            rows = items.where(F.col("width") == w)
+            rows = rows.where("named") if form == "any" else rows
+            rows = rows.select("*", F.explode(_places(w)).alias("k"))
+            if form != "words":
+                held = F.size(F.filter(F.slice("kinds", F.col("k") + 1, w), lambda k: _typed(form, k)))
+                rows = rows.where((held > 0) & (held * 2 <= w))
+                rows = rows if w == width else rows.where(~F.array_contains("kinds", SPOKEN))
+            parts = _hash_at(form, w, F.col("k"))
+            found = rows.select(
+                F.xxhash64(*parts).alias("window"), "item_id", F.col("k").alias("item_place"), F.lit(form == "words").alias("own"),
+                "width", "n_windows", F.array(*parts).alias("parts"),
+            )
+            out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
+def _table_of_parts(wanted: DataFrame) -> Column:
+    """A table of bits, one set for the hash of every part of the items' windows; a constant.
+
+    It has BITS_A_PART bits for each part, MOST_BITS at most (half a megabyte).  A part that is not
+    in it is in no window; one that is in it may be, which the join finds out.
+    """
+    parts = wanted.select(F.explode("parts").alias("h")).distinct()
+    n = parts.count()
+    words = min(MOST_BITS, max(BITS, 1 << (n * BITS_A_PART).bit_length())) // 64
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 58).cast("int"))
+    rows = parts.select(F.pmod("h", F.lit(words)).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    table = [0] * words
+    for row in rows.collect():  # a number for each word of the table at most
+        table[row["at"]] = row["bits"]
+    return F.from_json(F.lit(json.dumps(table)), "array<bigint>")
+
+
+def _found(docs: DataFrame, widths: list[int], table: Column) -> DataFrame:
+    """doc_id, place, window, plain of the documents' windows all of whose parts items have."""
+    words = F.size(table)
+
+    def known(h: Column) -> Column:
+        at = F.get(table, F.pmod(h, words).cast("int"))
+        return F.getbit(at, F.shiftrightunsigned(h, 58).cast("int")) == 1
+
+    arrays = []
+    for width in widths:
+        for form in FORMS:
+            there = F.filter(_places(width), lambda k: reduce(lambda a, b: a & b, map(known, _hash_at(form, width, k))))
+            arrays.append(_windows(form, width, there))
+    found = _hashed(docs, "doc_id").select("doc_id", F.explode(F.concat(*arrays)).alias("w"))
+    return found.select("doc_id", "w.place", "w.window", "w.plain")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, percent: int = 50) -> DataFrame:
@@ -157,62 +205,55 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, percent: int =
 
     Texts become words in lower case; numbers, number words, units after them, and names become
     typed placeholders, in one template with names inside sentences only and in one with any
-    capitalised word.  Windows of `width` words (the whole item if it is shorter) of documents and items
-    are joined by hash, as words and as templates, so a question with other numbers or names is
-    found.  In an alignment of a document with an item, each value of the item's slots stands for one
-    value in the document, the one that is there most often; template windows with another do not
-    count, windows that match word for word always do.  An item is held if its windows match in at
-    least `percent`, if windows word for word cover that share of its words, or if matched windows
-    make a run of RUN words (without template windows that are mostly placeholders).
+    capitalised word.  Where more than one word in ONE_NAME_IN inside sentences is capitalised (title case,
+    German nouns), capitals tell no names.  Windows of `width` words (the whole item if it is shorter) of
+    documents and items are joined by hash, as words and as templates, so a question with other
+    numbers or names is found.  A template window of an item counts only if at least half of its
+    words are no placeholders.  In an alignment of a document with an item, each value of the
+    item's slots stands for one value in the document, the one that is there most often; template
+    windows with another do not count, windows that match word for word always do.  An item is held
+    if its windows match in at least `percent`, if windows word for word cover that share of its
+    words, or if matched windows make a run of RUN words.
 
     Null and empty texts, items without words, and rows without an id match nothing.  Repeated items
     are reported under their own item_id, repeated rows of a document or item are one.  Extra columns
-    are not read.  The windows of the items are broadcast only if a count shows that they are few;
-    otherwise both sides are shuffled by window.
+    are not read.  Parts of a document's windows are looked up in a table of bits before windows leave
+    the document's row.  The windows of the items are broadcast only if they are few bytes; otherwise
+    both sides are shuffled by window.
     """
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    prepared = stage(
-        _prepared(items, "item_id").withColumn("n", F.size(F.split("_plain", " "))).distinct(), "items"
-    )
-    widths = [r[0] for r in prepared.select(F.least("n", F.lit(width))).distinct().collect()]  # at most `width` numbers
-    parts = [
-        _exploded(prepared.where(F.least("n", F.lit(width)) == w), w, _templates(w == width), "item_id", "n").select(
-            "item_id", F.col("place").alias("item_place"), "window", F.col("plain").alias("own"), F.lit(w).alias("width"), (F.col("n") - w + 1).alias("n_windows")
-        )
-        for w in widths
-    ]
-    if not parts:
+    prepared = stage(_texts(items, "item_id").distinct(), "items")
+    with_parts = stage(_item_windows(prepared, width), "item-windows")
+    widths = sorted(r[0] for r in with_parts.select("width").distinct().collect())  # at most `width` numbers
+    if not widths:
         empty = "doc_id long, item_id long, n_windows int, n_matched long, n_slots long"
         return docs.sparkSession.createDataFrame([], empty)
-    wanted = parts[0]
-    for x in parts[1:]:
-        wanted = wanted.unionByName(x)
-    wanted = small_enough(stage(wanted.distinct(), "item-windows"))
-    texts = _prepared(docs, "doc_id")
-    hits = None
-    for w in widths:
-        found = _exploded(texts, w, _templates(w == width), "doc_id").join(wanted.where(F.col("width") == w), "window").select(
-            "doc_id", "item_id", "n_windows", F.col("width"), "place", "item_place", (F.col("plain") & F.col("own")).alias("same")
-        )
-        hits = found if hits is None else hits.unionByName(found)
+    wanted = small_enough(stage(with_parts.drop("parts"), "wanted"))
+    found = _found(_texts(docs, "doc_id"), widths, _table_of_parts(with_parts)).join(wanted, "window")
+    hits = found.select(
+        "doc_id", "item_id", "n_windows", "width", "place", "item_place", (F.col("plain") & F.col("own")).alias("same")
+    )
     hits = hits.groupBy("doc_id", "item_id", "n_windows", "width", "place", "item_place").agg(F.max("same").alias("same"))
     hits = stage(hits.withColumn("shift", F.col("place") - F.col("item_place")), "hits")
 
-    # slots: only those of matched windows, and only in the documents that met them
-    slots = _slots(prepared.where(F.col("n") >= width), "item_id", True).unionByName(
-        _slots(prepared.where(F.col("n") < width), "item_id", False)
-    )
-    slots = slots.select("item_id", F.col("place").alias("p"), "value").distinct()
-    slots = small_enough(stage(slots, "slots"))
+    # slots: only those of matched windows, and only the words at their places in the documents
+    pairs = F.arrays_zip(F.col("words").alias("w"), F.col("kinds").alias("k"))
+    slots = prepared.select("item_id", "named", F.posexplode(pairs).alias("p", "x"))
+    slots = slots.where(_typed("inside", F.col("x.k")) | ((F.col("x.k") == FIRST_NAME) & F.col("named")))
+    slots = small_enough(stage(slots.select("item_id", "p", F.col("x.w").alias("value")).distinct(), "slots"))
     covered = hits.select(
         "doc_id", "item_id", "shift", "width", F.explode(F.sequence("item_place", F.col("item_place") + F.col("width") - 1)).alias("p")
     )
     covered = covered.join(slots, ["item_id", "p"]).distinct().withColumn("place", F.col("p") + F.col("shift"))
     covered = stage(covered, "covered")
-    met = small_enough(stage(covered.select("doc_id").distinct(), "met"))
-    there = _words(_prepared(docs.join(met, "doc_id", "left_semi"), "doc_id"), "doc_id").withColumnRenamed("value", "theirs")
-    values = stage(covered.join(there, ["doc_id", "place"]).select("doc_id", "item_id", "shift", "width", "value", "p", "theirs").distinct(), "values")
+    places = covered.groupBy("doc_id").agg(F.collect_set("place").alias("places"))  # no more than the document's words
+    told = _texts(docs.join(places.select("doc_id"), "doc_id", "left_semi"), "doc_id").select("doc_id", "words").join(places, "doc_id")
+    there = told.select(
+        "doc_id", F.explode(F.transform("places", lambda k: F.struct(k.alias("place"), F.get("words", k).alias("theirs")))).alias("x")
+    ).select("doc_id", "x.*")
+    values = covered.join(there.where("theirs IS NOT NULL"), ["doc_id", "place"])
+    values = stage(values.select("doc_id", "item_id", "shift", "width", "value", "p", "theirs").distinct(), "values")
     # what stands for a value is what does so most often, of equals the first; other places are wrong
     alignment = ["doc_id", "item_id", "shift"]
     votes = values.groupBy(*alignment, "value", "theirs").agg(F.count("*").alias("c"), (-F.min("p")).alias("early"))
@@ -235,8 +276,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, percent: int =
         "doc_id", "item_id", F.explode(F.sequence("item_place", F.col("item_place") + F.col("width") - 1)).alias("p")
     ).groupBy("doc_id", "item_id").agg(F.countDistinct("p").alias("told"))
     # the longest run of windows one after the other
-    firm = small_enough(stage(_firm(prepared.where(F.col("n") >= width), width).withColumn("firm", F.lit(True)), "firm"))
-    runs = good.join(firm, ["item_id", "item_place"], "left").where("same OR firm").select(*alignment, "width", "item_place").distinct()
+    runs = good.select(*alignment, "width", "item_place").distinct()
     start = F.col("item_place") - F.row_number().over(Window.partitionBy(*alignment).orderBy("item_place"))
     runs = runs.withColumn("start", start).groupBy(*alignment, "start", "width").agg(F.count("*").alias("c"))
     runs = runs.groupBy("doc_id", "item_id").agg(F.max(F.col("c") + F.col("width") - 1).alias("run"))

@@ -167,6 +167,48 @@ def test_templates_keep_what_matches(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 1), (2, 2), (3, 3), (4, 4)}
 
 
+def test_templates_leave_clean_documents_alone(spark):
+    """Capitals tell no names in title case and in German; templates of nothing but placeholders match nothing."""
+    items = [
+        (1, "Who Wrote The Famous Novel About White Whales"),
+        (2, "Der Hund läuft heute durch den Park und der Vogel sitzt auf dem Dach"),
+        (3, "In 3 Tagen fahren 12 Züge von Berlin über Hannover nach Köln und halten dort 20 Minuten"),
+        (4, "Anna, Bert, Carl, Dora, Emil and Fritz met Gustav, Hanna and Ida"),
+    ]
+    rows = [
+        (1, "Breaking News Today Local Council Approves New Budget"),
+        (2, "Der Mann läuft heute durch den Wald und der Lehrer sitzt auf dem Stuhl"),
+        (3, "In 7 Tagen fahren 90 Züge von Berlin über Hannover nach Köln und halten dort 15 Minuten"),
+        (4, "Peter, Paul, Mary, John, Ringo and George saw Kurt, Krist and Dave"),
+        (5, "WHO WROTE the famous novel about white whales?"),
+    ]
+    got = templates.leaks(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(3, 3), (5, 1)}
+
+
+def test_windows_are_brute_force(spark):
+    """Windows word for word, of all widths, against a plain search of word sequences."""
+    rng = random.Random(8)
+    words = [f"w{c}" for c in "abcdefghijkl"]
+    items = [(k, " ".join(rng.choices(words, k=rng.randint(1, 14)))) for k in range(60)]
+    rows = [(k, " ".join(rng.choices(words, k=rng.randint(0, 120)))) for k in range(60)]
+    rows += [(100 + k, f"{rows[k][1]} {t} {rows[k][1]}") for k, t in items]
+    want = set()
+    for i, t in items:
+        item = t.split()
+        w = min(8, len(item))
+        parts = [tuple(item[k : k + w]) for k in range(len(item) - w + 1)]
+        for d, text in rows:
+            doc = text.split()
+            there = {tuple(doc[k : k + w]): k for k in range(len(doc) - w + 1)}
+            matched = [k for k, p in enumerate(parts) if p in there]
+            covered = {p for k in matched for p in range(k, k + w)}
+            if 2 * len(matched) >= len(parts) and matched or 2 * len(covered) >= len(item) and matched:
+                want.add((d, i, len(parts), len(matched)))
+    got = templates.leaks(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.n_windows, r.n_matched) for r in got.collect()} == want
+
+
 def edit_distance(a, b):
     last = list(range(len(b) + 1))
     for i, x in enumerate(a):
