@@ -62,6 +62,17 @@ def small_enough(staged: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(staged) if found <= limit else staged
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores in front until the table has no such columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def lower_az(text: Column) -> Column:
     """A-Z in lower case, all else as it is.  Texts without other letters take the fast way."""
     ascii_only = F.octet_length(text) == F.length(text)

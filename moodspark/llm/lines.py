@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import ASCII_SPACE, lower_az, stage, table
+from moodspark.llm.common import ASCII_SPACE, lower_az, small_enough, stage, table, unused
 
 
 def _lines(text: Column) -> Column:
@@ -29,13 +29,17 @@ def drop_repeated_lines(
 
     Lines are compared by digest; the digests of each document are written once and read for
     the counts and for the lookup.  Counts combine before their shuffle, so a line of every
-    document is no hot task, and texts move only for the last join, by document.
+    document is no hot task.  The lines to drop are written too: few bytes of them are broadcast, more
+    meet the digests in a join that adaptive execution can split.  Texts move only for the last
+    join, by document.
 
     Null or empty text is one empty line.  Rows without doc_id are not counted and keep all
     lines.  Repeated rows of one doc_id count as one document and all lose the same lines.
-    Columns n_lines and n_dropped of the input are replaced; other extra columns stay.
+    Columns n_lines and n_dropped of the input are replaced; other extra columns stay, whatever
+    their names.
     """
     docs = docs.drop("n_lines", "n_dropped")
+    of, gone, stays = unused(docs, "of_doc", "lost_lines", "lines_that_stay")
     digests = F.array_distinct(F.array_compact(F.transform(_lines(F.col(text)), lambda x: _digest(x, min_chars))))
     held = stage(
         docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.explode(digests).alias("line")),
@@ -48,22 +52,22 @@ def drop_repeated_lines(
         .select("line", "last")
     )
     lost = (
-        held.join(often, "line")
+        held.join(small_enough(stage(often, "often")), "line")
         .where("id <> last")
         .groupBy("id")
-        .agg(F.collect_set("line").alias("_lost"))  # at most the lines of one document
-        .withColumnRenamed("id", "_id")
+        .agg(F.collect_set("line").alias(gone))  # at most the lines of one document
+        .withColumnRenamed("id", of)
     )
     lines = _lines(F.col(text))
-    stay = F.when(F.col("_lost").isNull(), lines).otherwise(
-        F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_lost", _digest(x, min_chars)), F.lit(False)))
+    stay = F.when(F.col(gone).isNull(), lines).otherwise(
+        F.filter(lines, lambda x: ~F.coalesce(F.array_contains(gone, _digest(x, min_chars)), F.lit(False)))
     )
-    joined = docs.join(lost, F.col(doc_id) == F.col("_id"), "left")
-    kept = joined.withColumn("_stay", stay).withColumn("n_lines", F.size(lines).cast("long"))
+    joined = docs.join(lost, F.col(doc_id) == F.col(of), "left")
+    kept = joined.withColumn(stays, stay).withColumn("n_lines", F.size(lines).cast("long"))
     return kept.select(
-        *[F.array_join("_stay", "\n").alias(text) if c == text else F.col(c) for c in docs.columns],
+        *[F.array_join(stays, "\n").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns],
         "n_lines",
-        (F.col("n_lines") - F.size("_stay")).alias("n_dropped"),
+        (F.col("n_lines") - F.size(stays)).alias("n_dropped"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -17,6 +18,9 @@ from tokenizers import Tokenizer
 from moodspark.llm.common import stage, table
 
 CHUNKS_KEPT = 400_000
+#: White space in one run that the fast encoder is given at most; its pattern looks ahead from every place of it.
+SPACE_RUN = 50_000
+_SPACES = re.compile(r"\s{2,}")
 #: Rounds of packing at most, which keeps sequence_id within its bits, and how many shards' rows meet
 #: in one task after the first.
 ROUNDS, MEET = 63, 3
@@ -28,7 +32,8 @@ class Encoder:
     The file's vocabulary runs on a faster byte-pair encoder.  A space between two other
     characters that are not white space always begins a new pretoken, so a text without other
     spaces is cut there and the ids of cut pieces are remembered (a bounded number of them).
-    Texts that hold the special token's string go to the file's own tokenizer.
+    Texts that hold the special token's string, or white space in very long runs, go to the file's
+    own tokenizer.
     """
 
     def __init__(self, path: str):
@@ -44,7 +49,8 @@ class Encoder:
         self.kept: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        if any(x in text for x in self.special):
+        long = len(text) > SPACE_RUN and any(m.end() - m.start() > SPACE_RUN for m in _SPACES.finditer(text))
+        if long or any(x in text for x in self.special):
             return _little(self.file.encode(text, add_special_tokens=False).ids)
         chunks = text.split(" ")
         if any(not x or x[0].isspace() or x[-1].isspace() for x in chunks):
@@ -225,7 +231,7 @@ def swap_search(bins: list[list[int]], lengths: list[int], size: int) -> list[li
 
 
 def _pack(size: int, at: int):
-    """Packs one shard; `at` is the place of the length among the columns."""
+    """Packs one shard; `at` is the place of the length among the columns, the last of which is the shard."""
 
     def run(keys, group):
         lengths = group.column(at).to_pylist()
@@ -239,7 +245,7 @@ def _pack(size: int, at: int):
             fill[items] = place
         number = (number << 32) + keys[0].as_py()
         columns = [*group.columns[:-1], pa.array(number), pa.array(offset), pa.array(fill)]
-        return pa.table(columns, names=[*group.column_names[:-1], "_bin", "offset", "_fill"])
+        return pa.table(columns, names=[*group.column_names[:-1], "bin", "place", "fill"])
 
     return run
 
@@ -247,47 +253,52 @@ def _pack(size: int, at: int):
 def pack(pieces: DataFrame, size: int = 1024, shard: int = 20_000) -> DataFrame:
     """pieces, which have a `length` of 1 to size, with sequence_id and offset.
 
-    Pieces of `size` are sequences of their own.  The others are dealt by a hash of the row into
-    shards of about `shard` pieces, packed by best fit and improved by swaps (see swap_search),
-    each shard in one task.  The pieces of sequences that are not full are dealt anew in the next
-    round, MEET shards' rows to a task.  Rounds end when one task held all that was left, or when a
-    round made hardly fewer sequences (less than a hundredth) of its pieces than they filled before;
-    its sequences stay as they are.  So no task holds much more than MEET shards' rows, whatever
-    document or length they are of.
-
-    Repeated rows are all placed.  Columns sequence_id and offset of the input are replaced, all
-    others are carried.  An empty table gives no rows.
+    Pieces of `size` are sequences of their own.  The others are dealt by a hash of their number in the
+    table into shards of about `shard` pieces, packed by best fit and improved by swaps (see
+    swap_search), each shard in one task.  The pieces of sequences that are not full are dealt anew
+    in the next round, MEET shards' rows to a task.  Rounds end when one task held all that was
+    left, or when a round made hardly fewer sequences (less than a hundredth) of its pieces than
+    they filled before; its sequences stay as they are.  So no task holds much more than MEET shards'
+    rows, whatever document or length they are of.
+
+    Repeated rows are all placed, and dealt apart like others.  Columns sequence_id and offset of the
+    input are replaced, all others are carried, whatever their names.  An empty table gives no
+    rows.
     """
-    pieces = pieces.drop("sequence_id", "offset")
-    names = pieces.columns
-    whole = pieces.where(F.col("length") >= size)
-    done = [whole.select("*", F.monotonically_increasing_id().alias("_bin"), F.lit(0).cast("long").alias("offset"))]
-    left = pieces.where(F.col("length") < size)
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    short = [f"c{k}" for k in range(len(names))]  # short names of our own cannot clash
+    pieces = pieces.select(*names).toDF(*short).withColumn("row", F.monotonically_increasing_id())
+    at = names.index("length")
+    length = F.col(short[at])
+    whole = pieces.where(length >= size)
+    done = [whole.select(*short, F.col("row").alias("bin"), F.lit(0).cast("long").alias("place"))]
+    left = pieces.where(length < size)
     n, rounds = left.count(), 0
     parts = max(1, -(-n // shard))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    keys = [c for c, kind in pieces.dtypes if not kind.startswith(("map", "binary"))]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
     before = None  # sequences that the pieces of this round filled in the one before
     while n:
-        dealt = left.withColumn("_shard", F.pmod(F.xxhash64(*keys, F.lit(rounds)), F.lit(parts).cast("long")))
+        dealt = left.withColumn("shard", F.pmod(F.xxhash64(F.lit(rounds), "row"), F.lit(parts).cast("long")))
         packed = stage(
-            dealt.groupBy("_shard").applyInArrow(
-                _pack(size, names.index("length")), f"{kinds}, _bin long, offset long, _fill long"
-            ),
+            dealt.groupBy("shard").applyInArrow(_pack(size, at), f"{kinds}, bin long, place long, fill long"),
             "packed",
         )
-        first, is_open = F.col("offset") == 0, F.col("_fill") < size
+        first, is_open = F.col("place") == 0, F.col("fill") < size
         bins, open_bins, n = packed.agg(F.count_if(first), F.count_if(first & is_open), F.count_if(is_open)).first()
         last = parts == 1 or rounds == ROUNDS - 1 or (before is not None and (before - bins) * 100 < before)
         over = packed if last else packed.where(~is_open)
-        done.append(over.select(*names, F.col("_bin"), F.col("offset")))
+        done.append(over.select(*short, "bin", "place"))
         if last:
             break
-        left = packed.where(is_open).select(*names)
+        left = packed.where(is_open).select(*short, "row")
         before, parts, rounds = open_bins, max(1, -(-n // (MEET * shard))), rounds + 1
     out = None
     for k, x in enumerate(done):  # each round numbers its bins apart from the others
-        x = x.select(*names, (F.col("_bin") * (ROUNDS + 1) + k).alias("sequence_id"), "offset")
+        x = x.select(
+            *[F.col(c).alias(name) for c, name in zip(short, names, strict=True)],
+            (F.col("bin") * (ROUNDS + 1) + k).alias("sequence_id"),
+            F.col("place").alias("offset"),
+        )
         out = x if out is None else out.unionByName(x)
     return out
 

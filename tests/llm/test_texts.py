@@ -11,6 +11,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from moodspark.llm import compression, licenses, lines, packing, personal, templates, toxicity, urls
+from moodspark.llm.common import stage
 
 ROWS = [(1, None), (2, ""), (None, "a line that is long enough to be counted as one line"), (3, "x" * 200_000)]
 SCHEMA = "doc_id long, text string"
@@ -34,6 +35,41 @@ def test_lines(spark):
     assert lines.drop_repeated_lines(docs_of(spark, [])).count() == 0
 
 
+def test_lines_keep_columns_of_any_name(spark):
+    shared = "This line is shared by more than five of the documents"
+    names = ["of_doc", "_of_doc", "lost_lines", "lines_that_stay", "id", "line", "last", "n"]
+    rows = [(k, f"{k}\n{shared}", *(f"{k}{c}" for c in names)) for k in range(6)]
+    df = spark.createDataFrame(rows, SCHEMA + "".join(f", `{c}` string" for c in names))
+    got = lines.drop_repeated_lines(df)
+    assert got.columns == [*df.columns, "n_lines", "n_dropped"]
+    want = [(r[0], str(r[0]) if r[0] < 5 else r[1], *r[2:], 2, int(r[0] < 5)) for r in rows]
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_packing_of_long_runs(spark):
+    """Runs that the fast encoder's pattern cannot take go to the file's own tokenizer."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, encode = Tokenizer.from_file(path), packing.Encoder(path)
+    for run in ("\n", " ", "\t", " \n", "\u3000"):
+        text = "before" + run * 1_000_000 + "after " + run * 10
+        assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert len(encode("x" * 1_000_000)) > 0 and len(encode("1" * 300_000)) > 0
+    got = packing.pack_documents(docs_of(spark, [(1, "\n" * 1_000_000), (2, "x")])).agg({"length": "sum"}).first()[0]
+    assert got == len(whole.encode("\n" * 1_000_000, add_special_tokens=False).ids) + len(whole.encode("x", add_special_tokens=False).ids) + 2
+
+
+def test_packing_of_repeated_rows_and_columns_of_any_name(spark):
+    names = ["_shard", "_bin", "_fill", "c0", "row", "bin", "place", "fill", "shard", "sequence_id"]
+    rows = [(None, 7, *(c for c in names))] * 30_000 + [(k, 1000, *(c for c in names)) for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, length long" + "".join(f", `{c}` string" for c in names)).repartition(4)
+    got = packing.pack(stage(df, "rows"), 1024, shard=5_000)
+    assert got.columns == [*df.columns[:-1], "sequence_id", "offset"]
+    placed = got.groupBy("sequence_id").agg({"length": "sum", "offset": "max"}).collect()
+    assert got.count() == len(rows) and max(r[1] for r in placed) <= 1024
+    assert len(placed) <= -(-(30_000 * 7 + 50 * 1000) // 1024) + 3
+    assert got.where("_bin = '_bin' AND fill = 'fill' AND row = 'row'").count() == len(rows)
+
+
 def test_packing_is_a_round_trip(spark):
     rng = random.Random(1)
     texts = ["", None, "a  b\n\n c", "<|endoftext|> x", "naïve 漢字 👍", " lead", "tail ", "it's 12,5%\tok"]
