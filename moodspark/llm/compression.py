@@ -61,18 +61,21 @@ class Compression:
 def _dictionary(sample: DataFrame, label: int) -> bytes:
     """A dictionary of blocks of the texts with this label, at most TRAINING bytes of them.
 
-    Every text gives its first, middle and last block, so that long ones do not fill the sample.
+    Texts are cut in the executors, whole; of their distinct blocks so many as the bound allows come
+    to the driver, in the order of a hash.
     """
-    take = max(1, TRAINING // (3 * BLOCK))
-    rows = sample.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(take)
-    found: list[bytes] = []
-    seen: set[bytes] = set()
-    for row in rows.select("text").collect():  # of bounded number; each is cut to three blocks at once
-        parts = blocks(row["text"].encode())
-        for k in sorted({0, len(parts) // 2, len(parts) - 1}) if parts else []:
-            if parts[k] not in seen:  # a copy teaches nothing new
-                seen.add(parts[k])
-                found.append(parts[k])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                texts = batch.slice(at, 256).column(0).to_pylist()
+                parts = list(dict.fromkeys(x for t in texts for x in blocks(t.encode())))
+                yield pa.record_batch([pa.array(parts, pa.binary())], names=["part"])
+
+    # a copy teaches nothing new
+    parts = sample.where(F.col("label") == label).select("text").mapInArrow(cut, "part binary").distinct()
+    parts = parts.orderBy(F.xxhash64("part"), "part").limit(TRAINING // BLOCK)
+    found = [bytes(r["part"]) for r in parts.collect()]
     if len(found) < 8 or sum(map(len, found)) < 4096:
         return b"".join(found)[-DICTIONARY:]
     try:
@@ -110,16 +113,17 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, r
 
     # a row for each distinct text: a group of copies counts once
     once = rest.groupBy("text").agg(F.max("label").alias("label")).select("label", "text")
-    measured = np.array(
-        once.mapInArrow(measure, "label int, x double, y double").orderBy("label", "x", "y").collect(), float
-    ).reshape(-1, 3)
+    # a few numbers for each row of the sample, in an order that does not depend on tasks
+    rows_of = once.mapInArrow(measure, "label int, x double, y double").collect()
+    measured = np.array(sorted(map(tuple, rows_of)), float).reshape(-1, 3)
     return Compression(good, bad, logistic(_design(measured[:, 1:]), measured[:, 0]).tolist())
 
 
 def score(docs: DataFrame, model: Compression) -> DataFrame:
     """doc_id, score, predicted of every row's whole text; null text is empty.
 
-    Only the text goes into the score.  Rows without doc_id are scored too.
+    Only the text goes into the score.  Rows without doc_id are scored too, repeated rows each, with
+    equal scores.  Extra columns are not read.  An empty table gives no rows.
     """
     good, bad, weights = model.good, model.bad, np.array(model.weights)
 

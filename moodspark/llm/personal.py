@@ -79,10 +79,8 @@ def base_spans(text: str) -> list[Span]:
 
 
 # Generators of high recall.  Their spans overlap; the trees choose.
-_HIDDEN_EMAIL = re.compile(
-    r"[A-Za-z0-9._%+-]{1,64} ?[\[({] ?(?:at|AT|@) ?[\])}] ?[A-Za-z0-9-]{1,63}"
-    r"(?: ?(?:[\[({] ?(?:dot|DOT|\.) ?[\])}]|\.) ?[A-Za-z0-9-]{1,63}){1,4}"
-)
+_AT = re.compile(r" ?[\[({] ?(?:at|AT|@) ?[\])}] ?")
+_HIDDEN_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?: ?(?:[\[({] ?(?:dot|DOT|\.) ?[\])}]|\.) ?[A-Za-z0-9-]+)+")
 _HIDDEN_IP = re.compile(
     r"(?<![0-9.])[0-9]{1,3}(?: ?(?:[\[({] ?(?:\.|dot) ?[\])}]|\.) ?[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 )
@@ -90,8 +88,21 @@ _RUN = re.compile(r"[+(]{0,2}[0-9](?:[ ().\-/ ]{0,3}[0-9])+")
 _GROUP = re.compile(r"[+(]*[0-9]+\)?")
 
 
+def _hidden_emails(text: str) -> Iterator[Span]:
+    """Letters in front of each marked "at", back to the one before it, and the domain behind it."""
+    free = 0
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        found = _HIDDEN_DOMAIN.match(text, m.end()) if start < m.start() else None
+        if found:
+            yield "email", start, found.end()
+        free = m.end()
+
+
 def candidates(text: str) -> list[Span]:
-    found = [("email", *m.span()) for m in _HIDDEN_EMAIL.finditer(text)] if re.search(r"[\[({] ?(?:at|AT|@)", text) else []
+    found = list(_hidden_emails(text))
     found += [("ip", *m.span()) for m in _HIDDEN_IP.finditer(text)]
     for run in _RUN.finditer(text):
         groups = [(run.start() + g.start(), run.start() + g.end()) for g in _GROUP.finditer(run[0])]
@@ -202,25 +213,41 @@ class Finder:
             return [], []
         base = base_spans(text)
         # candidates that overlap a base span say nothing new
-        taken = sorted((a, b) for _, a, b in base)
-        proposed = [c for c in set(candidates(text)) if not _overlaps(c, taken)]
+        taken = Taken(base)
+        proposed = [c for c in set(candidates(text)) if not taken.overlaps(c)]
         chosen = list(base)
         if proposed and self.trees.trees:
             scores = self.trees.predict(np.array([features(text, c) for c in proposed], float))
             order = sorted(zip(scores, proposed, strict=True), key=lambda x: (-x[0], -(x[1][2] - x[1][1]), x[1]))
             for p, c in order:
-                if p >= self.limits[c[0]] and not _overlaps(c, taken):
+                if p >= self.limits[c[0]] and not taken.overlaps(c):
                     chosen.append(c)
-                    taken = sorted([*taken, (c[1], c[2])])
+                    taken.add(c)
         return base, sorted(chosen, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def _overlaps(span: Span, taken: list[tuple[int, int]]) -> bool:
-    k = bisect_left(taken, (span[1], -1))
-    if k < len(taken) and taken[k][0] < span[2]:
-        return True
-    # base spans of two kinds may overlap one another, so look back over a few
-    return any(b > span[1] for _, b in taken[max(0, k - 4) : k])
+class Taken:
+    """Places of a text that spans have taken, as intervals apart from one another, in order."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted((a, b) for _, a, b in spans):  # base spans of two kinds may overlap
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def overlaps(self, span: Span) -> bool:
+        k = bisect_left(self.starts, span[2]) - 1
+        return k >= 0 and self.ends[k] > span[1]
+
+    def add(self, span: Span) -> None:
+        """A span that overlaps none."""
+        k = bisect_left(self.starts, span[1])
+        self.starts.insert(k, span[1])
+        self.ends.insert(k, span[2])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +256,6 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (kind, text[max(0, a - CONTEXT) : a], text[a:b], text[b : b + CONTEXT])
             for text in batch.column(0).to_pylist()
             for kind, a, b in base_spans(text or "")
-            if b - a <= 200
         ]
         yield pa.record_batch(
             [pa.array([r[k] for r in rows], pa.string()) for k in range(4)], names=["kind", "before", "span", "after"]
@@ -321,7 +347,8 @@ def find(docs: DataFrame, model: Finder, redacted: bool = True) -> DataFrame:
 
     Offsets are code points, ends exclusive.  In the redacted text every span, or run of spans that
     overlap, is its first kind in angle brackets.  Null text is empty.  Each row is judged by itself;
-    rows without doc_id are too.
+    rows without doc_id and repeated rows are too.  Extra columns are not read.  An empty table
+    gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

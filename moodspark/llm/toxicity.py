@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,8 +20,6 @@ from moodspark.llm.fit import SAMPLE_ROWS, labelled_sample, logistic, probabilit
 WORD = re.compile(r"[^\W_]+")
 #: Evidence, in nats over the share of toxic text, that a word must show to be a term.
 EVIDENCE = 18.0
-#: Terms kept at most, those of most evidence first: the bound of a model's size.
-MAX_TERMS = 5_000
 #: Words of at least this many letters may be one edit away, longer ones two.
 ONE_EDIT, TWO_EDITS = 5, 12
 WORDS_KEPT = 1_000_000
@@ -28,6 +27,7 @@ WINDOW = 12
 
 # Marks that open and close a quotation, and words that report speech.
 OPENING, CLOSING, STRAIGHT = "“„«‹", "”»›", '"'
+_MARKS = re.compile(f"[\n{STRAIGHT}{OPENING}{CLOSING}]")
 REPORTING = frozenset("said says wrote writes quoted called sagte schrieb zitierte dit écrit dijo escribió".split())
 
 
@@ -137,17 +137,41 @@ class Toxicity:
     weights: list[float] = field(default_factory=lambda: [0.0, 0.0, 0.0])
 
 
-def _quoted(text: str, start: int, end: int, before: list[str]) -> bool:
-    """The term stands between quotation marks of its line, or after a word that reports speech."""
-    low = text.rfind("\n", 0, start) + 1
-    high = text.find("\n", end)
-    left, right = text[low:start], text[end : high if high >= 0 else len(text)]
-    opened = max(map(left.rfind, OPENING)) > max(map(left.rfind, CLOSING))
-    if opened and any(x in right for x in CLOSING):
-        return True
-    if left.count(STRAIGHT) % 2 and STRAIGHT in right:
-        return True
-    return any(x in REPORTING for x in before)
+class Quotations:
+    """Where the text has quotation marks and line ends, read once."""
+
+    def __init__(self, text: str):
+        self.lines, self.opening, self.closing, self.straight = [], [], [], []
+        for m in _MARKS.finditer(text):
+            mark = m[0]
+            kind = (
+                self.lines if mark == "\n" else self.straight if mark == STRAIGHT
+                else self.opening if mark in OPENING else self.closing
+            )
+            kind.append(m.start())
+        self.end = len(text)
+
+    def around(self, start: int, end: int, before: list[str]) -> bool:
+        """The term stands between quotation marks of its line, or after a word that reports speech."""
+        k = bisect_left(self.lines, start)
+        low = self.lines[k - 1] if k else -1
+        k = bisect_left(self.lines, end)
+        high = self.lines[k] if k < len(self.lines) else self.end
+
+        def last(places: list[int]) -> int:
+            k = bisect_left(places, start)
+            return places[k - 1] if k and places[k - 1] > low else -1
+
+        def follows(places: list[int]) -> bool:
+            k = bisect_left(places, end)
+            return k < len(places) and places[k] < high
+
+        if last(self.opening) > last(self.closing) and follows(self.closing):
+            return True
+        left = bisect_left(self.straight, start) - bisect_left(self.straight, low + 1)
+        if left % 2 and follows(self.straight):
+            return True
+        return any(x in REPORTING for x in before)
 
 
 def hits(text: str, find: Matcher) -> list[tuple[str, str, float]]:
@@ -163,10 +187,10 @@ def hits(text: str, find: Matcher) -> list[tuple[str, str, float]]:
         return []
     places = [m.span() for m in WORD.finditer(lower)]
     original = text if len(lower) == len(text) else lower
-    out, at = [], [k for k, _ in found]
+    out, at, marks = [], [k for k, _ in found], Quotations(original)
     for n, (k, (term, edits)) in enumerate(found):
         score = 0.7**edits
-        if _quoted(original, *places[k], words[max(0, k - WINDOW // 2) : k]):
+        if marks.around(*places[k], words[max(0, k - WINDOW // 2) : k]):
             score *= 0.25
         near = (n > 0 and k - at[n - 1] <= WINDOW) or (n + 1 < len(at) and at[n + 1] - k <= WINDOW)
         out.append((words[k], term, score * (1.25 if near else 1.0)))
@@ -241,10 +265,9 @@ def find_terms(sample: DataFrame) -> list[str]:
         counted.where((t >= 3) & (share > base) & (F.length("word") >= 3))
         .select("word", evidence.alias("e"), share.alias("share"))
         .where((F.col("e") >= EVIDENCE) & (F.col("share") >= max(0.5, min(0.9, 3 * base))))
-        .orderBy(F.desc("e"), "word")
-        .limit(MAX_TERMS)
     )
-    return [r["word"] for r in found.collect()]
+    # words of the sample, so their number has a bound
+    return [r["word"] for r in sorted(found.collect(), key=lambda r: (-r["e"], r["word"]))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, rows: int = SAMPLE_ROWS) -> Toxicity:
@@ -291,9 +314,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, r
                 names=["label", "x", "y"],
             )
 
-    measured = np.array(
-        sample.mapInArrow(measure, "label int, x double, y double").orderBy("label", "x", "y").collect(), float
-    )
+    # a few numbers for each row of the sample, in an order that does not depend on tasks
+    measured = np.array(sorted(map(tuple, sample.mapInArrow(measure, "label int, x double, y double").collect())), float)
     return Toxicity(terms, ordinary, logistic(measured[:, 1:], measured[:, 0]).tolist())
 
 

@@ -1,9 +1,11 @@
 """Operators on texts against brute force, accuracy and round trips."""
 
 import hashlib
+import math
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -449,3 +451,50 @@ def test_licenses_whole_and_wrapped(spark):
     rows += [(20, isc), (21, wrap(known["BSD-3-Clause"], 60)), (22, wrap(isc, 75)), (23, known["MPL-2.0"][:-400])]
     got = {r.doc_id: r.license for r in licenses.scan(docs_of(spark, rows), licenses.known_licenses(spark)).collect()}
     assert got == dict(enumerate(names)) | {20: "ISC", 21: "BSD-3-Clause", 22: "ISC", 23: None}
+
+
+def test_long_texts_take_time_in_proportion():
+    """Two megabytes on one line with 32,000 hits, in each of the classifiers."""
+    find = toxicity.Matcher(["badterm", "worseterm"])
+    marks = ' "badterm" « badterm said worseterm » and some other words here '
+    begun = time.process_time()
+    assert len(toxicity.hits(marks * 11_000, find)) == 33_000
+    assert time.process_time() - begun < 4
+    model = personal.Finder(personal.Trees(start=3.0), dict.fromkeys(personal.KINDS, 0.5))
+    model.trees.trees.append(([0] * 7, [math.inf] * 7, [1.0] * 8))
+    begun = time.process_time()
+    base, spans = model.spans("call 001 33 6 12 34 or a (at) b.org, x@y.org; " * 8_000)
+    assert len(base) == 8_000 and len(spans) >= 24_000
+    assert time.process_time() - begun < 12
+    sizes = compression.Sizes(b"good words " * 500, b"bad words " * 500)
+    begun = time.process_time()
+    sizes(b"some words of a long text " * 80_000)
+    assert time.process_time() - begun < 4
+
+
+def test_quotations_are_brute_force():
+    rng = random.Random(3)
+
+    def plain(text, start, end):
+        low = text.rfind("\n", 0, start) + 1
+        high = text.find("\n", end)
+        left, right = text[low:start], text[end : high if high >= 0 else len(text)]
+        opened = max(map(left.rfind, toxicity.OPENING)) > max(map(left.rfind, toxicity.CLOSING))
+        straight = left.count('"') % 2 and '"' in right
+        return bool(opened and any(x in right for x in toxicity.CLOSING) or straight)
+
+    for _ in range(300):
+        text = "".join(rng.choice('ab“”«»"\n') for _ in range(rng.randint(1, 40)))
+        marks = toxicity.Quotations(text)
+        for start in range(len(text)):
+            assert marks.around(start, start + 1, []) == plain(text, start, start + 1)
+
+
+def test_hidden_addresses_of_any_length():
+    local, label = "a" * 300 + ".b", "c" * 200
+    text = f"write to {local} [at] {label}.{label} [dot] d.e.f.g.h soon, not (at) all"
+    assert list(personal._hidden_emails(text)) == [("email", 9, text.index(" soon"))]
+    taken = personal.Taken([("card", 0, 50), ("phone", 2, 5), ("ip", 60, 70), ("ip", 6, 7)])
+    for a in range(80):
+        for b in range(a + 1, 81):
+            assert taken.overlaps(("ip", a, b)) == (a < 50 or a < 70 and b > 60)
