@@ -47,23 +47,24 @@ _CAPITAL = r"\p{Lu}\p{Ll}"
 def _texts(df: DataFrame, key: str) -> DataFrame:
     """key, words (in lower case), kinds (what each is), n and named (capitals tell names).
 
-    The text is split once.  Rows without words are left out.
+    The text is split once.  A text without words is one empty word, which no item has.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = F.when(text.rlike("[0-9][.,][0-9]"), F.regexp_replace(text, _MARKS_IN_NUMBER, "")).otherwise(text)
     spaced = F.regexp_replace(F.regexp_replace(joined, _SENTENCE, " " + _START), _NOT_WORD, " ")
-    rows = df.select(key, F.btrim(spaced, F.lit(" " + _START)).alias("spaced")).where("spaced <> ''")
-    rows = rows.select(key, F.split(F.concat(F.lit(_START), "spaced"), " ").alias("raw"))
+    # nothing is filtered here: a filter would be moved below and compute its column once more
+    rows = df.select(key, F.split(F.concat(F.lit(_START), F.btrim(spaced, F.lit(" " + _START))), " ").alias("raw"))
     plain = F.transform("raw", lambda w: F.lower(F.when(w.startswith(_START), F.substr(w, F.lit(2))).otherwise(w)))
     rows = rows.select(key, "raw", plain.alias("words"))
 
     def kind(word: Column, k: Column) -> Column:
-        raw, before = F.get("raw", k), F.get("words", k - 1)
+        raw = F.get("raw", k)
+        # most words are small letters and of no list
         return (
-            F.when((word >= "0") & (word < ":"), NUMBER)
+            F.when((raw == word) & (word >= ":") & ~word.isin(NUMBER_WORDS + UNITS), LITERAL)
+            .when((word < ":") & (word >= "0"), NUMBER)
             .when(word.isin(NUMBER_WORDS), SPOKEN)
-            .when(word.isin(UNITS) & _is_number(before), UNIT)
-            .when(raw == word, LITERAL)
+            .when(word.isin(UNITS) & _is_number(F.get("words", k - 1)), UNIT)
             .when(raw.rlike(rf"\A{_CAPITAL}"), NAME)
             .when(raw.rlike(rf"\A{_START}{_CAPITAL}"), FIRST_NAME)
             .otherwise(LITERAL)
@@ -76,37 +77,39 @@ def _texts(df: DataFrame, key: str) -> DataFrame:
 
 
 def _is_number(word: Column) -> Column:
-    return ((word >= "0") & (word < ":")) | word.isin(NUMBER_WORDS)
+    return ((word < ":") & (word >= "0")) | word.isin(NUMBER_WORDS)
 
 
 #: Templates, by which kinds of words have placeholders: names inside sentences if capitals tell
 #: names, or any capitalised word.
-def _typed(template: str, kind: Column) -> Column:
-    told = {"inside": (kind == NAME) & F.col("named"), "any": (kind == NAME) | (kind == FIRST_NAME)}[template]
+def _typed(template: str, kind: Column, named: bool) -> Column:
+    told = {"inside": (kind == NAME) & F.lit(named), "any": (kind == NAME) | (kind == FIRST_NAME)}[template]
     return (kind == NUMBER) | (kind == SPOKEN) | (kind == UNIT) | told
 
 
 FORMS = ("words", "inside", "any")
 
 
-def _hashed(rows: DataFrame, *keep: str) -> DataFrame:
-    """Adds, for each form, the hashes of its words (1), of pairs (2) and of runs of four (4).
+def _hashed(rows: DataFrame, widths: list[int], *keep: str) -> DataFrame:
+    """Adds, for each form, the hashes of its words (1) and of the runs (2, 4) that these widths are made of.
 
     A word is hashed once; a placeholder has a constant hash of its kind.
     """
     rows = rows.select(*keep, "n", "kinds", "named", F.transform("words", lambda w: F.xxhash64(w)).alias("words_1"))
     for form in FORMS[1:]:
         constant = lambda k: F.when(k == FIRST_NAME, NAME).when(k == SPOKEN, NUMBER).otherwise(k).cast("long")
-        typed = F.zip_with("words_1", "kinds", lambda h, k: F.when(_typed(form, k), constant(k)).otherwise(h))
-        rows = rows.withColumn(f"{form}_1", typed)
-    for size in (1, 2):
-        rows = rows.select("*", *(_pairs(f"{form}_{size}", size).alias(f"{form}_{2 * size}") for form in FORMS))
-    return rows
+        typed = lambda named: F.zip_with(
+            "words_1", "kinds", lambda h, k: F.when(_typed(form, k, named), constant(k)).otherwise(h)
+        )
+        # asked once a row, not for each word
+        rows = rows.withColumn(f"{form}_1", F.when(F.col("named"), typed(True)).otherwise(typed(False)))
+    sizes = sorted({size for width in widths for size, _ in _parts(width)} - {1})
+    return rows.select("*", *(_runs(f"{form}_1", size).alias(f"{form}_{size}") for size in sizes for form in FORMS))
 
 
-def _pairs(name: str, step: int) -> Column:
-    """Hash of each element with the one `step` places on; the last ones have none and are not used."""
-    return F.transform(name, lambda h, k: F.xxhash64(h, F.get(name, k + step)))
+def _runs(name: str, size: int) -> Column:
+    """Hash of each element and the ones behind it, `size` in all; the last ones have fewer and are not used."""
+    return F.transform(name, lambda h, k: F.xxhash64(h, *(F.get(name, k + i) for i in range(1, size))))
 
 
 def _parts(width: int) -> list[tuple[int, int]]:
@@ -146,7 +149,7 @@ def _item_windows(items: DataFrame, width: int) -> DataFrame:
     or more are no placeholders, in such short items only if they hold no number word, and templates
     of any capitalised word only where capitals tell names.
     """
-    items = _hashed(items.withColumn("width", F.least("n", F.lit(width))), "item_id", "width").withColumn("n_windows", F.expr("n - width + 1"))
+    items = _hashed(items.withColumn("width", F.least("n", F.lit(width))), range(1, width + 1), "item_id", "width").withColumn("n_windows", F.expr("n - width + 1"))
     out = None
     for w in range(1, width + 1):
         for form in FORMS:
@@ -154,7 +157,9 @@ def _item_windows(items: DataFrame, width: int) -> DataFrame:
             rows = rows.where("named") if form == "any" else rows
             rows = rows.select("*", F.explode(_places(w)).alias("k"))
             if form != "words":
-                held = F.size(F.filter(F.slice("kinds", F.col("k") + 1, w), lambda k: _typed(form, k)))
+                part = F.slice("kinds", F.col("k") + 1, w)
+                held = lambda named: F.size(F.filter(part, lambda k: _typed(form, k, named)))
+                held = F.when(F.col("named"), held(True)).otherwise(held(False))
                 rows = rows.where((held > 0) & (held * 2 <= w))
                 rows = rows if w == width else rows.where(~F.array_contains("kinds", SPOKEN))
             parts = _hash_at(form, w, F.col("k"))
@@ -176,7 +181,7 @@ def _table_of_parts(wanted: DataFrame) -> Column:
     n = parts.count()
     words = min(MOST_BITS, max(BITS, 1 << (n * BITS_A_PART).bit_length())) // 64
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 58).cast("int"))
-    rows = parts.select(F.pmod("h", F.lit(words)).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    rows = parts.select(F.col("h").bitwiseAND(F.lit(words - 1)).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
     table = [0] * words
     for row in rows.collect():  # a number for each word of the table at most
         table[row["at"]] = row["bits"]
@@ -185,18 +190,24 @@ def _table_of_parts(wanted: DataFrame) -> Column:
 
 def _found(docs: DataFrame, widths: list[int], table: Column) -> DataFrame:
     """doc_id, place, window, plain of the documents' windows all of whose parts items have."""
-    words = F.size(table)
 
     def known(h: Column) -> Column:
-        at = F.get(table, F.pmod(h, words).cast("int"))
+        at = F.get(table, h.bitwiseAND(F.size(table) - 1).cast("int"))
         return F.getbit(at, F.shiftrightunsigned(h, 58).cast("int")) == 1
 
     arrays = []
     for width in widths:
+        (size, _), *others = _parts(width)
+        last = F.col("n") - width
         for form in FORMS:
-            there = F.filter(_places(width), lambda k: reduce(lambda a, b: a & b, map(known, _hash_at(form, width, k))))
-            arrays.append(_windows(form, width, there))
-    found = _hashed(docs, "doc_id").select("doc_id", F.explode(F.concat(*arrays)).alias("w"))
+            # each word's place costs one look into the table; the few that pass are looked at again
+            begins = F.transform(f"{form}_{size}", lambda h, k: F.when(known(h) & (k <= last), k))
+            places = F.filter(begins, lambda k: k.isNotNull())
+            if others:
+                there = lambda k: reduce(lambda a, b: a & b, [known(F.get(f"{form}_{n}", k + p)) for n, p in others])
+                places = F.filter(places, there)
+            arrays.append(_windows(form, width, places))
+    found = _hashed(docs, widths, "doc_id").select("doc_id", F.explode(F.concat(*arrays)).alias("w"))
     return found.select("doc_id", "w.place", "w.window", "w.plain")
 
 
@@ -223,7 +234,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, percent: int =
     """
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    prepared = stage(_texts(items, "item_id").distinct(), "items")
+    prepared = stage(_texts(items, "item_id").where("words[0] <> ''").distinct(), "items")
     with_parts = stage(_item_windows(prepared, width), "item-windows")
     widths = sorted(r[0] for r in with_parts.select("width").distinct().collect())  # at most `width` numbers
     if not widths:
@@ -240,7 +251,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, percent: int =
     # slots: only those of matched windows, and only the words at their places in the documents
     pairs = F.arrays_zip(F.col("words").alias("w"), F.col("kinds").alias("k"))
     slots = prepared.select("item_id", "named", F.posexplode(pairs).alias("p", "x"))
-    slots = slots.where(_typed("inside", F.col("x.k")) | ((F.col("x.k") == FIRST_NAME) & F.col("named")))
+    kind = F.col("x.k")
+    slots = slots.where(F.when(F.col("named"), _typed("any", kind, True)).otherwise(_typed("inside", kind, False)))
     slots = small_enough(stage(slots.select("item_id", "p", F.col("x.w").alias("value")).distinct(), "slots"))
     covered = hits.select(
         "doc_id", "item_id", "shift", "width", F.explode(F.sequence("item_place", F.col("item_place") + F.col("width") - 1)).alias("p")
@@ -248,7 +260,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, percent: int =
     covered = covered.join(slots, ["item_id", "p"]).distinct().withColumn("place", F.col("p") + F.col("shift"))
     covered = stage(covered, "covered")
     places = covered.groupBy("doc_id").agg(F.collect_set("place").alias("places"))  # no more than the document's words
-    told = _texts(docs.join(places.select("doc_id"), "doc_id", "left_semi"), "doc_id").select("doc_id", "words").join(places, "doc_id")
+    places = small_enough(stage(places, "places"))
+    met = docs.join(places.drop("places"), "doc_id", "left_semi")
+    told = _texts(met, "doc_id").select("doc_id", "words").join(places, "doc_id")
     there = told.select(
         "doc_id", F.explode(F.transform("places", lambda k: F.struct(k.alias("place"), F.get("words", k).alias("theirs")))).alias("x")
     ).select("doc_id", "x.*")
