@@ -23,26 +23,39 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share stay in one; n_chars follows the text."""
-    kept = lines.drop_repeated_lines(docs).drop("n_lines", "n_dropped")
+    """Lines that many documents share stay in one; n_chars, where there is one, follows the text.
+
+    Rows without doc_id keep their lines; repeated rows lose the same ones.
+    """
+    kept = lines.drop_repeated_lines(docs).select(*docs.columns)
+    if "n_chars" not in docs.columns:
+        return kept
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the smallest doc_id."""
-    found = minhash.near_duplicates(docs)
+    """One document of each group of near copies stays: that of the smallest doc_id.
+
+    Shingles have two words, as in the operator's query: of short texts with a few changed words that
+    finds many more copies than five.  Rows without doc_id stay, and so do all repeated rows of a
+    document that stays.
+    """
+    found = minhash.near_duplicates(docs, width=2)
     dropped = found.where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Rows without doc_id stay; all repeated rows of a document go if one of them holds an item.
+    """
     held = stage(templates.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
     return docs.join(small_enough(held), "doc_id", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their ids and their places in sequences."""
+    """Token pieces with their ids and their places in sequences; every row is packed, repeated ones too."""
     return packing.pack_documents(docs)
 
 
