@@ -142,16 +142,16 @@ def _windows(form: str, width: int, places: Column) -> Column:
     )
 
 
-def _item_windows(items: DataFrame, width: int) -> DataFrame:
+def _item_windows(items: DataFrame, width: int, widths: list[int]) -> DataFrame:
     """window, item_id, item_place, own, width, n_windows of all items, and the hashes of the parts.
 
     Items shorter than `width` are one window.  Template windows count only if half of their words
     or more are no placeholders, in such short items only if they hold no number word, and templates
     of any capitalised word only where capitals tell names.
     """
-    items = _hashed(items.withColumn("width", F.least("n", F.lit(width))), range(1, width + 1), "item_id", "width").withColumn("n_windows", F.expr("n - width + 1"))
+    items = _hashed(items.withColumn("width", F.least("n", F.lit(width))), widths, "item_id", "width").withColumn("n_windows", F.expr("n - width + 1"))
     out = None
-    for w in range(1, width + 1):
+    for w in widths:
         for form in FORMS:
             rows = items.where(F.col("width") == w)
             rows = rows.where("named") if form == "any" else rows
@@ -235,11 +235,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, percent: int =
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     prepared = stage(_texts(items, "item_id").where("words[0] <> ''").distinct(), "items")
-    with_parts = stage(_item_windows(prepared, width), "item-windows")
-    widths = sorted(r[0] for r in with_parts.select("width").distinct().collect())  # at most `width` numbers
+    widths = sorted(r[0] for r in prepared.select(F.least("n", F.lit(width))).distinct().collect())  # at most `width` numbers
     if not widths:
         empty = "doc_id long, item_id long, n_windows int, n_matched long, n_slots long"
         return docs.sparkSession.createDataFrame([], empty)
+    with_parts = stage(_item_windows(prepared, width, widths), "item-windows")
     wanted = small_enough(stage(with_parts.drop("parts"), "wanted"))
     found = _found(_texts(docs, "doc_id"), widths, _table_of_parts(with_parts)).join(wanted, "window")
     hits = found.select(
