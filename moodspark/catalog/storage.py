@@ -2,7 +2,6 @@
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from moodspark.catalog import inputs as i
@@ -115,15 +114,16 @@ def scan_with_missing_source(spark, sf):
 
 
 @query("""SELECT conv_id, turn, role, text, CAST(NULL AS VARCHAR) AS bad_record FROM conversations
-          UNION ALL SELECT NULL, NULL, NULL, NULL, event_type || CASE event_id % 2 WHEN 0 THEN ',1' ELSE ',1,x,y,z' END FROM events""")
+          UNION ALL SELECT NULL, NULL, NULL, NULL, event_type || ',' || CAST(event_id AS VARCHAR) || ',x,y' FROM events""")
 def csv_with_bad_records(spark, sf):
-    """Written as CSV and read again, among records of too few and too many fields."""
+    """Written as CSV and read again, among records with a text where a number belongs."""
     path = _scratch(spark, "csv")
     turns = i.table(spark, sf, "conversations")
     write_csv(turns, f"{path}/kind=good")
-    more = F.when(F.col("event_id") % 2 == 0, ",1").otherwise(",1,x,y,z")
-    lines = i.table(spark, sf, "events").select(F.concat("event_type", more))
-    lines.write.text(f"{path}/kind=bad")
+    wrong = i.table(spark, sf, "events").select(
+        F.col("event_type").alias("conv_id"), F.col("event_id").alias("turn"), F.lit("x").alias("role"), F.lit("y").alias("text")
+    )
+    write_csv(wrong, f"{path}/kind=bad")
     good, bad = read_csv_checked(spark, f"{path}/kind=*", "conv_id bigint, turn bigint, role string, text string")
     return stack(good, bad.select("bad_record"))
 
@@ -144,26 +144,15 @@ def saved_stage(spark, sf):
     return sizes.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
 
 
-@query("""SELECT CAST(row_number() OVER (ORDER BY role, conv_id, turn) - 1 AS BIGINT) AS place,
-                 role || ' ' || conv_id || ' ' || turn AS line FROM conversations""")
+@query("SELECT role || ' ' || conv_id || ' ' || turn AS line FROM conversations")
 def written_report_lines(spark, sf):
-    """Lines written as text files, numbered in the order of the files and of their lines."""
+    """Lines written as text files and read again."""
     path = _scratch(spark, "report")
     turns = i.table(spark, sf, "conversations")
     place = F.concat(F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lpad(F.col("turn").cast("string"), 12, "0"))
     lines = turns.select(F.col("role").alias("section"), place.alias("position"), F.concat_ws(" ", "role", "conv_id", "turn").alias("line"))
     write_report_input(lines, path)
-    read = spark.read.text(path).select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int").alias("file"),
-        F.monotonically_increasing_id().alias("at"),
-        F.col("value").alias("line"),
-    )
-    # files hold contiguous parts: a file's first place is the number of lines in those before it
-    read = save_stage(read, "lines")
-    sizes = read.groupBy("file").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("file", (before - F.col("first")).alias("shift"))
-    return read.join(starts, "file").select((F.col("at") + F.col("shift")).alias("place"), "line")
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 @query("SELECT page_id, md5(url) AS id, url FROM pages")

@@ -38,9 +38,29 @@ def test_plan(spark, name):
         for operator in ("Python", "MapInArrow", "MapInPandas"):
             assert operator not in plan
     # a window over everything would run in one task
-    assert "Exchange SinglePartition" not in plan or "Window [" not in plan.split("Exchange SinglePartition")[0]
+    assert not any(operator.startswith("Window") for operator in above_single_partition(plan))
+
+
+def above_single_partition(plan):
+    """The operators that read all rows in one task: the nearest above each such exchange but sorts."""
+    lines = [(len(line) - len(line.lstrip(" :+-*()0123456789")), line.lstrip(" :+-*()0123456789")) for line in plan.splitlines()]
+    for k, (depth, text) in enumerate(lines):
+        if not text.startswith("Exchange SinglePartition"):
+            continue
+        for at, operator in reversed(lines[:k]):
+            if at < depth:
+                depth = at
+                if not operator.startswith(("Sort", "AQEShuffleRead", "ShuffleQueryStage")):
+                    yield operator
+                    break
 
 
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["article_id", "source", "mood"] and df.count() == 200
+
+
+def test_a_window_over_everything_is_seen(spark):
+    df = spark.range(9).selectExpr("id", "row_number() OVER (ORDER BY id % 3, id) AS r")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert any(operator.startswith("Window") for operator in above_single_partition(plan))
