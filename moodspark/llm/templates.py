@@ -38,7 +38,9 @@ LITERAL, NUMBER, NAME, FIRST_NAME, UNIT, SPOKEN = range(6)
 
 # in front of the first word of each sentence: a letter of a private-use area
 _START = "\ue003"
-_NOT_WORD = rf"[^a-zA-Z0-9\p{{L}}\p{{M}}{_START}]+"
+_WORD_CHARS = rf"a-zA-Z0-9\p{{L}}\p{{M}}{_START}"
+# a lone space between words is left as it is
+_NOT_WORD = rf"(?! [{_WORD_CHARS}])[^{_WORD_CHARS}]+"
 _MARKS_IN_NUMBER = r"(?<=[0-9])[.,](?=[0-9])"
 _SENTENCE = r"(?:[.!?:]\s+|\n)[^a-zA-Z0-9\p{L}\p{M}]*"
 _CAPITAL = r"\p{Lu}\p{Ll}"
@@ -90,26 +92,24 @@ def _typed(template: str, kind: Column, named: bool) -> Column:
 FORMS = ("words", "inside", "any")
 
 
-def _hashed(rows: DataFrame, widths: list[int], *keep: str) -> DataFrame:
-    """Adds, for each form, the hashes of its words (1) and of the runs (2, 4) that these widths are made of.
-
-    A word is hashed once; a placeholder has a constant hash of its kind.
-    """
+def _hashed(rows: DataFrame, *keep: str) -> DataFrame:
+    """Adds the hashes of each form's words.  A word is hashed once; a placeholder has a constant hash of its kind."""
     rows = rows.select(*keep, "n", "kinds", "named", F.transform("words", lambda w: F.xxhash64(w)).alias("words_1"))
     for form in FORMS[1:]:
         constant = lambda k: F.when(k == FIRST_NAME, NAME).when(k == SPOKEN, NUMBER).otherwise(k).cast("long")
         typed = lambda named: F.zip_with(
-            "words_1", "kinds", lambda h, k: F.when(_typed(form, k, named), constant(k)).otherwise(h)
+            # most words are literal, which one comparison tells
+            "words_1", "kinds", lambda h, k: F.when(k == LITERAL, h).when(_typed(form, k, named), constant(k)).otherwise(h)
         )
         # asked once a row, not for each word
         rows = rows.withColumn(f"{form}_1", F.when(F.col("named"), typed(True)).otherwise(typed(False)))
-    sizes = sorted({size for width in widths for size, _ in _parts(width)} - {1})
-    return rows.select("*", *(_runs(f"{form}_1", size).alias(f"{form}_{size}") for size in sizes for form in FORMS))
+    return rows
 
 
-def _runs(name: str, size: int) -> Column:
-    """Hash of each element and the ones behind it, `size` in all; the last ones have fewer and are not used."""
-    return F.transform(name, lambda h, k: F.xxhash64(h, *(F.get(name, k + i) for i in range(1, size))))
+def _run_at(form: str, size: int, k: Column) -> Column:
+    """Hash of the run of `size` words that begins at a place."""
+    words = [F.get(f"{form}_1", k + i) for i in range(size)]
+    return words[0] if size == 1 else F.xxhash64(*words)
 
 
 def _parts(width: int) -> list[tuple[int, int]]:
@@ -123,13 +123,19 @@ def _parts(width: int) -> list[tuple[int, int]]:
 
 
 def _hash_at(form: str, width: int, k: Column) -> list[Column]:
-    return [F.get(f"{form}_{size}", k + place) for size, place in _parts(width)]
+    return [_run_at(form, size, k + place) for size, place in _parts(width)]
+
+
+def _stride(width: int) -> int:
+    """How many runs of the size of its first part a window has; of so many places in a row it holds one of each kind."""
+    return width - _parts(width)[0][0] + 1
 
 
-def _places(width: int) -> Column:
-    """Where a window may begin; none in shorter texts."""
+def _places(width: int, size: int | None = None, step: int = 1) -> Column:
+    """Where a window, or a run of `size` words of one, may begin; none in texts shorter than the window."""
     nothing = F.array().cast("array<int>")
-    return F.when(F.col("n") >= width, F.sequence(F.lit(0), F.col("n") - width)).otherwise(nothing)
+    places = F.sequence(F.lit(0), F.col("n") - (size or width), F.lit(step))
+    return F.when(F.col("n") >= width, places).otherwise(nothing)
 
 
 def _windows(form: str, width: int, places: Column) -> Column:
@@ -143,13 +149,14 @@ def _windows(form: str, width: int, places: Column) -> Column:
 
 
 def _item_windows(items: DataFrame, width: int, widths: list[int]) -> DataFrame:
-    """window, item_id, item_place, own, width, n_windows of all items, and the hashes of the parts.
+    """window, item_id, item_place, own, width, n_windows of all items, and the hashes of the parts and of
+    all runs of the first part's size.
 
     Items shorter than `width` are one window.  Template windows count only if half of their words
     or more are no placeholders, in such short items only if they hold no number word, and templates
     of any capitalised word only where capitals tell names.
     """
-    items = _hashed(items.withColumn("width", F.least("n", F.lit(width))), widths, "item_id", "width").withColumn("n_windows", F.expr("n - width + 1"))
+    items = _hashed(items.withColumn("width", F.least("n", F.lit(width))), "item_id", "width").withColumn("n_windows", F.expr("n - width + 1"))
     out = None
     for w in widths:
         for form in FORMS:
@@ -163,16 +170,17 @@ def _item_windows(items: DataFrame, width: int, widths: list[int]) -> DataFrame:
                 rows = rows.where((held > 0) & (held * 2 <= w))
                 rows = rows if w == width else rows.where(~F.array_contains("kinds", SPOKEN))
             parts = _hash_at(form, w, F.col("k"))
+            runs = [_run_at(form, _parts(w)[0][0], F.col("k") + place) for place in range(1, _stride(w))]
             found = rows.select(
                 F.xxhash64(*parts).alias("window"), "item_id", F.col("k").alias("item_place"), F.lit(form == "words").alias("own"),
-                "width", "n_windows", F.array(*parts).alias("parts"),
+                "width", "n_windows", F.array(*parts, *runs).alias("parts"),
             )
             out = found if out is None else out.unionByName(found)
     return out.distinct()
 
 
 def _table_of_parts(wanted: DataFrame) -> Column:
-    """A table of bits, one set for the hash of every part of the items' windows; a constant.
+    """A table of bits, one set for the hash of every part and run of the items' windows; a constant.
 
     It has BITS_A_PART bits for each part, MOST_BITS at most (half a megabyte).  A part that is not
     in it is in no window; one that is in it may be, which the join finds out.
@@ -197,17 +205,14 @@ def _found(docs: DataFrame, widths: list[int], table: Column) -> DataFrame:
 
     arrays = []
     for width in widths:
-        (size, _), *others = _parts(width)
-        last = F.col("n") - width
+        size, step = _parts(width)[0][0], _stride(width)
         for form in FORMS:
-            # each word's place costs one look into the table; the few that pass are looked at again
-            begins = F.transform(f"{form}_{size}", lambda h, k: F.when(known(h) & (k <= last), k))
-            places = F.filter(begins, lambda k: k.isNotNull())
-            if others:
-                there = lambda k: reduce(lambda a, b: a & b, [known(F.get(f"{form}_{n}", k + p)) for n, p in others])
-                places = F.filter(places, there)
+            # a window holds one run that begins at a multiple of the step, so only those are looked up at first
+            met = F.filter(_places(width, size, step), lambda j: known(_run_at(form, size, j)))
+            begins = lambda j: F.sequence(F.greatest(j - (step - 1), F.lit(0)), F.least(j, F.col("n") - width))
+            places = F.filter(F.flatten(F.transform(met, begins)), lambda k: F.forall(F.array(*_hash_at(form, width, k)), known))
             arrays.append(_windows(form, width, places))
-    found = _hashed(docs, widths, "doc_id").select("doc_id", F.explode(F.concat(*arrays)).alias("w"))
+    found = _hashed(docs, "doc_id").select("doc_id", F.explode(F.concat(*arrays)).alias("w"))
     return found.select("doc_id", "w.place", "w.window", "w.plain")
 
 
