@@ -140,6 +140,9 @@ def inner_text(fragment: Column) -> Column:
 
 _HREF = re.compile(r"""(?:^|\s)href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I | re.A)
 
+#: Characters of pages whose fragments are Python objects at a time, but for the last page of them.
+CHARS_HELD = 1 << 20
+
 FRAGMENTS = """struct<title string, paragraphs array<string>,
     comments array<struct<position int, part int, fields array<string>>>,
     reactions array<struct<position int, name string, count string>>,
@@ -221,13 +224,25 @@ class Reader:
                 yield {"position": position, "name": name[1], "count": text[count.start : count.end]}
 
 
+def _read(pages: pa.Array, reader: Reader) -> pa.Array:
+    """The fragments of a batch's pages; Python objects of a few pages are held at a time, as a batch can be large."""
+    parts, rows, chars = [], [], 0
+    for page in pages:
+        html = page.as_py()
+        rows.append(reader(html))
+        chars += len(html or "")
+        if chars >= CHARS_HELD:
+            parts.append(pa.array(rows, _ARROW))
+            rows, chars = [], 0
+    return pa.concat_arrays([*parts, pa.array(rows, _ARROW)])
+
+
 def fragments(html: Column, rules: PageRules) -> Column:
     """A struct of what the rules want of a page, as HTML.  Each page is read once."""
 
     @F.arrow_udf(FRAGMENTS)
     def read(pages: pa.Array) -> pa.Array:
-        reader = Reader(rules)
-        return pa.array([reader(page.as_py()) for page in pages], _ARROW)
+        return _read(pages, Reader(rules))
 
     return read(html)
 

@@ -1,5 +1,7 @@
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from moodspark import fixed_values as fv
@@ -204,3 +206,18 @@ def test_the_last_visit_counts(spark):
     df = spark.createDataFrame([*seen, (9, "https://p.org/p/2", None)], "page_id bigint, url string, html string")
     got = collect.collect_posts(df, p.POST_ARTICLE, p.POST_COMMENTS, "acc").drop("id")
     assert rows(got) == [("acc", "https://p.org/p/1", "caption 3", "this 3 is a long comment")]
+
+
+def test_batches_hold_few_objects():
+    """Of a large batch, the Python objects of a few pages are held at a time; results are those of one page after the other."""
+    item = "<div class='pc-emotions-item' title='a'><b class='pc-emotions-item-counter'>1</b></div>"
+    batch = pa.array([item * 300, None, "", item] * 150)
+    reader = p.Reader(p.PageRules(reactions=p.REACTIONS))
+    want = [reader(x.as_py()) for x in batch]
+    tracemalloc.start()
+    got = p._read(batch, reader)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(x["reactions"]) for x in got.to_pylist()] == [len(x["reactions"]) for x in want]
+    assert got.equals(pa.array(want, p._ARROW))
+    assert peak < 6_000_000
