@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +66,27 @@ def small_enough(staged: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(staged) if found <= limit else staged
 
 
+def releasing(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """The same function for mapInArrow; at a task's end, memory that it has freed goes back to the system.
+
+    Python workers live on for later tasks, and would keep what the largest of them took.
+    """
+
+    @wraps(run)
+    def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return ended
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """These names, with underscores in front until the table has no such columns."""
     taken = {c.lower() for c in df.columns}

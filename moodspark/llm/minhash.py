@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import small_enough, stage, table
+from moodspark.llm.common import releasing, small_enough, stage, table
 from moodspark.llm.components import components
 
 #: 64 bands of 8 coordinates: a pair at the limit of 0.8 misses every band with a chance of
@@ -23,7 +23,7 @@ SLACK = 0.11
 #: Classes on each side of a task that compares blocks of a band, or as many thousand shingles.
 BLOCK = 4096
 
-_WORDS_KEPT = 1_000_000
+_WORDS_KEPT = 250_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stage(docs.mapInArrow(_sign(width), SIGNED), "signatures")
+    signed = stage(docs.mapInArrow(releasing(_sign(width)), SIGNED), "signatures")
     classes = (
         signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class"))
     )
@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     found = members.select("doc_id").distinct()
     ids = small_enough(stage(found, "candidates"))
     sketches = stage(heads.join(ids, "doc_id", "left_semi").select("doc_id", "sketch", "bands", "n_shingles"), "sketches")
-    sets = stage(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, held binary"), "sets")
+    sets = stage(docs.join(ids, "doc_id", "left_semi").mapInArrow(releasing(_sets(width)), "doc_id long, held binary"), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b), each once, that are links."""

@@ -6,6 +6,7 @@ import json
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from moodspark.llm.common import stage, table
+from moodspark.llm.common import give_back, releasing, stage, table
 
-CHUNKS_KEPT = 400_000
+CHUNKS_KEPT = 100_000
 #: White space in one run that the fast encoder is given at most; its pattern looks ahead from every place of it.
 SPACE_RUN = 50_000
 _SPACES = re.compile(r"\s{2,}")
@@ -33,11 +34,11 @@ class Encoder:
     characters that are not white space always begins a new pretoken, so a text without other
     spaces is cut there and the ids of cut pieces are remembered (a bounded number of them).
     Texts that hold the special token's string, or white space in very long runs, go to the file's
-    own tokenizer.
+    own tokenizer, which is read when the first of them comes.
     """
 
     def __init__(self, path: str):
-        self.file = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [x["content"] for x in spec["added_tokens"]]
@@ -48,6 +49,10 @@ class Encoder:
         )
         self.kept: dict[str, bytes] = {}
 
+    @cached_property
+    def file(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> bytes:
         long = len(text) > SPACE_RUN and any(m.end() - m.start() > SPACE_RUN for m in _SPACES.finditer(text))
         if long or any(x in text for x in self.special):
@@ -121,7 +126,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 1024, end: int = 2
                 )
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, PIECES)
+    return docs.mapInArrow(releasing(run), PIECES)
 
 
 def best_fit(lengths: list[int], size: int) -> list[list[int]]:
@@ -244,6 +249,7 @@ def _pack(size: int, at: int):
                 place += lengths[k]
             fill[items] = place
         number = (number << 32) + keys[0].as_py()
+        give_back()
         columns = [*group.columns[:-1], pa.array(number), pa.array(offset), pa.array(fill)]
         return pa.table(columns, names=[*group.column_names[:-1], "bin", "place", "fill"])
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import fold, table
+from moodspark.llm.common import fold, releasing, table
 from moodspark.llm.fit import SAMPLE_ROWS, labelled_sample, logistic, probability
 
 WORD = re.compile(r"[^\W_]+")
@@ -22,7 +22,7 @@ WORD = re.compile(r"[^\W_]+")
 EVIDENCE = 18.0
 #: Words of at least this many letters may be one edit away, longer ones two.
 ONE_EDIT, TWO_EDITS = 5, 12
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 250_000
 WINDOW = 12
 
 # Marks that open and close a quotation, and words that report speech.
@@ -254,7 +254,7 @@ def find_terms(sample: DataFrame) -> list[str]:
     base = toxic / rows
     counted = (
         sample.select("label", "text")
-        .mapInArrow(_word_counts, "word string, around string, clean long, toxic long")
+        .mapInArrow(releasing(_word_counts), "word string, around string, clean long, toxic long")
         .groupBy("word")
         .agg(F.least(F.countDistinct("around"), F.sum("toxic")).alias("t"), F.sum("clean").alias("c"))
     )
@@ -297,7 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, r
             )
 
     # of the sample's words, so its size has a bound as well
-    spelled = sample.mapInArrow(variants, "word string, label int").groupBy("word")
+    spelled = sample.mapInArrow(releasing(variants), "word string, label int").groupBy("word")
     clean = spelled.agg(F.sum(1 - F.col("label")).alias("c"), F.sum("label").alias("t")).where("c > 0 AND c >= t")
     ordinary = frozenset(r["word"] for r in clean.select("word").collect())
 
@@ -315,7 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, r
             )
 
     # a few numbers for each row of the sample, in an order that does not depend on tasks
-    measured = np.array(sorted(map(tuple, sample.mapInArrow(measure, "label int, x double, y double").collect())), float)
+    measured = np.array(sorted(map(tuple, sample.mapInArrow(releasing(measure), "label int, x double, y double").collect())), float)
     return Toxicity(terms, ordinary, logistic(measured[:, 1:], measured[:, 0]).tolist())
 
 
@@ -340,7 +340,7 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
             )
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.mapInArrow(releasing(run), "doc_id long, score double, predicted int")
 
 
 def clean(docs: DataFrame, model: Toxicity, limit: float = 0.5) -> DataFrame:
@@ -356,7 +356,7 @@ def clean(docs: DataFrame, model: Toxicity, limit: float = 0.5) -> DataFrame:
                 keep = _probabilities(part.column(at).to_pylist(), find, weights) < limit
                 yield part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
 
 
 def _probabilities(texts: list, find: Matcher, weights: np.ndarray) -> np.ndarray:

@@ -436,6 +436,14 @@ def test_windows_that_only_look_like_an_items(spark):
     assert templates._found(templates._texts(doc, "doc_id"), [8], templates._table_of_parts(wanted)).count() == 0
 
 
+def test_encoder_reads_the_file_when_it_is_needed():
+    """A second tokenizer takes tens of megabytes in each worker; few texts need it."""
+    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    encode("plain words")
+    assert "file" not in vars(encode)
+    assert encode(f"a {encode.special[0]} b") and "file" in vars(encode)
+
+
 def test_url_plans_stay_small(spark, monkeypatch):
     """No stage's plan repeats the expressions of links in those of nodes; it had four million characters."""
     sizes = []
