@@ -18,10 +18,12 @@ from tokenizers import Tokenizer
 
 from moodspark.llm.common import give_back, releasing, stage, table
 
-CHUNKS_KEPT = 100_000
+#: Characters after which a longer text is cut, so that only a part's ids at a time are Python objects.
+PART = 1 << 16
 #: White space in one run that the fast encoder is given at most; its pattern looks ahead from every place of it.
 SPACE_RUN = 50_000
 _SPACES = re.compile(r"\s{2,}")
+_LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Rounds of packing at most, which keeps sequence_id within its bits, and how many shards' rows meet
 #: in one task after the first.
 ROUNDS, MEET = 63, 3
@@ -30,11 +32,11 @@ ROUNDS, MEET = 63, 3
 class Encoder:
     """Token ids of a text as the tokenizer file gives them, as little-endian 32-bit numbers.
 
-    The file's vocabulary runs on a faster byte-pair encoder.  A space between two other
-    characters that are not white space always begins a new pretoken, so a text without other
-    spaces is cut there and the ids of cut pieces are remembered (a bounded number of them).
-    Texts that hold the special token's string, or white space in very long runs, go to the file's
-    own tokenizer, which is read when the first of them comes.
+    The file's vocabulary runs on a faster byte-pair encoder, which gets whole texts: with many
+    different words, a call for each word that is not remembered takes longer than the text at once.
+    A space between two characters that are not white space always begins a new pretoken, so long
+    texts are cut at such a one.  Texts that hold the special token's string, or white space in
+    very long runs, go to the file's own tokenizer, which is read when the first of them comes.
     """
 
     def __init__(self, path: str):
@@ -47,7 +49,6 @@ class Encoder:
         self.fast = tiktoken.Encoding(
             "bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
-        self.kept: dict[str, bytes] = {}
 
     @cached_property
     def file(self) -> Tokenizer:
@@ -57,23 +58,16 @@ class Encoder:
         long = len(text) > SPACE_RUN and any(m.end() - m.start() > SPACE_RUN for m in _SPACES.finditer(text))
         if long or any(x in text for x in self.special):
             return _little(self.file.encode(text, add_special_tokens=False).ids)
-        chunks = text.split(" ")
-        if any(not x or x[0].isspace() or x[-1].isspace() for x in chunks):
-            return _little(self.fast.encode_ordinary(text))
-        if len(self.kept) > CHUNKS_KEPT:
-            self.kept.clear()
-        kept, out = self.kept, []
-        before = ""
-        for x in chunks:
-            x = before + x
-            ids = kept.get(x)
-            if ids is None:
-                ids = _little(self.fast.encode_ordinary(x))
-                if len(x) < 64:
-                    kept[x] = ids
-            out.append(ids)
-            before = " "
-        return b"".join(out)
+        return b"".join(_little(self.fast.encode_ordinary(x)) for x in _cut(text))
+
+
+def _cut(text: str) -> Iterator[str]:
+    """The text in parts of PART characters or somewhat more; where no lone space is left, the rest is one part."""
+    start = 0
+    while len(text) - start > PART and (found := _LONE_SPACE.search(text, start + PART)):
+        yield text[start : found.start()]
+        start = found.start()
+    yield text[start:]
 
 
 def _little(ids: list[int]) -> bytes:

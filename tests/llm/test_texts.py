@@ -444,6 +444,29 @@ def test_encoder_reads_the_file_when_it_is_needed():
     assert encode(f"a {encode.special[0]} b") and "file" in vars(encode)
 
 
+def test_encoder_takes_texts_whole(monkeypatch):
+    """A call for each word that is not remembered took twice the time of whole texts."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, whole = packing.Encoder(path), Tokenizer.from_file(path)
+    fast, calls = encode.fast, []
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(len(text))
+            return fast.encode_ordinary(text)
+
+    encode.fast = Counted()
+    text = " ".join(f"w{k}rd, é{k}\n漢 \x1cx" if k % 3 else f"it's\u00a0{k}" for k in range(30_000))
+    for part, most in ((packing.PART, 10), (1_000, 1_000)):
+        monkeypatch.setattr(packing, "PART", part)
+        calls.clear()
+        assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert 1 < len(calls) < most and max(calls) < part + 100 and sum(calls) == len(text)
+    calls.clear()
+    encode(text[:900])
+    assert calls == [900]
+
+
 def test_url_plans_stay_small(spark, monkeypatch):
     """No stage's plan repeats the expressions of links in those of nodes; it had four million characters."""
     sizes = []
