@@ -199,20 +199,25 @@ def _table_of_parts(wanted: DataFrame) -> Column:
 def _found(docs: DataFrame, widths: list[int], table: Column) -> DataFrame:
     """doc_id, place, window, plain of the documents' windows all of whose parts items have."""
 
-    def known(h: Column) -> Column:
-        at = F.get(table, h.bitwiseAND(F.size(table) - 1).cast("int"))
-        return F.getbit(at, F.shiftrightunsigned(h, 58).cast("int")) == 1
-
-    arrays = []
-    for width in widths:
-        size, step = _parts(width)[0][0], _stride(width)
-        for form in FORMS:
-            # a window holds one run that begins at a multiple of the step, so only those are looked up at first
-            met = F.filter(_places(width, size, step), lambda j: known(_run_at(form, size, j)))
-            begins = lambda j: F.sequence(F.greatest(j - (step - 1), F.lit(0)), F.least(j, F.col("n") - width))
-            places = F.filter(F.flatten(F.transform(met, begins)), lambda k: F.forall(F.array(*_hash_at(form, width, k)), known))
-            arrays.append(_windows(form, width, places))
-    found = _hashed(docs, "doc_id").select("doc_id", F.explode(F.concat(*arrays)).alias("w"))
+    def windows(held: Column) -> Column:
+        def known(h: Column) -> Column:
+            at = F.get(held, h.bitwiseAND(F.size(table) - 1).cast("int"))
+            return F.getbit(at, F.shiftrightunsigned(h, 58).cast("int")) == 1
+
+        arrays = []
+        for width in widths:
+            size, step = _parts(width)[0][0], _stride(width)
+            for form in FORMS:
+                # a window holds one run that begins at a multiple of the step, so only those are looked up at first
+                met = F.filter(_places(width, size, step), lambda j: known(_run_at(form, size, j)))
+                begins = lambda j: F.sequence(F.greatest(j - (step - 1), F.lit(0)), F.least(j, F.col("n") - width))
+                places = F.filter(F.flatten(F.transform(met, begins)), lambda k: F.forall(F.array(*_hash_at(form, width, k)), known))
+                arrays.append(_windows(form, width, places))
+        return F.concat(*arrays)
+
+    # the table is a variable of all look-ups, so the plan and its tasks hold the constant once
+    found = F.get(F.transform(F.array(table), windows), F.lit(0))
+    found = _hashed(docs, "doc_id").select("doc_id", F.explode(found).alias("w"))
     return found.select("doc_id", "w.place", "w.window", "w.plain")
 
 

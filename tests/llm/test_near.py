@@ -6,7 +6,9 @@ import re
 import numpy as np
 import pytest
 
+import moodspark.llm.components as module
 from moodspark.llm import hnsw, minhash
+from moodspark.llm.common import stage as written
 from moodspark.llm.components import components
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -88,6 +90,20 @@ def test_components(spark):
     assert got == union(true, {n for p in true for n in p})
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """A last round that changed nothing took six shuffles; on many small partitions that is thousands of tasks."""
+    rounds = []
+    monkeypatch.setattr(module, "stage", lambda df, name: (rounds.append(name), written(df, name))[1])
+    edges = [(k, k % 3) for k in range(3, 60)] + [(k % 3, k) for k in range(3, 60)] + [(None, 1), (5, 5), (100, 100)]
+    got = {(r.node, r.component) for r in module.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {(k, k % 3) for k in range(60)} and len(rounds) == 1
+    rounds.clear()
+    edges += [(2, 1), (200, 201), (201, 202)]
+    got = {(r.node, r.component) for r in module.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {(k, min(k % 3, 1)) for k in range(60)} | {(k, 200) for k in (200, 201, 202)}
+    assert 2 <= len(rounds) <= 3
+
+
 def test_vectors_are_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(260, 8))

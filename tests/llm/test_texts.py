@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from moodspark.llm import compression, licenses, lines, packing, personal, templates, toxicity, urls
@@ -436,6 +437,13 @@ def test_windows_that_only_look_like_an_items(spark):
     assert templates._found(templates._texts(doc, "doc_id"), [8], templates._table_of_parts(wanted)).count() == 0
 
 
+def test_plan_holds_the_table_of_parts_once(spark):
+    """Each look-up had its own copy, of up to 65,536 numbers for each width and form of words."""
+    docs = templates._texts(docs_of(spark, [(1, "one two three four five six seven eight nine")]), "doc_id")
+    found = templates._found(docs, [3, 8], F.from_json(F.lit(str([7001, 7002, 7003, 7004])), "array<bigint>"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("7003") == 1
+
+
 def test_encoder_reads_the_file_when_it_is_needed():
     """A second tokenizer takes tens of megabytes in each worker; few texts need it."""
     encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
